@@ -1,0 +1,23 @@
+"""Membership joins that keep a hot key out of a single task."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+SALTS = 16
+
+
+def salted_semi_join(
+    rows: DataFrame, members: DataFrame, key: str, spread: str, salts: int = SALTS
+) -> DataFrame:
+    """Rows whose `key` occurs in `members`, which must hold each key once.
+
+    The members are repeated once per salt and the rows take a salt from `spread`, so a key
+    held by a third of the rows is spread over `salts` tasks. No side is hinted: Catalyst
+    broadcasts the members only when their measured size is under its threshold.
+    """
+    salted = members.select(
+        F.col(key), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
+    )
+    salt = F.pmod(F.xxhash64(F.col(spread)), F.lit(salts)).cast("int")
+    return rows.withColumn("_salt", salt).join(salted, [key, "_salt"], "left_semi").drop("_salt")
