@@ -62,8 +62,8 @@ def country_alias(c: Column, aliases: Mapping[str, str] = COUNTRY_ALIASES) -> Co
 
 def country_tokens(c: Column) -> Column:
     """Last comma part of every affiliation, trimmed and lowercase, before aliasing."""
-    segments = F.split(F.coalesce(c, F.lit("")), SEPARATOR)
-    tokens = F.transform(segments, lambda s: F.lower(trim_text(F.substring_index(s, ",", -1))))
+    segments = F.split(F.lower(F.coalesce(c, F.lit(""))), SEPARATOR)
+    tokens = F.transform(segments, lambda s: trim_text(F.substring_index(s, ",", -1)))
     return F.filter(tokens, lambda t: t != "")
 
 

@@ -10,12 +10,8 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-# The same set as a Java character class.
-_WS_CLASS = (
-    r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-)
-# A lone plain space needs no rewrite, so only the other runs are matched.
-_WS_RUN = f"{_WS_CLASS}{{2,}}|(?! ){_WS_CLASS}"
+# The same set for a regular expression: Java's Unicode \s lacks x1c-x1f.
+_WS_RUN = r"(?U)[\s\x1c-\x1f]+"
 
 SEPARATOR = ";"
 
@@ -37,19 +33,22 @@ def split_items(c: Column) -> Column:
 
 
 def split_keywords(c: Column) -> Column:
-    """PRJ7: normalised non-blank parts of a delimited string; null gives an empty array."""
-    parts = F.transform(F.split(F.coalesce(c, F.lit("")), SEPARATOR), norm_text)
+    """PRJ7: normalised non-blank parts of a delimited string; null gives an empty array.
+
+    The whole string is normalised once; a part then has at most one space at either end.
+    """
+    parts = F.transform(F.split(norm_text(c), SEPARATOR), lambda x: F.trim(x))
     return F.filter(parts, lambda x: x != "")
 
 
 def keyword_set(*cols: Column) -> Column:
     """PRJ13: sorted distinct keywords over several delimited columns."""
-    return F.array_sort(F.array_distinct(F.concat(*(split_keywords(c) for c in cols))))
+    return F.sort_array(F.array_distinct(F.concat(*(split_keywords(c) for c in cols))))
 
 
 def first_author(c: Column) -> Column:
     """PRJ8: normalised text before the first separator; null or blank gives ''."""
-    return norm_text(F.substring_index(trim_text(c), SEPARATOR, 1))
+    return norm_text(F.substring_index(c, SEPARATOR, 1))
 
 
 def fill_authors(authors: Column, creator: Column) -> Column:

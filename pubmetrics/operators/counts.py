@@ -44,4 +44,13 @@ def item_counts(
 
 
 def explode_items(df: DataFrame, items: Column, out: str) -> DataFrame:
-    return df.select(F.explode(items).alias(out))
+    return df.select(explode_nonempty(items).alias(out))
+
+
+def explode_nonempty(items: Column) -> Column:
+    """`explode` that evaluates a derived array once.
+
+    Exploding a plain column makes Catalyst add a size filter on it and push that below the
+    projection that derives the array, which is then evaluated twice.
+    """
+    return F.explode(F.when(F.size(items) > 0, items))

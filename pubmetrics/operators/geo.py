@@ -15,6 +15,7 @@ from pubmetrics.functions import (
     year_bin,
 )
 from pubmetrics.functions.years import YEAR_BINS
+from pubmetrics.operators.counts import explode_nonempty
 
 # A lookup given as a Python mapping travels to every task; a larger one must be a table.
 MAX_LOOKUP = 10_000
@@ -25,8 +26,13 @@ def region_table(spark: SparkSession, regions: Mapping[str, str] = COUNTRY_REGIO
     """PRJ17: the country to region lookup as a broadcast table of checked size."""
     if len(regions) > MAX_LOOKUP:
         raise ValueError(f"{len(regions)} countries: pass the lookup as a DataFrame")
-    rows = [(country, region) for country, region in regions.items()]
-    return F.broadcast(spark.createDataFrame(rows, "country string, region string"))
+    rows = F.array(
+        *(
+            F.struct(F.lit(country).alias("country"), F.lit(region).alias("region"))
+            for country, region in regions.items()
+        )
+    )
+    return F.broadcast(spark.range(1).select(F.inline(rows)))
 
 
 def with_region(
@@ -70,7 +76,11 @@ def regions_over_time(
     )
     counts = (
         records.filter(F.col("bin").isNotNull())
-        .select("bin", F.size("countries").alias("n"), F.explode("countries").alias("country"))
+        .select(
+            "bin",
+            F.size("countries").alias("n"),
+            explode_nonempty(F.col("countries")).alias("country"),
+        )
         .groupBy("bin", "country", "n")
         .agg(F.count(F.lit(1)).alias("records"))
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pubmetrics.functions import keyword_set
-from pubmetrics.operators.counts import ranked, tally
+from pubmetrics.operators.counts import explode_items, explode_nonempty, ranked, tally
 from pubmetrics.operators.schema import ORDER_COLUMN
 from pubmetrics.operators.skew import SALTS, salted_semi_join
 
@@ -32,7 +32,7 @@ def keyword_frequency(df: DataFrame, keywords: str = "keywords") -> DataFrame:
 
 
 def _frequency(df: DataFrame, keywords: str) -> DataFrame:
-    return tally(df.select(F.explode(keywords).alias("keyword")), "keyword")
+    return tally(explode_items(df, F.col(keywords), "keyword"), "keyword")
 
 
 def top_keywords(frequency: DataFrame, n: int = TOP_KEYWORDS) -> DataFrame:
@@ -67,7 +67,7 @@ def keyword_cooccurrence(
     held = df.select(
         F.col(record).alias("record"),
         F.ceil(F.size(keywords) / block).cast("int").alias("blocks"),
-        F.explode(keywords).alias("keyword"),
+        explode_nonempty(F.col(keywords)).alias("keyword"),
     )
     held = salted_semi_join(held, vocabulary, "keyword", "record", salts)
 
@@ -79,7 +79,7 @@ def keyword_cooccurrence(
         .withColumn("high", F.greatest("own", "other"))
         .groupBy("record", "low", "high")
         .agg(
-            F.array_sort(F.collect_list(F.when(F.col("own") == F.col("low"), F.col("keyword"))))
+            F.sort_array(F.collect_list(F.when(F.col("own") == F.col("low"), F.col("keyword"))))
             .alias("ours"),
             F.collect_list(
                 F.when((F.col("own") == F.col("high")) & (F.col("low") < F.col("high")),

@@ -82,8 +82,12 @@ def _line_lists(spark: SparkSession, sf_dir: str, wanted: set[str]) -> DataFrame
     A list is one field of one record, so an order's lines end in one row by definition of the
     record table; orders have about four lines, thirteen at most.
     """
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey"
+    # Shuffled by order while a line is four numbers wide; the names joined to it afterwards
+    # then stay where they are, and so does the grouping.
+    lines = (
+        table(spark, sf_dir, "lineitem")
+        .select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
+        .repartition("l_orderkey")
     )
     values = {}
     if wanted & _FROM_SUPPLIER:
@@ -109,7 +113,7 @@ def _line_lists(spark: SparkSession, sf_dir: str, wanted: set[str]) -> DataFrame
         "l_partkey",
         *(value.alias(name) for name, (value, _) in values.items()),
     )
-    ordered = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(entry)).alias("lines"))
+    ordered = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(entry)).alias("lines"))
     return ordered.select(
         "l_orderkey",
         *(
