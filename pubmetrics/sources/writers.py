@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pubmetrics.operators.schema import ORDER_COLUMN
 
@@ -46,7 +46,7 @@ def write_records(
         write_csv(df, path, overwrite=overwrite)
     else:
         if partition_by is not None:
-            df = df.hint("rebalance", df[partition_by])
+            df = df.hint("rebalance", F.col(partition_by))
         writer = df.write.mode("overwrite" if overwrite else "errorifexists")
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return path
