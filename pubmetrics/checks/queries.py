@@ -508,23 +508,23 @@ def top_keywords(spark, sf_dir):
     return op.top_keywords(op.keyword_frequency(scoped_keywords(spark, sf_dir)))
 
 
-def frequent_keywords(keyed: DataFrame) -> DataFrame:
-    """Keywords held by more than a fifteenth of the records."""
-    share = keyed.agg((F.count(F.lit(1)) / 15).alias("share"))
-    return op.keyword_vocabulary(op.keyword_frequency(keyed), share.scalar())
+def fifteenth(keyed: DataFrame) -> Column:
+    """A document frequency that grows with the records."""
+    return keyed.agg((F.count(F.lit(1)) / 15).alias("share")).scalar()
 
 
 @query
 def keyword_vocab(spark, sf_dir):
-    """FLT6 with a threshold that grows with the records."""
-    return frequent_keywords(raw_keywords(spark, sf_dir))
+    """FLT6: keywords held by a fifteenth of the records."""
+    keyed = raw_keywords(spark, sf_dir)
+    return op.keyword_vocabulary(op.keyword_frequency(keyed), fifteenth(keyed))
 
 
 @query
 def keyword_cooccurrence_frequent(spark, sf_dir):
-    """JON3: pairs within the vocabulary of frequent keywords."""
+    """JON3: pairs within that vocabulary."""
     keyed = raw_keywords(spark, sf_dir)
-    return op.keyword_cooccurrence(keyed, vocabulary=frequent_keywords(keyed))
+    return op.keyword_cooccurrence(keyed, min_docs=fifteenth(keyed))
 
 
 @query

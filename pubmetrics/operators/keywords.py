@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pubmetrics.functions import keyword_set
 from pubmetrics.operators.counts import explode_items, explode_nonempty, ranked, tally
 from pubmetrics.operators.schema import ORDER_COLUMN
-from pubmetrics.operators.skew import SALTS, salted_semi_join
+from pubmetrics.operators.skew import HOT_KEYS, SALTS, salted_semi_join
 
 MIN_DOCS = 5
 TOP_KEYWORDS = 20
@@ -50,9 +50,10 @@ def keyword_cooccurrence(
     *,
     keywords: str = "keywords",
     record: str = ORDER_COLUMN,
-    min_docs: int = MIN_DOCS,
-    vocabulary: DataFrame | None = None,
+    min_docs: int | Column = MIN_DOCS,
+    frequency: DataFrame | None = None,
     block: int = BLOCK,
+    hot_keys: int = HOT_KEYS,
     salts: int = SALTS,
 ) -> DataFrame:
     """AGG8: records in which two frequent keywords occur together, as `from < to, value`.
@@ -60,16 +61,24 @@ def keyword_cooccurrence(
     Rare keywords leave before pairing. A record's keywords are hashed into blocks of about
     `block`, and every pair of blocks is its own group, so a record with very many keywords
     is paired by many tasks and none of its pairs is left out; a record that fits one block
-    is one group. `record` must identify a row, `keywords` must be free of repeats.
+    is one group. `record` must identify a row and `keywords` be free of repeats. Pass a
+    stored `frequency` table (keyword, count) to spare a second pass over the records.
     """
-    if vocabulary is None:
-        vocabulary = keyword_vocabulary(_frequency(df, keywords), min_docs)
+    if frequency is None:
+        frequency = _frequency(df, keywords)
     held = df.select(
         F.col(record).alias("record"),
         F.ceil(F.size(keywords) / block).cast("int").alias("blocks"),
         explode_nonempty(F.col(keywords)).alias("keyword"),
     )
-    held = salted_semi_join(held, vocabulary, "keyword", "record", salts)
+    held = salted_semi_join(
+        held,
+        keyword_vocabulary(frequency, min_docs),
+        ranked(frequency, "keyword", limit=hot_keys).select("keyword"),
+        "keyword",
+        "record",
+        salts,
+    )
 
     own = F.pmod(F.xxhash64("keyword"), F.col("blocks")).cast("int")
     grouped = (

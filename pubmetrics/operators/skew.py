@@ -1,23 +1,39 @@
-"""Membership joins that keep a hot key out of a single task."""
+"""Membership join that keeps a hot key out of a single task."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-SALTS = 16
+# Keys that are salted. A key outside the `HOT_KEYS` most frequent ones holds at most
+# 1 / HOT_KEYS of the rows.
+HOT_KEYS = 1000
+SALTS = 256
 
 
 def salted_semi_join(
-    rows: DataFrame, members: DataFrame, key: str, spread: str, salts: int = SALTS
+    rows: DataFrame,
+    members: DataFrame,
+    hot: DataFrame,
+    key: str,
+    spread: str,
+    salts: int = SALTS,
 ) -> DataFrame:
-    """Rows whose `key` occurs in `members`, which must hold each key once.
+    """Rows whose `key` occurs in `members`, which holds each key once.
 
-    The members are repeated once per salt and the rows take a salt from `spread`, so a key
-    held by a third of the rows is spread over `salts` tasks. No side is hinted: Catalyst
-    broadcasts the members only when their measured size is under its threshold.
+    `hot` lists the most frequent keys, `HOT_KEYS` at most, and is broadcast for that bound.
+    Rows of a hot key are spread over `salts` tasks by `spread` and only hot members are
+    repeated to meet them. The members themselves are not hinted: Catalyst broadcasts them
+    if their measured size is under its threshold and shuffles them otherwise.
     """
-    salted = members.select(
-        F.col(key), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
-    )
+    marks = F.broadcast(hot.select(key, F.lit(True).alias("_hot")))
     salt = F.pmod(F.xxhash64(F.col(spread)), F.lit(salts)).cast("int")
-    return rows.withColumn("_salt", salt).join(salted, [key, "_salt"], "left_semi").drop("_salt")
+    salted_rows = (
+        rows.join(marks, key, "left")
+        .withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0))
+        .drop("_hot")
+    )
+    every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
+    salted_members = members.join(marks, key, "left").select(
+        key, F.explode(F.when(F.col("_hot"), every_salt).otherwise(F.array(F.lit(0)))).alias("_salt")
+    )
+    return salted_rows.join(salted_members, [key, "_salt"], "left_semi").drop("_salt")

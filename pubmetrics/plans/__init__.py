@@ -3,6 +3,7 @@
 from pubmetrics.plans.analyze import analyze_tables, annual_series, run_analyze
 from pubmetrics.plans.clean import clean, clean_records, clean_tables, run_clean
 from pubmetrics.plans.full import (
+    aggregates,
     deduplicated,
     export_records,
     full_analysis,
@@ -14,6 +15,7 @@ from pubmetrics.plans.ingest import RunFiles, run_ingest
 
 __all__ = [
     "RunFiles",
+    "aggregates",
     "analyze_tables",
     "annual_series",
     "clean",

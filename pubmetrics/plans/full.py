@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pubmetrics.functions import first_author, norm_doi, norm_id, norm_text
-from pubmetrics.functions import numeric_year, publication_year
-from pubmetrics.operators.counts import item_counts, value_counts, TOP_N
+from pubmetrics.functions import (
+    first_author,
+    norm_doi,
+    norm_id,
+    norm_text,
+    numeric_year,
+    publication_year,
+)
+from pubmetrics.operators.counts import TOP_N, item_counts, ranked, value_counts
 from pubmetrics.operators.dedup import keep_first, with_record_key
 from pubmetrics.operators.geo import bubble_sizes, regions_over_time
 from pubmetrics.operators.keywords import (
     MIN_DOCS,
     keyword_cooccurrence,
     keyword_frequency,
-    keyword_vocabulary,
     top_edges,
     top_keywords,
     with_keyword_set,
@@ -62,37 +67,42 @@ def in_scope(unique: DataFrame, min_year: int = MIN_YEAR, max_year: int = MAX_YE
     return unique.filter(F.col("_year").between(min_year, max_year))
 
 
+def aggregates(scoped: DataFrame, unique: DataFrame) -> dict[str, DataFrame]:
+    """The tables several results build on, each one pass over the records.
+
+    Geography uses the unscoped records and its own periods.
+    """
+    return {
+        "annual": annual_counts(scoped, "_year", "year", "n_pubs"),
+        "keyword_freq": keyword_frequency(with_keyword_set(scoped)),
+        "geo": regions_over_time(unique, year="_year"),
+    }
+
+
 def full_tables(
     scoped: DataFrame,
-    unique: DataFrame,
+    shared: dict[str, DataFrame],
     min_year: int = MIN_YEAR,
     max_year: int = MAX_YEAR,
     *,
     min_docs: int = MIN_DOCS,
-    frequency: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Result tables. Geography uses the unscoped records and its own periods.
-
-    Pass a stored `frequency` table to spare the keywords a second count.
-    """
-    annual = annual_counts(scoped, "_year", "year", "n_pubs")
-    keyed = with_keyword_set(scoped)
-    if frequency is None:
-        frequency = keyword_frequency(keyed)
-    geo = regions_over_time(unique, year="_year")
+    """Result tables from the scoped records and their `aggregates`, lazy or stored."""
+    annual, frequency, geo = shared["annual"], shared["keyword_freq"], shared["geo"]
+    edges = keyword_cooccurrence(
+        with_keyword_set(scoped), min_docs=min_docs, frequency=frequency
+    )
     return {
         "pubs_by_year": trend(annual),
         "kpi_interest": kpi_interest(annual, min_year, max_year),
         "top_journals": value_counts(scoped, "journal", limit=TOP_N),
         "top_document_types": value_counts(scoped, "doc_type", "doctype", limit=TOP_N),
         "top_authors": item_counts(scoped, "authors", "author", limit=TOP_N),
-        "keyword_freq": frequency.orderBy(F.col("count").desc(), "keyword"),
+        "keyword_freq": ranked(frequency, "keyword"),
         "top_keywords": top_keywords(frequency),
-        "bubble_regions_over_time": geo,
-        "bubble_sizes": bubble_sizes(geo),
-        "keyword_edges": top_edges(
-            keyword_cooccurrence(keyed, vocabulary=keyword_vocabulary(frequency, min_docs))
-        ),
+        "bubble_regions_over_time": geo.orderBy("bin", "region"),
+        "bubble_sizes": bubble_sizes(geo).orderBy("bin", "region"),
+        "keyword_edges": top_edges(edges),
     }
 
 
@@ -104,7 +114,8 @@ def full_analysis(
         raise ValueError(f"keep-first needs {ORDER_COLUMN}: load the records with ordered=True")
     unique = deduplicated(export_records(raw, strict=strict))
     scoped = in_scope(unique, min_year, max_year)
-    return {"dataset_scope": scoped, **full_tables(scoped, unique, min_year, max_year)}
+    shared = aggregates(scoped, unique)
+    return {"dataset_scope": scoped, **full_tables(scoped, shared, min_year, max_year)}
 
 
 def run_full_analysis(
@@ -143,15 +154,13 @@ def run_full_analysis(
         partition_by="_year",
     )
     scoped = spark.read.parquet(scope_path)
-    frequency_path = write_records(
-        keyword_frequency(with_keyword_set(scoped)),
-        files.work("full", "keyword_freq"),
-        "parquet",
-        overwrite=overwrite,
-    )
-    tables = full_tables(
-        scoped, unique, min_year, max_year, frequency=spark.read.parquet(frequency_path)
-    )
+    shared = {
+        name: spark.read.parquet(
+            write_records(table, files.work("full", name), "parquet", overwrite=overwrite)
+        )
+        for name, table in aggregates(scoped, unique).items()
+    }
+    tables = full_tables(scoped, shared, min_year, max_year)
     for name, table in tables.items():
         write_csv(
             table,

@@ -35,7 +35,7 @@ def sets():
 @pytest.mark.parametrize("block", [1, 7, 32, 1000])
 def test_cooccurrence_matches_brute_force(spark, sets, block):
     df = keyword_frame(spark, sets)
-    got = op.keyword_cooccurrence(df, min_docs=5, block=block, salts=3)
+    got = op.keyword_cooccurrence(df, min_docs=5, block=block, hot_keys=4, salts=3)
     assert got.columns == ["from", "to", "value"]
     found = rows(got)
     assert len(found) == len(set(found)) and set(found) == brute_edges(sets, 5)
@@ -67,13 +67,25 @@ def test_cooccurrence_same_without_broadcast(spark, sets):
         for k in keys:
             spark.conf.set(k, "-1")
         got = op.keyword_cooccurrence(keyword_frame(spark, sets))
-        assert "SortMergeJoin" in plan_of(got)
+        assert "SortMergeJoin [keyword" in plan_of(got)
         assert set(rows(got)) == brute_edges(sets, 5)
     finally:
         for k in keys:
             spark.conf.unset(k)
 
 
+def test_only_hot_keys_are_spread(spark):
+    rows_ = spark.range(900).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(
+        F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("k"))
+    members = rows_.select("k").distinct().filter("k <> 'k7'")
+    hot = spark.createDataFrame([("hot",)], "k string")
+    got = op.salted_semi_join(rows_, members, hot, "k", "id", salts=8)
+    assert got.columns == ["k", "id"]
+    assert sorted(r.id for r in got.collect()) == sorted(
+        r.id for r in rows_.filter("k <> 'k7'").collect()
+    )
+
+
 def test_edge_weight_is_bounded_by_both_frequencies(spark, sets):
     df = keyword_frame(spark, sets)
     freq = dict(rows(op.keyword_frequency(df)))
