@@ -522,21 +522,30 @@ def keyword_vocab(spark, sf_dir):
 
 @query
 def keyword_cooccurrence_frequent(spark, sf_dir):
-    """JON3: pairs within that vocabulary."""
+    """JON3: pairs within that vocabulary, one lazy plan that holds at any vocabulary size."""
     keyed = raw_keywords(spark, sf_dir)
     return op.keyword_cooccurrence(keyed, min_docs=fifteenth(keyed))
 
 
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Co-occurrence over stored keyword sets and frequencies, planned by vocabulary size."""
+    sets = src.stored(scoped_keywords(spark, sf_dir).select("src_ord", "keywords"), "keywords")
+    frequency = src.stored(op.keyword_frequency(sets), "frequency")
+    return op.keyword_cooccurrence(
+        sets, frequency=frequency, broadcast_vocabulary=op.vocabulary_is_small(frequency)
+    )
+
+
 @query
 def keyword_cooccurrence(spark, sf_dir):
     """AGG8 / JON4 on the scoped records, the default threshold."""
-    return op.keyword_cooccurrence(scoped_keywords(spark, sf_dir))
+    return edges(spark, sf_dir)
 
 
 @query
 def keyword_edges_top(spark, sf_dir):
     """LIM3."""
-    return op.top_edges(op.keyword_cooccurrence(scoped_keywords(spark, sf_dir)))
+    return op.top_edges(edges(spark, sf_dir))
 
 
 # --- geography -----------------------------------------------------------------------------

@@ -7,13 +7,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pubmetrics.functions import keyword_set
 from pubmetrics.operators.counts import explode_items, explode_nonempty, ranked, tally
 from pubmetrics.operators.schema import ORDER_COLUMN
-from pubmetrics.operators.skew import HOT_KEYS, SALTS, salted_semi_join
+from pubmetrics.operators.skew import HOT_KEYS, SALTS, salted_membership_join
 
 MIN_DOCS = 5
 TOP_KEYWORDS = 20
 TOP_EDGES = 400
-# Keywords of one record that are paired within one group.
+# Keywords of one record that are paired in one piece.
 BLOCK = 256
+# Size up to which a vocabulary is broadcast, and what a row adds to its text.
+VOCABULARY_BYTES = 64 << 20
+ROW_BYTES = 64
 
 
 def with_keyword_set(
@@ -45,6 +48,15 @@ def keyword_vocabulary(frequency: DataFrame, min_docs: int | Column = MIN_DOCS)
     return frequency.filter(F.col("count") >= min_docs).select("keyword")
 
 
+def vocabulary_is_small(
+    frequency: DataFrame, min_docs: int | Column = MIN_DOCS, limit: int = VOCABULARY_BYTES
+) -> bool:
+    """Whether the frequent keywords fit a broadcast; runs one aggregate on `frequency`."""
+    held = keyword_vocabulary(frequency, min_docs)
+    size = held.agg(F.sum(F.octet_length("keyword") + ROW_BYTES)).first()[0]
+    return (size or 0) <= limit
+
+
 def keyword_cooccurrence(
     df: DataFrame,
     *,
@@ -52,64 +64,77 @@ def keyword_cooccurrence(
     record: str = ORDER_COLUMN,
     min_docs: int | Column = MIN_DOCS,
     frequency: DataFrame | None = None,
+    broadcast_vocabulary: bool = False,
     block: int = BLOCK,
     hot_keys: int = HOT_KEYS,
     salts: int = SALTS,
 ) -> DataFrame:
     """AGG8: records in which two frequent keywords occur together, as `from < to, value`.
 
-    Rare keywords leave before pairing. A record's keywords are hashed into blocks of about
-    `block`, and every pair of blocks is its own group, so a record with very many keywords
-    is paired by many tasks and none of its pairs is left out; a record that fits one block
-    is one group. `record` must identify a row and `keywords` be free of repeats. Pass a
-    stored `frequency` table (keyword, count) to spare a second pass over the records.
+    `keywords` is sorted and free of repeats, as `with_keyword_set` leaves it, and `record`
+    identifies a row. Rare keywords leave a record before it is paired: they are looked up
+    one by one, gathered per record, where they are few, and taken out of its set; the sets
+    themselves are never taken apart. Pass a stored `frequency` table (keyword, count) to
+    spare a second pass over the records, and `broadcast_vocabulary` only behind
+    `vocabulary_is_small`; without it the lookup is a shuffle with hot keywords salted.
     """
     if frequency is None:
         frequency = _frequency(df, keywords)
-    held = df.select(
-        F.col(record).alias("record"),
-        F.ceil(F.size(keywords) / block).cast("int").alias("blocks"),
-        explode_nonempty(F.col(keywords)).alias("keyword"),
-    )
-    held = salted_semi_join(
-        held,
-        keyword_vocabulary(frequency, min_docs),
-        ranked(frequency, "keyword", limit=hot_keys).select("keyword"),
-        "keyword",
+    vocabulary = keyword_vocabulary(frequency, min_docs)
+    sets = df.select(F.col(record).alias("record"), F.col(keywords).alias("keywords"))
+
+    held = sets.select("record", explode_nonempty(F.col("keywords")).alias("keyword"))
+    if broadcast_vocabulary:
+        rare = held.join(F.broadcast(vocabulary), "keyword", "left_anti")
+    else:
+        hot = ranked(frequency, "keyword", limit=hot_keys).select("keyword")
+        rare = salted_membership_join(
+            held, vocabulary, hot, "keyword", "record", "left_anti", salts
+        )
+    # One group is one record's own rare keywords: a part of a single input row.
+    rare = rare.groupBy("record").agg(F.collect_list("keyword").alias("rare"))
+    frequent = sets.join(rare, "record", "left").select(
         "record",
-        salts,
+        F.when(F.col("rare").isNull(), F.col("keywords"))
+        .otherwise(F.array_except("keywords", "rare"))
+        .alias("keywords"),
     )
+    return _pairs(frequent, block).groupBy("from", "to").agg(F.count(F.lit(1)).alias("value"))
 
-    own = F.pmod(F.xxhash64("keyword"), F.col("blocks")).cast("int")
-    grouped = (
-        held.withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("low", F.least("own", "other"))
-        .withColumn("high", F.greatest("own", "other"))
-        .groupBy("record", "low", "high")
-        .agg(
-            F.sort_array(F.collect_list(F.when(F.col("own") == F.col("low"), F.col("keyword"))))
-            .alias("ours"),
-            F.collect_list(
-                F.when((F.col("own") == F.col("high")) & (F.col("low") < F.col("high")),
-                       F.col("keyword"))
-            ).alias("theirs"),
-        )
+
+def _pairs(sets: DataFrame, block: int) -> DataFrame:
+    """Every unordered pair of each sorted set.
+
+    A set over `block` keywords is cut into blocks, and every pair of its blocks goes to a
+    task of its own, so no task pairs a very long set alone and no pair is left out.
+    """
+    size = F.size("keywords")
+    short = sets.filter(size <= block).select(
+        F.col("keywords").alias("ours"), F.lit(None).cast("array<string>").alias("theirs")
     )
-    pairs = grouped.select(
-        "low", "high", "ours", "theirs", F.posexplode("ours").alias("pos", "a")
-    ).select(
-        "a",
-        F.explode(
-            F.when(F.col("low") < F.col("high"), F.col("theirs")).otherwise(
-                F.slice("ours", F.col("pos") + 2, F.size("ours"))
-            )
-        ).alias("b"),
+    i, j = F.col("i"), F.col("j")
+    last = F.ceil(size / block).cast("int") - 1
+    long = (
+        sets.filter(size > block)
+        .select("*", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+        .select("*", F.explode(F.sequence(i, last)).alias("j"))
+        .select(
+            "record",
+            "i",
+            "j",
+            F.slice("keywords", i * block + 1, F.lit(block)).alias("ours"),
+            F.when(j > i, F.slice("keywords", j * block + 1, F.lit(block))).alias("theirs"),
+        )
+        .repartition("record", "i", "j")
+        .select("ours", "theirs")
     )
+    ours = F.col("ours")
+    firsts = F.posexplode(F.when(F.size(ours) > 0, ours)).alias("pos", "from")
+    rest = F.slice(ours, F.col("pos") + 2, F.size(ours))
     return (
-        pairs.select(F.least("a", "b").alias("from"), F.greatest("a", "b").alias("to"))
-        .groupBy("from", "to")
-        .agg(F.count(F.lit(1)).alias("value"))
+        short.unionByName(long)
+        .select("ours", "theirs", firsts)
+        .select("from", F.explode(F.coalesce("theirs", rest)).alias("to"))
     )
 
 

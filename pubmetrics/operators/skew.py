@@ -1,4 +1,4 @@
-"""Membership join that keeps a hot key out of a single task."""
+"""Membership joins that keep a hot key out of a single task."""
 
 from __future__ import annotations
 
@@ -10,15 +10,16 @@ HOT_KEYS = 1000
 SALTS = 256
 
 
-def salted_semi_join(
+def salted_membership_join(
     rows: DataFrame,
     members: DataFrame,
     hot: DataFrame,
     key: str,
     spread: str,
+    how: str = "left_semi",
     salts: int = SALTS,
 ) -> DataFrame:
-    """Rows whose `key` occurs in `members`, which holds each key once.
+    """Rows whose `key` occurs (`left_semi`) or does not (`left_anti`) in `members`, a set.
 
     `hot` lists the most frequent keys, `HOT_KEYS` at most, and is broadcast for that bound.
     Rows of a hot key are spread over `salts` tasks by `spread` and only hot members are
@@ -33,7 +34,8 @@ def salted_semi_join(
         .drop("_hot")
     )
     every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
+    member_salts = F.when(F.col("_hot"), every_salt).otherwise(F.array(F.lit(0)))
     salted_members = members.join(marks, key, "left").select(
-        key, F.explode(F.when(F.col("_hot"), every_salt).otherwise(F.array(F.lit(0)))).alias("_salt")
+        key, F.explode(member_salts).alias("_salt")
     )
-    return salted_rows.join(salted_members, [key, "_salt"], "left_semi").drop("_salt")
+    return salted_rows.join(salted_members, [key, "_salt"], how).drop("_salt")

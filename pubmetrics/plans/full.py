@@ -21,6 +21,7 @@ from pubmetrics.operators.keywords import (
     keyword_frequency,
     top_edges,
     top_keywords,
+    vocabulary_is_small,
     with_keyword_set,
 )
 from pubmetrics.operators.quality import run_counts
@@ -86,11 +87,15 @@ def full_tables(
     max_year: int = MAX_YEAR,
     *,
     min_docs: int = MIN_DOCS,
+    broadcast_vocabulary: bool = False,
 ) -> dict[str, DataFrame]:
     """Result tables from the scoped records and their `aggregates`, lazy or stored."""
     annual, frequency, geo = shared["annual"], shared["keyword_freq"], shared["geo"]
     edges = keyword_cooccurrence(
-        with_keyword_set(scoped), min_docs=min_docs, frequency=frequency
+        with_keyword_set(scoped),
+        min_docs=min_docs,
+        frequency=frequency,
+        broadcast_vocabulary=broadcast_vocabulary,
     )
     return {
         "pubs_by_year": trend(annual),
@@ -160,7 +165,13 @@ def run_full_analysis(
         )
         for name, table in aggregates(scoped, unique).items()
     }
-    tables = full_tables(scoped, shared, min_year, max_year)
+    tables = full_tables(
+        scoped,
+        shared,
+        min_year,
+        max_year,
+        broadcast_vocabulary=vocabulary_is_small(shared["keyword_freq"]),
+    )
     for name, table in tables.items():
         write_csv(
             table,

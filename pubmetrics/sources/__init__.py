@@ -8,7 +8,7 @@ from pubmetrics.sources.readers import (
     read_json_records,
     union_records,
 )
-from pubmetrics.sources.shared import shared_folder
+from pubmetrics.sources.shared import shared_folder, stored
 from pubmetrics.sources.slices import (
     covered_years,
     in_slices,
@@ -41,6 +41,7 @@ __all__ = [
     "slice_bounds",
     "slice_counts",
     "sliced_scan",
+    "stored",
     "union_records",
     "with_source_order",
     "write_csv",

@@ -32,10 +32,13 @@ def sets():
     return out
 
 
+@pytest.mark.parametrize("small", [True, False])
 @pytest.mark.parametrize("block", [1, 7, 32, 1000])
-def test_cooccurrence_matches_brute_force(spark, sets, block):
+def test_cooccurrence_matches_brute_force(spark, sets, block, small):
     df = keyword_frame(spark, sets)
-    got = op.keyword_cooccurrence(df, min_docs=5, block=block, hot_keys=4, salts=3)
+    got = op.keyword_cooccurrence(
+        df, min_docs=5, block=block, hot_keys=4, salts=3, broadcast_vocabulary=small
+    )
     assert got.columns == ["from", "to", "value"]
     found = rows(got)
     assert len(found) == len(set(found)) and set(found) == brute_edges(sets, 5)
@@ -79,13 +82,20 @@ def test_only_hot_keys_are_spread(spark):
         F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("k"))
     members = rows_.select("k").distinct().filter("k <> 'k7'")
     hot = spark.createDataFrame([("hot",)], "k string")
-    got = op.salted_semi_join(rows_, members, hot, "k", "id", salts=8)
+    got = op.salted_membership_join(rows_, members, hot, "k", "id", salts=8)
     assert got.columns == ["k", "id"]
     assert sorted(r.id for r in got.collect()) == sorted(
         r.id for r in rows_.filter("k <> 'k7'").collect()
     )
 
 
+def test_vocabulary_size_check(spark, sets):
+    frequency = op.keyword_frequency(keyword_frame(spark, sets))
+    assert op.vocabulary_is_small(frequency)
+    assert not op.vocabulary_is_small(frequency, 1, limit=100)
+    assert op.vocabulary_is_small(frequency, 10_000, limit=0)
+
+
 def test_edge_weight_is_bounded_by_both_frequencies(spark, sets):
     df = keyword_frame(spark, sets)
     freq = dict(rows(op.keyword_frequency(df)))
