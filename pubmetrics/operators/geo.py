@@ -74,12 +74,12 @@ def regions_over_time(
         year_bin(F.col(year), bins).alias("bin"),
         extract_countries(F.col(affiliations), aliases).alias("countries"),
     )
+    # A year between two periods explodes to nothing; filtering on the period instead would
+    # push its whole derivation down to the scan, once per bound.
+    binned = F.when(F.col("bin").isNotNull(), F.col("countries"))
     counts = (
-        records.filter(F.col("bin").isNotNull())
-        .select(
-            "bin",
-            F.size("countries").alias("n"),
-            explode_nonempty(F.col("countries")).alias("country"),
+        records.select(
+            "bin", F.size("countries").alias("n"), explode_nonempty(binned).alias("country")
         )
         .groupBy("bin", "country", "n")
         .agg(F.count(F.lit(1)).alias("records"))

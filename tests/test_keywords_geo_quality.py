@@ -158,6 +158,15 @@ def test_regions_from_a_callers_table(spark):
     assert ("2000-2009", "South", 1.5) in got and ("2000-2009", "North", 1.0) in got
 
 
+def test_years_between_periods_are_left_out(spark):
+    got = rows(op.regions_over_time(geo_frame(spark), bins=[(2001, 2001), (2010, 2026)]))
+    assert got == [
+        ("2001-2001", "Europe & Central Asia", 1.0),
+        ("2010-2026", "Europe & Central Asia", 1.0),
+        ("2010-2026", "Unknown", 1.0),
+    ]
+
+
 def test_region_lookup_is_bounded(spark):
     with pytest.raises(ValueError, match="DataFrame"):
         op.region_table(spark, {str(i): "r" for i in range(10_001)})
