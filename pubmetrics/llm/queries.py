@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pubmetrics.llm import langid, packing, repetition, toxicity, wavelet
+from pubmetrics.llm import chat, langid, packing, repetition, simhash, toxicity, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +70,53 @@ def op7_packing(spark, sf_dir):
     return pieces.select(
         F.col("key").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query
+def op3_simhash(spark, sf_dir):
+    found = simhash.with_neighbours(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("key").alias("doc_id"),
+        "n_chars",
+        "edited_sha256",
+        simhash.as_hex("fingerprint").alias("fingerprint"),
+        simhash.as_hex("edited_fingerprint").alias("edited_fingerprint"),
+        simhash.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        simhash.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+    )
+
+
+@query
+def op8_chat_format(spark, sf_dir):
+    said = "\\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+
+    def digest(batches):
+        here, done = None, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if here is None or r["key"] != here["conv_id"] or r["part"] == 0:
+                    done += [here] if here else []
+                    here = {"conv_id": r["key"], "n_turns": 0, "turns": hashlib.sha256(), "loss_chars": 0, "loss": hashlib.sha256(), "formatted_chars": 0}
+                for role, text in chat.parse(r["formatted"]):
+                    here["turns"].update(f"{role}\n{text}\n".encode())
+                    here["n_turns"] += 1
+                for span in r["loss"]:
+                    text = chat.unescape(r["formatted"][span["start"] : span["start"] + span["length"]])
+                    here["loss"].update(text.encode())
+                    here["loss_chars"] += len(text)
+                here["formatted_chars"] += len(r["formatted"])
+            if done:
+                yield rows(done)
+                done = []
+        if here:
+            yield rows([here])
+
+    def rows(found):
+        plain = [{**r, "turns_sha256": r["turns"].hexdigest(), "loss_sha256": r["loss"].hexdigest()} for r in found]
+        names = [f.split()[0] for f in schema.split(", ")]
+        return pa.RecordBatch.from_pylist([{n: r[n] for n in names} for r in plain])
+
+    return chat.format_chats(turns).mapInArrow(digest, schema)
