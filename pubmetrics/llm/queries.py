@@ -8,7 +8,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pubmetrics.llm import chat, langid, packing, repetition, simhash, toxicity, wavelet
+from pubmetrics.llm import balance, chat, langid, packing, repetition, simhash, toxicity, warc, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -120,3 +120,23 @@ def op8_chat_format(spark, sf_dir):
         return pa.RecordBatch.from_pylist([{n: r[n] for n in names} for r in plain])
 
     return chat.format_chats(turns).mapInArrow(digest, schema)
+
+
+@query
+def op5_source_mix(spark, sf_dir):
+    mixed = balance.mix(table(spark, sf_dir, "documents"))
+    return mixed.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@query
+def op6_warc(spark, sf_dir):
+    folder = warc.new_folder(spark)
+    warc.write(warc.with_revisits(table(spark, sf_dir, "pages")), folder)
+    found = warc.read(spark, folder, payloads=False).where("reason IS NULL")
+    return found.select(
+        F.col("record_id").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("type").alias("record_type"),
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
