@@ -8,7 +8,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pubmetrics.llm import balance, chat, langid, packing, repetition, simhash, toxicity, warc, wavelet
+from pubmetrics.llm import balance, chat, jaccard, langid, packing, repetition, simhash, toxicity, warc, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -140,3 +140,9 @@ def op6_warc(spark, sf_dir):
         F.col("type").alias("record_type"),
         F.col("refers_to").cast("long").alias("refers_to"),
     )
+
+
+@query
+def op9_jaccard_join(spark, sf_dir):
+    found = jaccard.join(table(spark, sf_dir, "documents"), shingle=3, percent=90)
+    return found.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,16 +36,16 @@ def put(folder: str, name: str, data: bytes | pa.Buffer, attempt: str) -> str:
 
 
 def add_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum int64 count blobs by (name, piece), holding one blob of each."""
+    """Sum compressed int64 count blobs by (name, piece), holding one blob of each."""
     sums: dict[tuple, np.ndarray] = {}
     for b in batches:
         for name, piece, blob in zip(*(b.column(c) for c in ("name", "piece", "counts"))):
-            key, counts = (name.as_py(), piece.as_py()), np.frombuffer(blob.as_buffer(), np.int64)
+            key, counts = (name.as_py(), piece.as_py()), np.frombuffer(zstandard.decompress(blob.as_py()), np.int64)
             if key in sums:
                 sums[key] += counts
             else:
                 sums[key] = counts.copy()
-    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["name", "piece", "counts"])
+    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.int32()), pa.array([zstandard.compress(v.tobytes(), 1) for v in sums.values()], pa.binary())], ["name", "piece", "counts"])
 
 
 BLOBS = "name string, piece int, counts binary"
@@ -52,12 +53,12 @@ BLOBS = "name string, piece int, counts binary"
 
 def blob_rows(name: str | None, counts: np.ndarray, pieces: int) -> list[tuple]:
     """Rows of BLOBS for one count vector, cut into pieces."""
-    return [(name, i, c.astype(np.int64).tobytes()) for i, c in enumerate(np.array_split(counts, pieces))]
+    return [(name, i, zstandard.compress(c.astype(np.int64).tobytes(), 1)) for i, c in enumerate(np.array_split(counts, pieces))]
 
 
 def summed_blobs(df: DataFrame) -> dict[str | None, np.ndarray]:
     """Count vectors by name, added up in tasks; only the sums reach the driver."""
     found: dict[str | None, dict[int, np.ndarray]] = {}
     for r in df.repartition("name", "piece").mapInArrow(add_blobs, BLOBS).toLocalIterator():
-        found.setdefault(r["name"], {})[r["piece"]] = np.frombuffer(bytes(r["counts"]), np.int64)
+        found.setdefault(r["name"], {})[r["piece"]] = np.frombuffer(zstandard.decompress(bytes(r["counts"])), np.int64)
     return {k: np.concatenate([v[i] for i in sorted(v)]) for k, v in found.items()}
