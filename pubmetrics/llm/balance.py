@@ -114,15 +114,15 @@ def mend(counted: DataFrame, targets: DataFrame, column: str, most: int) -> Data
     return counted.join(chosen, same, "left").withColumn("copies", F.col("copies") + F.coalesce("_more", F.lit(0))).drop("_v", "_b", "_p", "_more")
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: Sequence[float] = (5, 2, 1), most: int = 3) -> DataFrame:
-    """Per document: key, size (words), source, source_size, target (of its source), rate, copies, taken.
+def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: Sequence[float] = (5, 2, 1), most: int = 3, carry: Sequence[str] = ()) -> DataFrame:
+    """Per document: key, the columns of ``carry``, size (words), source, source_size, target (of its source), rate, copies, taken.
 
     Sources share the sum of all sizes by their weights, no source above ``most`` times its size
     (``cycled_targets``); entropy balancing tilts documents to those targets and rates are rounded into
     0 to ``most`` copies. A null text has size 0 and gets copies that add nothing, a null source is a source,
     repeated rows are documents of their own, an empty table gives no row.
     """
-    rows = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    rows = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *carry)
     # Texts are read once; what follows is narrow.
     rows = stored(rows, "mix-sizes")
     cells = stored(rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "mix-cells")
