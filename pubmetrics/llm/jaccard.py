@@ -29,7 +29,8 @@ CELLS = 32
 SHORT_LIST = 8
 BLOCK_ROWS = 4096
 U = np.uint64
-PAIRS = "a long, b long"
+PAIRS = "a long, b long, apart int"
+LINKS = "a long, b long"
 
 
 def needed(total, percent: int):
@@ -81,22 +82,41 @@ def histogram(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce((counts & 15).astype(U) << (U(4) * np.arange(16, dtype=U)), axis=2)
 
 
+def fine_histogram(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """64 bytes per set: 256 cells of token counts, modulo 4."""
+    n = len(at) - 1
+    owner = np.repeat(np.arange(n), np.diff(at))
+    cells = ((tokens >> U(5)) & U(255)).astype(np.int64)
+    counts = np.bincount(owner * 256 + cells, minlength=n * 256).reshape(n, 64, 4)
+    return ((counts & 3) << np.array([0, 2, 4, 6])).sum(axis=2).astype(np.uint8)
+
+
+#: Distance of two bytes as four numbers modulo 4, by the byte of their differences.
+FINE = np.zeros((256, 256), np.uint8)
+for _shift in (0, 2, 4, 6):
+    _cell = (np.arange(256) >> _shift) & 3
+    _apart = (_cell[:, None] - _cell[None, :]) & 3
+    FINE += np.minimum(_apart, 4 - _apart).astype(np.uint8)
+
+
 def nibbles(words: np.ndarray) -> np.ndarray:
     return ((words[..., None] >> (U(4) * np.arange(16, dtype=U))) & U(15)).astype(np.uint8)
 
 
-def possible(n1, h1, n2, h2, percent: int) -> np.ndarray:
-    """False only where two sets cannot be similar: sizes and histograms differ too much."""
+def possible(n1, h1, n2, h2, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs that may be similar, and for each a number of elements in which they differ at least.
+
+    Others cannot be: their sizes or histograms differ too much.
+    """
     total = n1 + n2
     room = total - 2 * needed(total, percent)
-    ok = np.abs(n1 - n2) <= room
-    at = np.flatnonzero(ok)
+    at = np.flatnonzero(np.abs(n1 - n2) <= room)
     apart = np.zeros(len(at), np.int64)
     for w in range(2):
         d = (nibbles(h1[at, w]) - nibbles(h2[at, w])) & np.uint8(15)
         apart += np.minimum(d, np.uint8(16) - d).sum(axis=1, dtype=np.int64)
-    ok[at] = apart <= room[at]
-    return ok
+    ok = apart <= room[at]
+    return at[ok], apart[ok]
 
 
 def scanned(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
@@ -180,11 +200,13 @@ def columns_of(table: pa.Table | pa.RecordBatch, names: tuple[str, ...]) -> list
     return [table.column(c).to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else table.column(c).to_numpy() for c in names]
 
 
-def distinct_pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+def distinct_pairs(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> pa.RecordBatch:
     lo, hi = np.minimum(a, b), np.maximum(a, b)
-    some = lo != hi
-    found = np.unique(np.stack([lo[some], hi[some]], axis=1), axis=0) if some.any() else np.zeros((0, 2), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+    order = np.lexsort((apart, hi, lo))
+    lo, hi, apart = lo[order], hi[order], apart[order]
+    keep = lo != hi
+    keep[1:] &= (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+    return pa.RecordBatch.from_arrays([pa.array(lo[keep]), pa.array(hi[keep]), pa.array(apart[keep].astype(np.int32))], ["a", "b", "apart"])
 
 
 def short_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -193,15 +215,14 @@ def short_pairs(rows: DataFrame, percent: int) -> DataFrame:
     def pairs(t: pa.Table) -> pa.RecordBatch:
         lists, keys, n = columns_of(t, ("list", "key", "n"))
         hist = np.stack(columns_of(t, ("h1", "h2")), axis=1).view(U)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        found: list[tuple[np.ndarray, ...]] = [(keys[:0], keys[:0], keys[:0])]
         for d in range(1, min(SHORT_LIST, len(lists))):
             i = np.flatnonzero(lists[d:] == lists[:-d])
             if not len(i):
                 break
-            i = i[possible(n[i].astype(np.int64), hist[i], n[i + d].astype(np.int64), hist[i + d], percent)]
-            found.append((keys[i], keys[i + d]))
-        a, b = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else ((), ())))
-        return distinct_pairs(a, b)
+            some, apart = possible(n[i].astype(np.int64), hist[i], n[i + d].astype(np.int64), hist[i + d], percent)
+            found.append((keys[i[some]], keys[i[some] + d], apart))
+        return distinct_pairs(*map(np.concatenate, zip(*found)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -235,8 +256,8 @@ def neighbours(rows: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1, n1, a1, b1, k2, n2, a2, b2 = columns_of(batch, ("k1", "n1", "a1", "b1", "k2", "n2", "a2", "b2"))
-            ok = possible(n1.astype(np.int64), np.stack([a1, b1], 1).view(U), n2.astype(np.int64), np.stack([a2, b2], 1).view(U), percent)
-            yield distinct_pairs(k1[ok], k2[ok])
+            some, apart = possible(n1.astype(np.int64), np.stack([a1, b1], 1).view(U), n2.astype(np.int64), np.stack([a2, b2], 1).view(U), percent)
+            yield distinct_pairs(k1[some], k2[some], apart)
 
     return flat.mapInArrow(run, PAIRS).distinct()
 
@@ -261,13 +282,19 @@ def across(rows: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
             hist = np.stack(columns_of(t, ("h1", "h2")), axis=1).view(U)
             last = np.searchsorted(n, 100 * n // percent, side="right")
             same = cell[1] == cell[2]
+            found, size = [], 0
             for x in range(len(keys)):
                 y = np.arange(x + 1, last[x])
                 y = y[(label[y] != label[x]) & ((block[y] != block[x]) | same)]
                 if len(y):
-                    y = y[possible(np.broadcast_to(n[x], len(y)), np.broadcast_to(hist[x], (len(y), 2)), n[y], hist[y], percent)]
-                if len(y):
-                    yield distinct_pairs(np.full(len(y), keys[x]), keys[y])
+                    some, apart = possible(np.broadcast_to(n[x], len(y)), np.broadcast_to(hist[x], (len(y), 2)), n[y], hist[y], percent)
+                    found.append((np.full(len(some), keys[x]), keys[y[some]], apart))
+                    size += len(some)
+                if size >= 1 << 16:
+                    yield distinct_pairs(*map(np.concatenate, zip(*found)))
+                    found, size = [], 0
+            if size:
+                yield distinct_pairs(*map(np.concatenate, zip(*found)))
 
         for batch in batches:
             lists, i, j = columns_of(batch, ("list", "i", "j"))
@@ -287,9 +314,8 @@ def across(rows: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, PAIRS).distinct()
 
 
-def similar(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs that are similar, by their whole sets."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+def whole_sets(docs: DataFrame, ends: DataFrame, shingle: int) -> DataFrame:
+    """(key, n, fine, set) of the documents with the keys of ``ends``, which are distinct: 5 bytes for each shingle."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -312,11 +338,33 @@ def similar(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> Da
             for part in tx.slices(batch, "text"):
                 tokens, at = shingle_sets(part.column("text"), shingle)
                 packed = tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : TOKEN_BITS // 8].tobytes()
+                fine = [f.tobytes() for f in fine_histogram(tokens, at)]
+                n = np.diff(at).astype(np.int32)
                 at = at * (TOKEN_BITS // 8)
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([packed[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())], ["key", "set"])
+                blobs = [packed[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(n), pa.array(fine, pa.binary()), pa.array(blobs, pa.binary())], ["key", "n", "fine", "set"])
 
-    found = docs.mapInArrow(sets, "key long, set binary").join(ends, "key", "left_semi")
-    found = stored(found.dropDuplicates(["key"]), "jaccard-sets")
+    found = docs.mapInArrow(sets, "key long, n int, fine binary, set binary").join(ends, "key", "left_semi")
+    return stored(found.dropDuplicates(["key"]), "jaccard-sets")
+
+
+def likely(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The possible pairs that are still possible by their finer histograms, with the new bound."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n1, n2 = (x.astype(np.int64) for x in columns_of(batch, ("n_a", "n_b")))
+            fine = [tx.utf8(batch.column(c))[0].reshape(-1, 64) for c in ("fine_a", "fine_b")]
+            apart = FINE[fine[0], fine[1]].sum(axis=1, dtype=np.int32)
+            ok = pa.array(apart <= n1 + n2 - 2 * needed(n1 + n2, percent))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok), pa.array(apart).filter(ok)], ["a", "b", "apart"])
+
+    a, b = (sets.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("fine").alias(f"fine_{x}")) for x in "ab")
+    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "fine_a", "fine_b").mapInArrow(run, PAIRS)
+
+
+def similar(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs that are similar, by their whole sets."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -335,9 +383,40 @@ def similar(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> Da
                 ok = overlap >= needed(sizes[0] + sizes[1], percent)
                 yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(ok)) for c in ("a", "b")], ["a", "b"])
 
-    a = found.select(F.col("key").alias("a"), F.col("set").alias("set_a"))
-    b = found.select(F.col("key").alias("b"), F.col("set").alias("set_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, PAIRS)
+    a = sets.select(F.col("key").alias("a"), F.col("set").alias("set_a"))
+    b = sets.select(F.col("key").alias("b"), F.col("set").alias("set_b"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, LINKS)
+
+
+def verified(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int, labels: DataFrame | None = None) -> DataFrame:
+    """``labels`` (node, label) of components, joined further by the similar ones of possible pairs.
+
+    Every document first tries its two likeliest pairs, then all; pairs whose ends have met
+    meanwhile need no test. So copies of one text cost few tests each, and no connection is lost.
+    """
+    spark = docs.sparkSession
+    labels = labels if labels is not None else spark.createDataFrame([], "node long, label long")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    sets = whole_sets(docs, ends, shingle)
+    pairs = stored(likely(sets, pairs, percent), "jaccard-pairs")
+    for most in (2, None):
+        one, two = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
+        open_pairs = pairs.join(one, "a", "left").join(two, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
+        now = open_pairs.select("a", "b", "apart")
+        if most:
+            both = now.select("a", "b", "apart", F.explode(F.array("a", "b")).alias("end"))
+            order = Window.partitionBy("end").orderBy("apart", "a", "b")
+            now = both.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).distinct()
+        now = stored(now.select("a", "b").distinct(), "jaccard-tests")
+        if now.isEmpty():
+            break
+        links = similar(sets, now, percent)
+        if most:
+            links = stored(links, "jaccard-links")
+            pairs = pairs.join(now, ["a", "b"], "left_anti")
+        known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+        labels = stored(components(known.unionByName(links)), "jaccard-labels")
+    return labels
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -395,12 +474,11 @@ def linked(docs: DataFrame, classes: DataFrame, blobs: DataFrame, shingle: int,
     if some_long:
         first = first.unionByName(neighbours(long, percent)).distinct()
     first = stored(first, "jaccard-pairs")
-    edges = stored(similar(docs, first, shingle, percent), "jaccard-links")
-    labels = stored(components(edges), "jaccard-labels")
+    if first.isEmpty() and not some_long:
+        return docs.sparkSession.createDataFrame([], "node long, label long")
+    labels = verified(docs, first, shingle, percent)
     if some_long:
-        more = across(long, labels, percent).join(first, ["a", "b"], "left_anti")
-        more = stored(more, "jaccard-pairs")
+        more = stored(across(long, labels, percent).join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
         if not more.isEmpty():
-            edges = edges.unionByName(similar(docs, more, shingle, percent))
-            labels = components(edges)
+            labels = verified(docs, more, shingle, percent, labels)
     return labels
