@@ -29,7 +29,7 @@ CELLS = 32
 SHORT_LIST = 8
 BLOCK_ROWS = 4096
 U = np.uint64
-PAIRS = "a long, b long, apart int"
+PAIRS = "a long, b long, apart int, shared int"
 LINKS = "a long, b long"
 
 
@@ -43,6 +43,11 @@ def prefix(n, percent: int, share: int):
     return np.minimum(n, n + (-percent * n // 100) + share)
 
 
+def shares(n, light: int):
+    """How many lists a set of n shingles must share with a similar one as large: more for large sets, one for light ones."""
+    return np.where(n > light, 1 + n // 50, 1)
+
+
 def shingle_sets(column: pa.Array, shingle: int, levels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes (40 bits) of each text and offsets; in order of level, if given, and hash.
 
@@ -82,21 +87,26 @@ def histogram(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce((counts & 15).astype(U) << (U(4) * np.arange(16, dtype=U)), axis=2)
 
 
-def fine_histogram(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """64 bytes per set: 256 cells of token counts, modulo 4."""
-    n = len(at) - 1
-    owner = np.repeat(np.arange(n), np.diff(at))
-    cells = ((tokens >> U(5)) & U(255)).astype(np.int64)
-    counts = np.bincount(owner * 256 + cells, minlength=n * 256).reshape(n, 64, 4)
-    return ((counts & 3) << np.array([0, 2, 4, 6])).sum(axis=2).astype(np.uint8)
+def fine_histogram(tokens: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Token counts modulo 4, four cells to a byte: 256 cells or, for large sets, the power of two of half their size."""
+    out = []
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        cells = max(256, 1 << ((b - a) // 2).bit_length())
+        counts = np.bincount((tokens[a:b] & U(cells - 1)).astype(np.int64), minlength=cells).reshape(4, -1) & 3
+        out.append((counts[0] | counts[1] << 2 | counts[2] << 4 | counts[3] << 6).astype(np.uint8).tobytes())
+    return out
 
 
-#: Distance of two bytes as four numbers modulo 4, by the byte of their differences.
-FINE = np.zeros((256, 256), np.uint8)
-for _shift in (0, 2, 4, 6):
-    _cell = (np.arange(256) >> _shift) & 3
-    _apart = (_cell[:, None] - _cell[None, :]) & 3
-    FINE += np.minimum(_apart, 4 - _apart).astype(np.uint8)
+def fine_apart(x: bytes, y: bytes) -> int:
+    """Elements in which two sets differ at least, by their fine histograms; the longer one is folded."""
+    cells = []
+    for blob in (x, y):
+        packed = np.frombuffer(blob, np.uint8)
+        cells.append(np.concatenate([packed >> s & 3 for s in (0, 2, 4, 6)]))
+    least = min(map(len, cells))
+    p, q = (c.reshape(-1, least).sum(axis=0, dtype=np.uint8) for c in cells)
+    apart = (p - q) & np.uint8(3)
+    return int(np.minimum(apart, np.uint8(4) - apart).sum(dtype=np.int64))
 
 
 def nibbles(words: np.ndarray) -> np.ndarray:
@@ -178,7 +188,7 @@ def posted(docs: DataFrame, shingle: int, percent: int, levels: np.ndarray, ligh
                 s1 = (rolled[at[1:]] - rolled[at[:-1]]).view(np.int64)
                 hist = histogram(tokens, at).view(np.int64)
                 # Lights meet heavies in single lists too, as far as their sizes can be similar.
-                single = np.where((n >= least) & (100 * n >= percent * (light + 1)), prefix(n, percent, 1), 0)
+                single = np.where((n >= least) & (100 * n >= percent * (light + 1)), prefix(n, percent, shares(n, light)), 0)
                 double = np.where((n >= least) & (n <= light), prefix(n, percent, 2), 0)
                 owner = np.arange(len(n))
                 owners, lists = [np.repeat(owner, single)], [tx.mixed(tokens[tx.ranges(at[:-1], single)] + U(1))]
@@ -201,12 +211,16 @@ def columns_of(table: pa.Table | pa.RecordBatch, names: tuple[str, ...]) -> list
 
 
 def distinct_pairs(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> pa.RecordBatch:
+    """Each pair once, the smaller key first, with how often it came."""
     lo, hi = np.minimum(a, b), np.maximum(a, b)
     order = np.lexsort((apart, hi, lo))
     lo, hi, apart = lo[order], hi[order], apart[order]
-    keep = lo != hi
-    keep[1:] &= (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
-    return pa.RecordBatch.from_arrays([pa.array(lo[keep]), pa.array(hi[keep]), pa.array(apart[keep].astype(np.int32))], ["a", "b", "apart"])
+    new = np.ones(len(lo), bool)
+    new[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+    at = np.flatnonzero(new)
+    shared = np.diff(np.append(at, len(lo)))
+    at, shared = at[lo[at] != hi[at]], shared[lo[at] != hi[at]]
+    return pa.RecordBatch.from_arrays([pa.array(lo[at]), pa.array(hi[at]), pa.array(apart[at].astype(np.int32)), pa.array(shared.astype(np.int32))], ["a", "b", "apart", "shared"])
 
 
 def short_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -243,7 +257,19 @@ def short_pairs(rows: DataFrame, percent: int) -> DataFrame:
             yield pairs(pa.Table.from_batches(held))
 
     dealt = rows.repartition("list").sortWithinPartitions("list")
-    return dealt.select("list", "key", "n", "h1", "h2").mapInArrow(run, PAIRS).distinct()
+    found = dealt.select("list", "key", "n", "h1", "h2").mapInArrow(run, PAIRS)
+    return found.groupBy("a", "b").agg(F.max("apart").alias("apart"), F.sum("shared").cast("int").alias("shared"))
+
+
+def sharing(pairs: DataFrame, short: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that can share enough lists: the short ones they are known to share and all their long ones.
+
+    ``sets``: key, needs (``shares`` of its size) and longs (number of its long lists).
+    """
+    one, two = (sets.select(F.col("key").alias(c), F.col("needs").alias(f"needs_{c}"), F.col("longs").alias(f"longs_{c}")) for c in "ab")
+    known = pairs.select("a", "b", "apart").join(short.select("a", "b", "shared"), ["a", "b"], "left").join(one, "a").join(two, "b")
+    most = F.coalesce("shared", F.lit(0)) + F.least("longs_a", "longs_b")
+    return known.where(most >= F.least("needs_a", "needs_b")).select("a", "b", "apart")
 
 
 def neighbours(rows: DataFrame, percent: int) -> DataFrame:
@@ -259,7 +285,7 @@ def neighbours(rows: DataFrame, percent: int) -> DataFrame:
             some, apart = possible(n1.astype(np.int64), np.stack([a1, b1], 1).view(U), n2.astype(np.int64), np.stack([a2, b2], 1).view(U), percent)
             yield distinct_pairs(k1[some], k2[some], apart)
 
-    return flat.mapInArrow(run, PAIRS).distinct()
+    return flat.mapInArrow(run, PAIRS).select("a", "b", "apart").distinct()
 
 
 def across(rows: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -311,7 +337,7 @@ def across(rows: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
             yield from compare()
 
     dealt = rows.repartition("list", "i", "j").sortWithinPartitions("list", "i", "j", "n", "key")
-    return dealt.mapInArrow(run, PAIRS).distinct()
+    return dealt.mapInArrow(run, PAIRS).select("a", "b", "apart").distinct()
 
 
 def whole_sets(docs: DataFrame, ends: DataFrame, shingle: int) -> DataFrame:
@@ -338,7 +364,7 @@ def whole_sets(docs: DataFrame, ends: DataFrame, shingle: int) -> DataFrame:
             for part in tx.slices(batch, "text"):
                 tokens, at = shingle_sets(part.column("text"), shingle)
                 packed = tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : TOKEN_BITS // 8].tobytes()
-                fine = [f.tobytes() for f in fine_histogram(tokens, at)]
+                fine = fine_histogram(tokens, at)
                 n = np.diff(at).astype(np.int32)
                 at = at * (TOKEN_BITS // 8)
                 blobs = [packed[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
@@ -354,13 +380,13 @@ def likely(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n1, n2 = (x.astype(np.int64) for x in columns_of(batch, ("n_a", "n_b")))
-            fine = [tx.utf8(batch.column(c))[0].reshape(-1, 64) for c in ("fine_a", "fine_b")]
-            apart = FINE[fine[0], fine[1]].sum(axis=1, dtype=np.int32)
+            fine = [batch.column(c).to_pylist() for c in ("fine_a", "fine_b")]
+            apart = np.fromiter(map(fine_apart, *fine), np.int32, batch.num_rows)
             ok = pa.array(apart <= n1 + n2 - 2 * needed(n1 + n2, percent))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok), pa.array(apart).filter(ok)], ["a", "b", "apart"])
 
     a, b = (sets.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("fine").alias(f"fine_{x}")) for x in "ab")
-    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "fine_a", "fine_b").mapInArrow(run, PAIRS)
+    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "fine_a", "fine_b").mapInArrow(run, "a long, b long, apart int")
 
 
 def similar(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -462,23 +488,29 @@ def linked(docs: DataFrame, classes: DataFrame, blobs: DataFrame, shingle: int,
     """(node, label) of all classes, known by their first keys, that link with another."""
     counts = summed_blobs(blobs).get(None, np.zeros(1 << SKETCH_BITS, np.int64))
     levels, usual_list = shingle_levels(counts)
-    post = posted(docs.where("key IS NOT NULL"), shingle, percent, levels, boundary(usual_list, percent))
+    light = boundary(usual_list, percent)
+    post = posted(docs.where("key IS NOT NULL"), shingle, percent, levels, light)
     firsts = classes.where("first IS NOT NULL").select(F.col("first").alias("key"), "s1")
     post = post.join(firsts, ["key", "s1"]).dropDuplicates(["key", "s1"])
     rows = post.select(F.explode("lists").alias("list"), "key", "n", "h1", "h2")
     rows = rows.withColumn("m", F.count("*").over(Window.partitionBy("list"))).where("m > 1")
     rows = stored(rows, "jaccard-lists")
+    needs = F.when(F.col("n") > light, 1 + F.floor(F.col("n") / 50)).otherwise(1)
+    sets = rows.groupBy("key").agg(F.min(needs).alias("needs"), F.sum((F.col("m") > SHORT_LIST).cast("int")).alias("longs"))
+    sets = stored(sets, "jaccard-needs")
     long = rows.where(F.col("m") > SHORT_LIST).drop("m")
-    first = short_pairs(rows.where(F.col("m") <= SHORT_LIST), percent)
+    short = stored(short_pairs(rows.where(F.col("m") <= SHORT_LIST), percent), "jaccard-short")
     some_long = not long.isEmpty()
+    found = short.select("a", "b", "apart")
     if some_long:
-        first = first.unionByName(neighbours(long, percent)).distinct()
-    first = stored(first, "jaccard-pairs")
+        found = found.unionByName(neighbours(long, percent)).distinct()
+    first = stored(sharing(found, short, sets), "jaccard-pairs")
     if first.isEmpty() and not some_long:
         return docs.sparkSession.createDataFrame([], "node long, label long")
     labels = verified(docs, first, shingle, percent)
     if some_long:
-        more = stored(across(long, labels, percent).join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
+        more = across(long, labels, percent).join(first, ["a", "b"], "left_anti")
+        more = stored(sharing(more, short, sets), "jaccard-pairs")
         if not more.isEmpty():
             labels = verified(docs, more, shingle, percent, labels)
     return labels
