@@ -202,7 +202,7 @@ def oracle(name: str, ctes: str, select: str) -> None:
     ORACLES[name] = f"WITH {ctes.strip()}\n{select.strip()}"
 
 
-ORACLES["load_records"] = "SELECT doc_id, lang, source, n_chars FROM documents"
+ORACLES["load_records"] = "SELECT doc_id, text, lang, source, n_chars FROM documents"
 oracle("ingest_records", PUBS, """
 SELECT CAST(src_ord AS VARCHAR) AS src_ord, eid, title,
   CASE WHEN src_ord % 2 = 0 THEN journal END AS journal,

@@ -86,9 +86,7 @@ def joined(items: Column) -> Column:
 @query
 def load_records(spark, sf_dir):
     """SRC1: a table by base path, format found by what exists."""
-    return src.load_records(spark, f"{sf_dir}/documents").select(
-        "doc_id", "lang", "source", "n_chars"
-    )
+    return src.load_records(spark, f"{sf_dir}/documents")
 
 
 @query
@@ -528,12 +526,10 @@ def keyword_cooccurrence_frequent(spark, sf_dir):
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Co-occurrence over stored keyword sets and frequencies, planned by vocabulary size."""
+    """Co-occurrence over stored keyword sets and frequencies."""
     sets = src.stored(scoped_keywords(spark, sf_dir).select("src_ord", "keywords"), "keywords")
     frequency = src.stored(op.keyword_frequency(sets), "frequency")
-    return op.keyword_cooccurrence(
-        sets, frequency=frequency, broadcast_vocabulary=op.vocabulary_is_small(frequency)
-    )
+    return op.keyword_cooccurrence(sets, frequency=frequency)
 
 
 @query

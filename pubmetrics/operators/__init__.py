@@ -14,13 +14,11 @@ from pubmetrics.operators.keywords import (
     keyword_vocabulary,
     top_edges,
     top_keywords,
-    vocabulary_is_small,
     with_keyword_set,
 )
 from pubmetrics.operators.quality import coverage, report_kpis, run_counts
 from pubmetrics.operators.schema import EXPORT_FIELDS, SEARCH_FIELDS, canonicalize, resolve_field
 from pubmetrics.operators.search import mentions, search_records
-from pubmetrics.operators.skew import salted_membership_join
 from pubmetrics.operators.trends import (
     annual_counts,
     cagr,
@@ -58,14 +56,12 @@ __all__ = [
     "report_kpis",
     "resolve_field",
     "run_counts",
-    "salted_membership_join",
     "search_records",
     "tally",
     "top_edges",
     "top_keywords",
     "trend",
     "value_counts",
-    "vocabulary_is_small",
     "with_keyword_set",
     "with_record_key",
     "with_region",

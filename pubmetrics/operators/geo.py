@@ -17,15 +17,17 @@ from pubmetrics.functions import (
 from pubmetrics.functions.years import YEAR_BINS
 from pubmetrics.operators.counts import explode_nonempty
 
-# A lookup given as a Python mapping travels to every task; a larger one must be a table.
-MAX_LOOKUP = 10_000
 BUBBLE_SCALE = 60
 
 
 def region_table(spark: SparkSession, regions: Mapping[str, str] = COUNTRY_REGIONS) -> DataFrame:
-    """PRJ17: the country to region lookup as a broadcast table of checked size."""
-    if len(regions) > MAX_LOOKUP:
-        raise ValueError(f"{len(regions)} countries: pass the lookup as a DataFrame")
+    """PRJ17: the country to region lookup as a table.
+
+    The built-in rows are literals of the plan and broadcast; a caller's own mapping becomes a table
+    of any size without a hint.
+    """
+    if regions is not COUNTRY_REGIONS:
+        return spark.createDataFrame(list(regions.items()), "country string, region string")
     rows = F.array(
         *(
             F.struct(F.lit(country).alias("country"), F.lit(region).alias("region"))

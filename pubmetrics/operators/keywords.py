@@ -7,16 +7,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pubmetrics.functions import keyword_set
 from pubmetrics.operators.counts import explode_items, explode_nonempty, ranked, tally
 from pubmetrics.operators.schema import ORDER_COLUMN
-from pubmetrics.operators.skew import HOT_KEYS, SALTS, salted_membership_join
 
 MIN_DOCS = 5
 TOP_KEYWORDS = 20
 TOP_EDGES = 400
 # Keywords of one record that are paired in one piece.
 BLOCK = 256
-# Size up to which a vocabulary is broadcast, and what a row adds to its text.
-VOCABULARY_BYTES = 64 << 20
-ROW_BYTES = 64
 
 
 def with_keyword_set(
@@ -48,15 +44,6 @@ def keyword_vocabulary(frequency: DataFrame, min_docs: int | Column = MIN_DOCS)
     return frequency.filter(F.col("count") >= min_docs).select("keyword")
 
 
-def vocabulary_is_small(
-    frequency: DataFrame, min_docs: int | Column = MIN_DOCS, limit: int = VOCABULARY_BYTES
-) -> bool:
-    """Whether the frequent keywords fit a broadcast; runs one aggregate on `frequency`."""
-    held = keyword_vocabulary(frequency, min_docs)
-    size = held.agg(F.sum(F.octet_length("keyword") + ROW_BYTES)).first()[0]
-    return (size or 0) <= limit
-
-
 def keyword_cooccurrence(
     df: DataFrame,
     *,
@@ -64,10 +51,7 @@ def keyword_cooccurrence(
     record: str = ORDER_COLUMN,
     min_docs: int | Column = MIN_DOCS,
     frequency: DataFrame | None = None,
-    broadcast_vocabulary: bool = False,
     block: int = BLOCK,
-    hot_keys: int = HOT_KEYS,
-    salts: int = SALTS,
 ) -> DataFrame:
     """AGG8: records in which two frequent keywords occur together, as `from < to, value`.
 
@@ -75,8 +59,9 @@ def keyword_cooccurrence(
     identifies a row. Rare keywords leave a record before it is paired: they are looked up
     one by one, gathered per record, where they are few, and taken out of its set; the sets
     themselves are never taken apart. Pass a stored `frequency` table (keyword, count) to
-    spare a second pass over the records, and `broadcast_vocabulary` only behind
-    `vocabulary_is_small`; without it the lookup is a shuffle with hot keywords salted.
+    spare a second pass over the records. The vocabulary carries no hint: it is broadcast if its
+    measured size allows, else a hot keyword's rows are split by adaptive skew handling, which a
+    left anti join permits on its left side.
     """
     if frequency is None:
         frequency = _frequency(df, keywords)
@@ -84,13 +69,7 @@ def keyword_cooccurrence(
     sets = df.select(F.col(record).alias("record"), F.col(keywords).alias("keywords"))
 
     held = sets.select("record", explode_nonempty(F.col("keywords")).alias("keyword"))
-    if broadcast_vocabulary:
-        rare = held.join(F.broadcast(vocabulary), "keyword", "left_anti")
-    else:
-        hot = ranked(frequency, "keyword", limit=hot_keys).select("keyword")
-        rare = salted_membership_join(
-            held, vocabulary, hot, "keyword", "record", "left_anti", salts
-        )
+    rare = held.join(vocabulary, "keyword", "left_anti")
     # One group is one record's own rare keywords: a part of a single input row.
     rare = rare.groupBy("record").agg(F.collect_list("keyword").alias("rare"))
     frequent = sets.join(rare, "record", "left").select(

@@ -32,7 +32,7 @@ def clean_records(df: DataFrame, *, dedup: bool = True, nulls: str = "collapse")
 
 def clean(raw: DataFrame, *, nulls: str = "collapse", keep_other: bool = True) -> DataFrame:
     """Clean a raw record table under any known header; not deduplicated without an id column."""
-    has_id = resolve_field(raw.columns, SEARCH_FIELDS["eid"]) is not None
+    has_id = resolve_field([c.strip() for c in raw.columns], SEARCH_FIELDS["eid"]) is not None
     if has_id and ORDER_COLUMN not in raw.columns:
         raise ValueError(f"keep-first needs {ORDER_COLUMN}: load the records with ordered=True")
     return clean_records(canonicalize(raw, keep_other=keep_other), dedup=has_id, nulls=nulls)

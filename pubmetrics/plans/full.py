@@ -21,14 +21,19 @@ from pubmetrics.operators.keywords import (
     keyword_frequency,
     top_edges,
     top_keywords,
-    vocabulary_is_small,
     with_keyword_set,
 )
 from pubmetrics.operators.quality import run_counts
 from pubmetrics.operators.schema import EXPORT_FIELDS, ORDER_COLUMN, canonicalize
 from pubmetrics.operators.trends import annual_counts, kpi_interest, trend
 from pubmetrics.plans.ingest import RunFiles
-from pubmetrics.sources.writers import append_run_metrics, write_csv, write_records
+from pubmetrics.sources.writers import (
+    append_run_metrics,
+    read_as,
+    stored_at,
+    write_csv,
+    write_records,
+)
 
 # The default scope.
 MIN_YEAR = 1983
@@ -87,7 +92,6 @@ def full_tables(
     max_year: int = MAX_YEAR,
     *,
     min_docs: int = MIN_DOCS,
-    broadcast_vocabulary: bool = False,
 ) -> dict[str, DataFrame]:
     """Result tables from the scoped records and their `aggregates`, lazy or stored."""
     annual, frequency, geo = shared["annual"], shared["keyword_freq"], shared["geo"]
@@ -95,7 +99,6 @@ def full_tables(
         with_keyword_set(scoped),
         min_docs=min_docs,
         frequency=frequency,
-        broadcast_vocabulary=broadcast_vocabulary,
     )
     return {
         "pubs_by_year": trend(annual),
@@ -139,18 +142,9 @@ def run_full_analysis(
     one shuffle of the export, year-pruned columnar scans after it, and no lineage to replay
     when an executor is lost.
     """
-    spark: SparkSession = raw.sparkSession
     files = RunFiles(base, run_id)
     records = export_records(raw, strict=strict)
-    unique = spark.read.parquet(
-        write_records(
-            deduplicated(records),
-            files.work("full", "deduplicated"),
-            "parquet",
-            overwrite=overwrite,
-            partition_by="_year",
-        )
-    )
+    unique = stored_at(deduplicated(records), files.work("full", "deduplicated"), "_year")
     scope_path = write_records(
         in_scope(unique, min_year, max_year),
         files.table("full_analysis", "dataset_scope"),
@@ -158,11 +152,9 @@ def run_full_analysis(
         overwrite=overwrite,
         partition_by="_year",
     )
-    scoped = spark.read.parquet(scope_path)
+    scoped = read_as(in_scope(unique, min_year, max_year), scope_path)
     shared = {
-        name: spark.read.parquet(
-            write_records(table, files.work("full", name), "parquet", overwrite=overwrite)
-        )
+        name: stored_at(table, files.work("full", name))
         for name, table in aggregates(scoped, unique).items()
     }
     tables = full_tables(
@@ -170,7 +162,6 @@ def run_full_analysis(
         shared,
         min_year,
         max_year,
-        broadcast_vocabulary=vocabulary_is_small(shared["keyword_freq"]),
     )
     for name, table in tables.items():
         write_csv(

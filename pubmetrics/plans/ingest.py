@@ -14,7 +14,7 @@ from pubmetrics.operators.schema import (
     resolve_field,
 )
 from pubmetrics.sources.slices import in_slices
-from pubmetrics.sources.writers import append_run_metrics, path_exists, write_records
+from pubmetrics.sources.writers import append_run_metrics, path_exists, read_as, write_records
 
 SLICE_YEAR = "slice_year"
 
@@ -83,7 +83,7 @@ def run_ingest(
         rows, files.raw(), fmt, partition_by=SLICE_YEAR if slicing and fmt == "parquet" else None
     )
     landed = (
-        spark.read.parquet(path)
+        read_as(rows, path)
         if fmt == "parquet"
         else spark.read.csv(path, header=True, multiLine=True, escape='"')
     )

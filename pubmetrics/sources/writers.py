@@ -15,6 +15,22 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def read_as(df: DataFrame, path: str) -> DataFrame:
+    """A stored table read with the schema of what was written; an empty one has no file to infer it from."""
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_at(df: DataFrame, base: str, partition_by: str | None = None) -> DataFrame:
+    """A work table written in place of any earlier one, and read again."""
+    return read_as(df, write_records(df, base, "parquet", overwrite=True, partition_by=partition_by))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path on its own file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def write_records(
     df: DataFrame,
     base: str,
@@ -39,6 +55,11 @@ def write_records(
             if path_exists(df.sparkSession, f"{base}.{known}"):
                 raise FileExistsError(f"output already exists: {base}.{known}")
     path = f"{base}.{fmt}"
+    if overwrite:
+        # A reader must not find the other format's earlier rows; the frame may still read from `path`.
+        for known in TABLE_FORMATS:
+            if known != fmt and path_exists(df.sparkSession, f"{base}.{known}"):
+                remove(df.sparkSession, f"{base}.{known}")
     if fmt == "csv":
         if ORDER_COLUMN in df.columns:
             # Text files keep the order by position: sorted parts, read back in path order.
@@ -74,7 +95,8 @@ def write_csv(
 
 
 def append_run_metrics(metrics: DataFrame, path: str) -> None:
-    """SNK5: add the metric rows of a run to a JSON-lines table keyed by `run_id`."""
+    """SNK5: the metric rows of a run in a JSON-lines table by `run_id`; a rerun replaces its own rows."""
     if "run_id" not in metrics.columns:
         raise ValueError("run metrics need a run_id column")
-    metrics.coalesce(1).write.mode("append").json(path)
+    writer = metrics.coalesce(1).write.mode("overwrite").partitionBy("run_id")
+    writer.option("partitionOverwriteMode", "dynamic").json(path)

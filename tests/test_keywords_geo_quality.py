@@ -32,13 +32,10 @@ def sets():
     return out
 
 
-@pytest.mark.parametrize("small", [True, False])
 @pytest.mark.parametrize("block", [1, 7, 32, 1000])
-def test_cooccurrence_matches_brute_force(spark, sets, block, small):
+def test_cooccurrence_matches_brute_force(spark, sets, block):
     df = keyword_frame(spark, sets)
-    got = op.keyword_cooccurrence(
-        df, min_docs=5, block=block, hot_keys=4, salts=3, broadcast_vocabulary=small
-    )
+    got = op.keyword_cooccurrence(df, min_docs=5, block=block)
     assert got.columns == ["from", "to", "value"]
     found = rows(got)
     assert len(found) == len(set(found)) and set(found) == brute_edges(sets, 5)
@@ -64,7 +61,7 @@ def test_cooccurrence_record_can_be_a_struct(spark, sets):
 
 
 def test_cooccurrence_same_without_broadcast(spark, sets):
-    """Beyond the broadcast threshold the salted shuffle join gives the same edges."""
+    """Beyond the broadcast threshold the shuffle join gives the same edges."""
     keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
     try:
         for k in keys:
@@ -77,25 +74,6 @@ def test_cooccurrence_same_without_broadcast(spark, sets):
             spark.conf.unset(k)
 
 
-def test_only_hot_keys_are_spread(spark):
-    rows_ = spark.range(900).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(
-        F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("k"))
-    members = rows_.select("k").distinct().filter("k <> 'k7'")
-    hot = spark.createDataFrame([("hot",)], "k string")
-    got = op.salted_membership_join(rows_, members, hot, "k", "id", salts=8)
-    assert got.columns == ["k", "id"]
-    assert sorted(r.id for r in got.collect()) == sorted(
-        r.id for r in rows_.filter("k <> 'k7'").collect()
-    )
-
-
-def test_vocabulary_size_check(spark, sets):
-    frequency = op.keyword_frequency(keyword_frame(spark, sets))
-    assert op.vocabulary_is_small(frequency)
-    assert not op.vocabulary_is_small(frequency, 1, limit=100)
-    assert op.vocabulary_is_small(frequency, 10_000, limit=0)
-
-
 def test_edge_weight_is_bounded_by_both_frequencies(spark, sets):
     df = keyword_frame(spark, sets)
     freq = dict(rows(op.keyword_frequency(df)))
@@ -167,9 +145,10 @@ def test_years_between_periods_are_left_out(spark):
     ]
 
 
-def test_region_lookup_is_bounded(spark):
-    with pytest.raises(ValueError, match="DataFrame"):
-        op.region_table(spark, {str(i): "r" for i in range(10_001)})
+def test_a_large_region_lookup_is_a_table(spark):
+    lookup = op.region_table(spark, {f"c{i}": f"r{i % 7}" for i in range(20_000)})
+    df = spark.createDataFrame([("C19999",), ("Nowhere",)], "country string")
+    assert [r.region for r in op.with_region(df, regions=lookup).orderBy("country").collect()] == ["r0", "Unknown"]
 
 
 def test_bubble_sizes(spark):

@@ -6,13 +6,28 @@ from conftest import rows
 from pubmetrics import plans
 from pubmetrics import sources as src
 
-RAW = (
-    "eid,cover_date,pub_year,creator,author_names,publicationName,authkeywords\n"
-    "11,2020-03-01,,Mira,,Review M,trade credit; leasing\n"
-    "12,2021-07-15,,Noor,Noor; Odo,Review N,microfinance\n"
-    "12,2021-07-15,,Noor,Noor; Odo,Review N,microfinance\n"
-    "13,2022-02-20,,Odo,, Review P ,\n"
+# Ten dated years with a gap (2013), an undated row, an id three times, two rows without an id
+# (one record under the default null handling), a blank and a null journal.
+RAW = "title,pub_year,eid,author_names,publicationName,authkeywords,coverDate\n" + "".join(
+    (
+        "Ports,2008,p1,Ana; Ben,Harbour Studies,ports; tolls,\n",
+        "Ships,,p2,Cid,Harbour Studies,ships,2009-05-01\n",
+        "Cranes,2010,p3,Ana,Crane Notes,,\n",
+        "Cranes again,2010,p3,Ana,Crane Notes,,\n",
+        "Cranes once more,2011,p3,Ana,Crane Notes,,\n",
+        "Tides,2011,p4,Ben,,tolls,\n",
+        "Locks,2012,p5,Cid; Ana,  ,locks,\n",
+        "Rivers,2014,p6,Dot,River Letters,ports,\n",
+        "Dams,2015,p7,Dot,River Letters,,\n",
+        "Weirs,2016,p8,Eli,River Letters,,\n",
+        "Fish,2017,p9,Eli,River Letters,,\n",
+        "Nets,2018,p10,Eli,Crane Notes,,\n",
+        "No date,,p11,Fay,Crane Notes,,\n",
+        "No id,2018,,Fay,Harbour Studies,,\n",
+        "No id either,2018,,Gus,Harbour Studies,,\n",
+    )
 )
+YEARS = [(2008, 1), (2009, 1), (2010, 1), (2011, 1), (2012, 1), (2014, 1), (2015, 1), (2016, 1), (2017, 1), (2018, 2)]
 
 
 @pytest.fixture
@@ -25,41 +40,42 @@ def raw_csv(tmp_path):
 def test_clean_then_analyze(spark, tmp_path, raw_csv):
     base = str(tmp_path / "runs")
     out = plans.run_clean(spark, base, "r1", source=raw_csv)
-    records = {r.eid: r for r in out["records"].collect()}
-    assert {k: r.pub_year for k, r in records.items()} == {"11": 2020, "12": 2021, "13": 2022}
-    assert {k: r.authors for k, r in records.items()} == {
-        "11": "Mira", "12": "Noor; Odo", "13": "Odo"
-    }
-    assert rows(out["pubs_by_year"]) == [(2020, 1), (2021, 1), (2022, 1)]
-    assert rows(out["top_journals"]) == [("Review M", 1), ("Review N", 1), ("Review P", 1)]
-    assert rows(out["top_authors"]) == [("Odo", 2), ("Mira", 1), ("Noor", 1)]
-    assert rows(out["keyword_freq"]) == [("leasing", 1), ("microfinance", 1), ("trade credit", 1)]
-    assert {r.field: (r.n_nonnull, r.n_total) for r in out["coverage"].collect()} == {
-        "pub_year": (3, 3), "journal": (3, 3), "authors": (3, 3), "keywords": (2, 3)
-    }
-    assert rows(out["report_kpis"]) == [(3, 3, 3, 3)]
+    years = {r.eid: r.pub_year for r in out["records"].collect()}
+    assert len(years) == 12 and (years["p2"], years["p3"], years["p11"], years[None]) == (2009, 2010, None, 2018)
+    assert rows(out["pubs_by_year"]) == YEARS
+    assert dict(rows(out["keyword_freq"])) == {"ports": 2, "tolls": 2, "ships": 1, "locks": 1}
     metrics = spark.read.json(f"{base}/outputs/methods/clean").first()
-    assert (metrics.rows_before, metrics.rows_after, metrics.duplicates_removed) == (4, 3, 1)
-
+    assert (metrics.rows_before, metrics.rows_after, metrics.duplicates_removed) == (15, 12, 3)
     growth = plans.run_analyze(spark, base, "r1")
-    assert rows(growth["yoy_growth"]) == [
-        (2020, 1, None, None), (2021, 1, 0.0, 0.0), (2022, 1, 0.0, 0.0)
-    ]
-    assert rows(growth["cagr"]) == [(2020, 2022, 1.0, 1.0, 0.0, None, None, None)]
-    stored = src.read_export(spark, f"{base}/outputs/analysis/r1/pubs_by_year_scoped")
-    assert rows(stored) == [("2020", "1"), ("2021", "1"), ("2022", "1")]
+    assert [tuple(r)[:2] for r in growth["yoy_growth"].collect()] == YEARS
+    assert rows(growth["cagr"])[0][:4] == (2008, 2018, 1.0, 2.0)
 
 
-def test_clean_does_not_replace_a_run(spark, tmp_path, raw_csv):
+def test_clean_replaces_a_run_only_when_told(spark, tmp_path, raw_csv):
     base = str(tmp_path / "runs")
-    plans.run_clean(spark, base, "r1", source=raw_csv, fmt="csv")
+    plans.run_clean(spark, base, "r1", source=raw_csv)
     with pytest.raises(FileExistsError):
         plans.run_clean(spark, base, "r1", source=raw_csv)
-    again = plans.run_clean(spark, base, "r1", source=raw_csv, fmt="csv", overwrite=True)
-    assert again["records"].count() == 3
-    assert rows(plans.run_analyze(spark, base, "r1", min_year=2021)["pubs_by_year_scoped"]) == [
-        (2021, 1), (2022, 1)
-    ]
+    later = tmp_path / "later.csv"
+    later.write_text("title,pub_year,eid\nOne,1999,x\n")
+    plans.run_clean(spark, base, "r1", source=str(later), fmt="csv", overwrite=True)
+    # The other format's earlier rows are gone, and the run has one row of metrics.
+    assert rows(plans.run_analyze(spark, base, "r1", min_year=1990)["pubs_by_year_scoped"]) == [(1999, 1)]
+    assert spark.read.json(f"{base}/outputs/methods/clean").count() == 1
+
+
+def test_padded_id_header_is_deduplicated(spark):
+    raw = spark.createDataFrame([(1, "a", "2001"), (2, "a", "2002")], "src_ord int, ` eid ` string, pub_year string")
+    assert plans.clean(raw).count() == 1
+
+
+def test_full_analysis_of_an_empty_scope(spark, tmp_path):
+    raw = spark.createDataFrame([(1, "a", None, "2019-01-01")], "src_ord int, EID string, Year string, coverDate string")
+    lazy = rows(plans.full_analysis(raw, strict=True)["kpi_interest"])
+    base = str(tmp_path / "runs")
+    stored = plans.run_full_analysis(raw, base, "e", strict=True)
+    assert rows(stored["kpi_interest"]) == lazy and lazy[0][0] == 0
+    assert stored["dataset_scope"].count() == 0
 
 
 def test_clean_without_an_id_column_keeps_all_rows(spark):
@@ -72,22 +88,22 @@ def test_clean_without_an_id_column_keeps_all_rows(spark):
 def test_ingest_single_and_sliced(spark, tmp_path, raw_csv):
     base = str(tmp_path / "runs")
     raw = src.load_records(spark, raw_csv, ordered=True)
-    assert plans.run_ingest(raw, base, "one").count() == 4
+    assert plans.run_ingest(raw, base, "one").count() == 15
     with pytest.raises(FileExistsError):
         plans.run_ingest(raw, base, "one", fmt="csv")
-    sliced = plans.run_ingest(raw, base, "two", slicing=True, start_year=2021, end_year=2030)
-    assert sorted(r.eid for r in sliced.collect()) == ["12", "13"]
+    sliced = plans.run_ingest(raw, base, "two", slicing=True, start_year=2016, end_year=2030)
+    assert sorted(str(r.eid) for r in sliced.collect()) == ["None", "p10", "p8", "p9"]
     text = plans.run_ingest(raw, base, "three", slicing=True, max_years_back=50, fmt="csv")
-    assert text.count() == 3
+    assert text.count() == 11
     metrics = {r.run_id: r for r in spark.read.json(f"{base}/outputs/methods/ingest").collect()}
-    assert metrics["one"].n_records_downloaded == 4 and metrics["one"].strategy_used == "single"
-    assert metrics["two"].n_results_estimated == 4
-    assert metrics["two"].n_records_downloaded == 2
-    assert list(metrics["two"].years_covered) == [2021, 2022]
+    assert metrics["one"].n_records_downloaded == 15 and metrics["one"].strategy_used == "single"
+    assert metrics["two"].n_results_estimated == 15
+    assert metrics["two"].n_records_downloaded == 4
+    assert list(metrics["two"].years_covered) == [2016, 2017, 2018]
     assert "author_names" in metrics["two"].columns_present
     # The next phase finds the landed run by its id.
-    assert plans.run_clean(spark, base, "one")["records"].count() == 3
-    assert plans.run_clean(spark, base, "three")["records"].count() == 3
+    assert plans.run_clean(spark, base, "one")["records"].count() == 12
+    assert plans.run_clean(spark, base, "three")["records"].count() == 11
 
 
 EXPORT = "Authors,Title,Year,Source title,DOI,EID,Affiliations,Author Keywords,Index Keywords,Document Type,Cited\n" + "".join(
