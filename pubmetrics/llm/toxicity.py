@@ -124,13 +124,13 @@ def fit(
         share = ones / len(label_of) if len(label_of) else 0.5
         share = min(max(share, 1e-6), 1 - 1e-6)
         return ToxicityModel(np.zeros((1 << bits) + 1, np.float32), float(np.log(share / (1 - share))), tuple(grams), bits)
-    bins = [np.frombuffer(bytes(r["bins"]), np.int32) for r in rows]
+    # Row by row: a bin occurs once in a row, and only the bins in use are put into one matrix.
+    bins = [np.frombuffer(r["bins"], np.int32) for r in rows]
     del rows
-    row = np.repeat(np.arange(len(bins), dtype=np.int32), [len(b) for b in bins])
-    col = np.concatenate(bins)
-    del bins
-    seen = np.bincount(col, minlength=1 << bits)
-    p = np.bincount(col, label_of[row], 1 << bits) + smoothing
+    seen, p = np.zeros(1 << bits), np.full(1 << bits, smoothing)
+    for found, one in zip(bins, label_of):
+        seen[found] += 1
+        p[found] += one
     q = seen + 2 * smoothing - p
     ratio = np.log((p / p.sum()) / (q / q.sum()))
     use = np.flatnonzero((seen >= least_texts) & (np.abs(ratio) >= least_ratio))
@@ -138,8 +138,12 @@ def fit(
         return ToxicityModel(np.zeros((1 << bits) + 1, np.float32), float(np.log(ones / (len(label_of) - ones))), tuple(grams), bits)
     place = np.full(1 << bits, -1, np.int32)
     place[use] = np.arange(len(use))
-    some = place[col] >= 0
-    row, col = row[some], place[col[some]]
+    cols = []
+    for i, found in enumerate(bins):
+        cols.append(place[found][place[found] >= 0])
+        bins[i] = None
+    row = np.repeat(np.arange(len(cols), dtype=np.int32), [len(c) for c in cols])
+    col = np.concatenate(cols)
     weight, bias = logistic(row, col, ratio[use][col], (len(label_of), len(use)), label_of, strength, steps)
     weight *= ratio[use]
     weight[np.abs(weight) < least * np.abs(weight).max()] = 0
