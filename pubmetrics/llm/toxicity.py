@@ -81,10 +81,10 @@ def fit(
     bits: int = BITS,
     max_rows: int = MAX_ROWS,
     smoothing: float = 1.0,
-    least_texts: int = 5,
-    least_ratio: float = 1.0,
-    strength: float = 1e-3,
-    steps: int = 150,
+    least_texts: int = 3,
+    least_ratio: float = 0.7,
+    strength: float = 1e-4,
+    steps: int = 300,
     least: float = 0.02,
 ) -> ToxicityModel:
     """Learn from at most ``max_rows`` labels (those with the smallest hash of ``key``) and their texts.
