@@ -10,11 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pubmetrics.llm import text as tx
+from pubmetrics.llm.store import BLOBS, blob_rows, stored, summed_blobs
 
 #: Labelled rows that a classifier is fitted on at most.
 MAX_ROWS = 6000
 GRAMS = (4, 5, 6)
 BITS = 18
+#: Entries of the sparse matrix that one product handles at once.
+MATRIX_PART = 1 << 20
+BLOB_SCHEMA = pa.schema([("name", pa.string()), ("piece", pa.int32()), ("counts", pa.binary())])
 
 
 @dataclass(frozen=True)
@@ -47,15 +51,26 @@ def present(column: pa.Array, grams: tuple[int, ...], bits: int, wanted: np.ndar
     return pairs >> bits, pairs & ((1 << bits) - 1)
 
 
-def logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, shape: tuple[int, int], label: np.ndarray, strength: float, steps: int) -> tuple[np.ndarray, float]:
-    """L2-regularised logistic regression on a sparse matrix, by accelerated gradient steps."""
+def logistic(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, shape: tuple[int, int], label: np.ndarray, strength: float, steps: int) -> tuple[np.ndarray, float]:
+    """L2-regularised logistic regression on a sparse 0-1 matrix with scaled columns, by accelerated gradient steps.
+
+    ``rows`` ascend; the products run over a bounded number of entries at once.
+    """
     n, m = shape
+    parts = [slice(i, i + MATRIX_PART) for i in range(0, len(rows), MATRIX_PART)]
+
+    def forth(v: np.ndarray) -> np.ndarray:
+        v = scale * v
+        return sum((np.bincount(rows[s], v[cols[s]], n) for s in parts), np.zeros(n))
+
+    def back(u: np.ndarray) -> np.ndarray:
+        return scale * sum((np.bincount(cols[s], u[rows[s]], m) for s in parts), np.zeros(m))
+
     # A bound of the largest curvature: power iteration on the scaled matrix.
     v = np.ones(m) / np.sqrt(max(m, 1))
     top = 1.0
     for _ in range(12):
-        u = np.bincount(rows, values * v[cols], n)
-        v = np.bincount(cols, values * u[rows], m)
+        v = back(forth(v))
         top = float(np.linalg.norm(v)) or 1.0
         v /= top
     rate = 1.0 / (0.25 * (1.1 * top + n) / n + strength)
@@ -63,10 +78,9 @@ def logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, shape: tupl
     for t in range(steps):
         k = t / (t + 3)
         yw, yb = w + k * (w - w0), b + k * (b - b0)
-        z = np.bincount(rows, values * yw[cols], n) + yb
-        gap = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - label) / n
+        gap = (1 / (1 + np.exp(-np.clip(forth(yw) + yb, -40, 40))) - label) / n
         w0, b0 = w, b
-        w = yw - rate * (np.bincount(cols, values * gap[rows], m) + strength * yw)
+        w = yw - rate * (back(gap) + strength * yw)
         b = yb - rate * gap.sum()
     return w, b
 
@@ -96,16 +110,6 @@ def fit(
     repeated key counts once with its smallest text; without rows of both labels the model scores
     every text with the share of label 1 (0.5 without any row).
     """
-    schema = pa.schema([("label", pa.int32()), ("bins", pa.binary())])
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in tx.slices(batch, "text"):
-                row, bins = present(part.column("text"), grams, bits)
-                cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
-                blobs = [bins[a:b].astype(np.int32).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-                yield pa.RecordBatch.from_arrays([part.column("label").cast(pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
-
     chosen = (
         labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
         .dropna()
@@ -117,34 +121,58 @@ def fit(
     # The chosen labels are max_rows at most, so they can be sent to all tasks.
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).dropna().join(F.broadcast(chosen), "key")
     texts = texts.groupBy("key", "label").agg(F.min("text").alias("text")).select("label", "text")
-    rows = texts.mapInArrow(features, "label int, bins binary").collect()
-    label_of = np.array([r["label"] for r in rows], float)
-    ones = label_of.sum()
-    if not 0 < ones < len(label_of):
-        share = ones / len(label_of) if len(label_of) else 0.5
-        share = min(max(share, 1e-6), 1 - 1e-6)
+    texts = stored(texts, "toxicity-texts")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {name: np.zeros(1 << bits, np.int64) for name in ("texts", "ones")}
+        for batch in batches:
+            for part in tx.slices(batch, "text"):
+                row, bins = present(part.column("text"), grams, bits)
+                one = part.column("label").to_numpy(zero_copy_only=False) > 0
+                np.add.at(sums["texts"], bins, 1)
+                np.add.at(sums["ones"], bins[one[row]], 1)
+        rows = [dict(zip(BLOB_SCHEMA.names, r)) for name, c in sums.items() if c.any() for r in blob_rows(name, c, 4)]
+        yield pa.RecordBatch.from_pylist(rows, BLOB_SCHEMA)
+
+    n, ones = texts.agg(F.count("*"), F.coalesce(F.sum((F.col("label") > 0).cast("int")), F.lit(0))).first()
+
+    def constant(share: float) -> ToxicityModel:
         return ToxicityModel(np.zeros((1 << bits) + 1, np.float32), float(np.log(share / (1 - share))), tuple(grams), bits)
-    # Row by row: a bin occurs once in a row, and only the bins in use are put into one matrix.
-    bins = [np.frombuffer(r["bins"], np.int32) for r in rows]
-    del rows
-    seen, p = np.zeros(1 << bits), np.full(1 << bits, smoothing)
-    for found, one in zip(bins, label_of):
-        seen[found] += 1
-        p[found] += one
+
+    if not 0 < ones < n:
+        return constant(min(max(ones / n if n else 0.5, 1e-6), 1 - 1e-6))
+    sums = summed_blobs(texts.mapInArrow(count, BLOBS))
+    none = np.zeros(1 << bits, np.int64)
+    seen, p = sums.get("texts", none), sums.get("ones", none) + smoothing
     q = seen + 2 * smoothing - p
     ratio = np.log((p / p.sum()) / (q / q.sum()))
     use = np.flatnonzero((seen >= least_texts) & (np.abs(ratio) >= least_ratio))
     if not len(use):
-        return ToxicityModel(np.zeros((1 << bits) + 1, np.float32), float(np.log(ones / (len(label_of) - ones))), tuple(grams), bits)
-    place = np.full(1 << bits, -1, np.int32)
+        return constant(ones / n)
+    # Only the n-grams in use come to the driver: at most max_rows rows of them.
+    wanted = np.zeros((1 << bits) + 1, bool)
+    wanted[use] = True
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def chosen_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tx.slices(batch, "text"):
+                row, bins = present(part.column("text"), grams, bits, shared.value)
+                cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
+                blobs = [bins[a:b].astype(np.int32).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+                yield pa.RecordBatch.from_arrays([part.column("label").cast(pa.int32()), pa.array(blobs, pa.binary())], ["label", "bins"])
+
+    place = np.zeros(1 << bits, np.int32)
     place[use] = np.arange(len(use))
-    cols = []
-    for i, found in enumerate(bins):
-        cols.append(place[found][place[found] >= 0])
-        bins[i] = None
-    row = np.repeat(np.arange(len(cols), dtype=np.int32), [len(c) for c in cols])
+    labelled, cols = [], []
+    for r in texts.mapInArrow(chosen_bins, "label int, bins binary").toLocalIterator():
+        labelled.append(r["label"] > 0)
+        cols.append(place[np.frombuffer(r["bins"], np.int32)])
+    label_of = np.array(labelled, float)
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(c) for c in cols])
     col = np.concatenate(cols)
-    weight, bias = logistic(row, col, ratio[use][col], (len(label_of), len(use)), label_of, strength, steps)
+    del cols
+    weight, bias = logistic(row, col, ratio[use], (n, len(use)), label_of, strength, steps)
     weight *= ratio[use]
     weight[np.abs(weight) < least * np.abs(weight).max()] = 0
     full = np.zeros((1 << bits) + 1, np.float32)
