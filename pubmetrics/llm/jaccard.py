@@ -130,8 +130,8 @@ def possible(n1, h1, n2, h2, percent: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def scanned(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """One pass over the texts: (key, n, s1, s2) of every document, and count blobs of shingle hashes."""
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("piece", pa.int32()), ("counts", pa.binary())])
+    """One pass over the texts: (key, n, s1, s2, h1, h2) of every document, and count blobs of shingle hashes."""
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int32()), *((c, pa.int64()) for c in ("s1", "s2", "h1", "h2")), ("piece", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -143,13 +143,14 @@ def scanned(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
                 sums = [tx.mixed(tokens + U(c)) for c in (1, 1 << 50)]
                 rolled = [np.concatenate([np.zeros(1, U), np.cumsum(s, dtype=U)]) for s in sums]
                 s1, s2 = ((r[at[1:]] - r[at[:-1]]).view(np.int64) for r in rolled)
+                hist = histogram(tokens, at).view(np.int64)
                 n = part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(np.diff(at).astype(np.int32)), pa.array(s1), pa.array(s2), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(np.diff(at).astype(np.int32)), pa.array(s1), pa.array(s2), pa.array(hist[:, 0]), pa.array(hist[:, 1]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
         rows = [{"piece": i, "counts": c} for _, i, c in blob_rows(None, counts, 16)] if counts.any() else []
         yield pa.RecordBatch.from_pylist(rows, schema)
 
-    rows = stored(docs.mapInArrow(run, "key long, n int, s1 long, s2 long, piece int, counts binary"), "jaccard-scan")
-    return rows.where("piece IS NULL").select("key", "n", "s1", "s2"), rows.where("piece IS NOT NULL").select(F.lit(None).cast("string").alias("name"), "piece", "counts")
+    rows = stored(docs.mapInArrow(run, "key long, n int, s1 long, s2 long, h1 long, h2 long, piece int, counts binary"), "jaccard-scan")
+    return rows.where("piece IS NULL").select("key", "n", "s1", "s2", "h1", "h2"), rows.where("piece IS NOT NULL").select(F.lit(None).cast("string").alias("name"), "piece", "counts")
 
 
 def shingle_levels(counts: np.ndarray) -> tuple[np.ndarray, float]:
@@ -174,10 +175,10 @@ def boundary(usual_list: float, percent: int) -> int:
 
 
 def posted(docs: DataFrame, shingle: int, percent: int, levels: np.ndarray, light: int) -> DataFrame:
-    """Rows (key, n, s1, h1, h2, lists): every set's inverted lists, as hashes."""
+    """Rows (key, s1, lists): every set's inverted lists, as hashes."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
     least = percent / (100 - percent)  # no smaller set has a similar one but its equals
-    kinds = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("lists", pa.list_(pa.int64()))])
+    kinds = pa.schema([("key", pa.int64()), ("s1", pa.int64()), ("lists", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,7 +187,6 @@ def posted(docs: DataFrame, shingle: int, percent: int, levels: np.ndarray, ligh
                 n = np.diff(at)
                 rolled = np.concatenate([np.zeros(1, U), np.cumsum(tx.mixed(tokens + U(1)), dtype=U)])
                 s1 = (rolled[at[1:]] - rolled[at[:-1]]).view(np.int64)
-                hist = histogram(tokens, at).view(np.int64)
                 # Lights meet heavies in single lists too, as far as their sizes can be similar.
                 single = np.where((n >= least) & (100 * n >= percent * (light + 1)), prefix(n, percent, shares(n, light)), 0)
                 double = np.where((n >= least) & (n <= light), prefix(n, percent, 2), 0)
@@ -200,10 +200,10 @@ def posted(docs: DataFrame, shingle: int, percent: int, levels: np.ndarray, ligh
                 owners, lists = np.concatenate(owners), np.concatenate(lists)
                 order = np.argsort(owners, kind="stable")
                 ends = np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(n)))]).astype(np.int32)
-                rows = [part.column("key"), pa.array(n.astype(np.int32)), pa.array(s1), pa.array(hist[:, 0]), pa.array(hist[:, 1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(lists[order].view(np.int64)))]
+                rows = [part.column("key"), pa.array(s1), pa.ListArray.from_arrays(pa.array(ends), pa.array(lists[order].view(np.int64)))]
                 yield pa.RecordBatch.from_arrays(rows, schema=kinds)
 
-    return docs.mapInArrow(run, "key long, n int, s1 long, h1 long, h2 long, lists array<long>")
+    return docs.mapInArrow(run, "key long, s1 long, lists array<long>")
 
 
 def columns_of(table: pa.Table | pa.RecordBatch, names: tuple[str, ...]) -> list[np.ndarray]:
@@ -476,7 +476,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int
         raise ValueError("percent must be from 60 to 100")
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     rows, blobs = scanned(docs, shingle)
-    classes = stored(rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("key").alias("first")), "jaccard-classes")
+    classes = stored(rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("key").alias("first"), F.min("h1").alias("h1"), F.min("h2").alias("h2")), "jaccard-classes")
     labels = linked(docs, classes, blobs, shingle, percent) if percent < 100 else None
     named = classes if labels is None else classes.join(labels, classes["first"] == labels["node"], "left")
     named = named.select("n", "s1", "s2", (F.col("first") if labels is None else F.coalesce("label", "first")).alias("component"))
@@ -490,11 +490,13 @@ def linked(docs: DataFrame, classes: DataFrame, blobs: DataFrame, shingle: int,
     levels, usual_list = shingle_levels(counts)
     light = boundary(usual_list, percent)
     post = posted(docs.where("key IS NOT NULL"), shingle, percent, levels, light)
-    firsts = classes.where("first IS NOT NULL").select(F.col("first").alias("key"), "s1")
-    post = post.join(firsts, ["key", "s1"]).dropDuplicates(["key", "s1"])
-    rows = post.select(F.explode("lists").alias("list"), "key", "n", "h1", "h2")
+    firsts = classes.where("first IS NOT NULL").select(F.col("first").alias("key"), "n", "s1", "h1", "h2")
+    post = post.join(firsts.select("key", "s1"), ["key", "s1"]).dropDuplicates(["key", "s1"])
+    # Most lists have one row: sizes and histograms join the others only. A key may come with several sets.
+    rows = post.select(F.explode("lists").alias("list"), "key", F.hash("s1").alias("which"))
     rows = rows.withColumn("m", F.count("*").over(Window.partitionBy("list"))).where("m > 1")
-    rows = stored(rows, "jaccard-lists")
+    rows = rows.join(firsts.withColumn("which", F.hash("s1")).drop("s1"), ["key", "which"])
+    rows = stored(rows.select("list", "key", "n", "h1", "h2", "m"), "jaccard-lists")
     needs = F.when(F.col("n") > light, 1 + F.floor(F.col("n") / 50)).otherwise(1)
     sets = rows.groupBy("key").agg(F.min(needs).alias("needs"), F.sum((F.col("m") > SHORT_LIST).cast("int")).alias("longs"))
     sets = stored(sets, "jaccard-needs")
