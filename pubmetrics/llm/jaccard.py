@@ -6,9 +6,11 @@ and at least two of the first floor((1 - t) n) + 2. Heavy sets therefore meet in
 single shingles, light sets in those of 2-subsets, which are many but select far better; the boundary
 is where the estimated costs cross. Equal sets are one class before anything else.
 
-Candidates pass an exact bound (sizes, and the differences of two 32-cell histograms) before their sets
-are compared. Long lists are linked along neighbours first; what that leaves in different components is
-then compared in blocks, so a group of many copies is not expanded into all pairs, and no link is lost.
+Rows of a list that no other one matches in size leave it, and lists that stay long are parted into bands of
+size. Candidates pass exact bounds (sizes, the differences of a coarse and then a finer histogram) before
+their whole sets are read and compared. Lists that are long even so are linked along neighbours first; what
+that leaves in different components is then compared in blocks, so a group of many copies is not expanded
+into all pairs, and no link is lost.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pubmetrics.llm.store import BLOBS, blob_rows, stored, summed_blobs
 TOKEN_BITS = 40
 SKETCH_BITS = 20
 CELLS = 32
-#: Lists up to this length are compared at once, longer ones after their neighbours are linked.
+#: Lists up to this length are compared at once, longer ones by bands of size and after their neighbours are linked.
 SHORT_LIST = 8
 BLOCK_ROWS = 4096
 U = np.uint64
@@ -130,8 +132,8 @@ def possible(n1, h1, n2, h2, percent: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def scanned(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """One pass over the texts: (key, n, s1, s2, h1, h2) of every document, and count blobs of shingle hashes."""
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int32()), *((c, pa.int64()) for c in ("s1", "s2", "h1", "h2")), ("piece", pa.int32()), ("counts", pa.binary())])
+    """One pass over the texts: (key, n, s1, s2, h1, h2, fine) of every document, and count blobs of shingle hashes."""
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int32()), *((c, pa.int64()) for c in ("s1", "s2", "h1", "h2")), ("fine", pa.binary()), ("piece", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -145,12 +147,12 @@ def scanned(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
                 s1, s2 = ((r[at[1:]] - r[at[:-1]]).view(np.int64) for r in rolled)
                 hist = histogram(tokens, at).view(np.int64)
                 n = part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(np.diff(at).astype(np.int32)), pa.array(s1), pa.array(s2), pa.array(hist[:, 0]), pa.array(hist[:, 1]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(np.diff(at).astype(np.int32)), pa.array(s1), pa.array(s2), pa.array(hist[:, 0]), pa.array(hist[:, 1]), pa.array(fine_histogram(tokens, at), pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
         rows = [{"piece": i, "counts": c} for _, i, c in blob_rows(None, counts, 16)] if counts.any() else []
         yield pa.RecordBatch.from_pylist(rows, schema)
 
-    rows = stored(docs.mapInArrow(run, "key long, n int, s1 long, s2 long, h1 long, h2 long, piece int, counts binary"), "jaccard-scan")
-    return rows.where("piece IS NULL").select("key", "n", "s1", "s2", "h1", "h2"), rows.where("piece IS NOT NULL").select(F.lit(None).cast("string").alias("name"), "piece", "counts")
+    rows = stored(docs.mapInArrow(run, "key long, n int, s1 long, s2 long, h1 long, h2 long, fine binary, piece int, counts binary"), "jaccard-scan")
+    return rows.where("piece IS NULL").select("key", "n", "s1", "s2", "h1", "h2", "fine"), rows.where("piece IS NOT NULL").select(F.lit(None).cast("string").alias("name"), "piece", "counts")
 
 
 def shingle_levels(counts: np.ndarray) -> tuple[np.ndarray, float]:
@@ -175,10 +177,10 @@ def boundary(usual_list: float, percent: int) -> int:
 
 
 def posted(docs: DataFrame, shingle: int, percent: int, levels: np.ndarray, light: int) -> DataFrame:
-    """Rows (key, s1, lists): every set's inverted lists, as hashes."""
+    """Rows (key, s1, n, lists): every set's inverted lists, as hashes, and its size."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
     least = percent / (100 - percent)  # no smaller set has a similar one but its equals
-    kinds = pa.schema([("key", pa.int64()), ("s1", pa.int64()), ("lists", pa.list_(pa.int64()))])
+    kinds = pa.schema([("key", pa.int64()), ("s1", pa.int64()), ("n", pa.int32()), ("lists", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,10 +202,36 @@ def posted(docs: DataFrame, shingle: int, percent: int, levels: np.ndarray, ligh
                 owners, lists = np.concatenate(owners), np.concatenate(lists)
                 order = np.argsort(owners, kind="stable")
                 ends = np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(n)))]).astype(np.int32)
-                rows = [part.column("key"), pa.array(s1), pa.ListArray.from_arrays(pa.array(ends), pa.array(lists[order].view(np.int64)))]
+                rows = [part.column("key"), pa.array(s1), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(lists[order].view(np.int64)))]
                 yield pa.RecordBatch.from_arrays(rows, schema=kinds)
 
-    return docs.mapInArrow(run, "key long, s1 long, lists array<long>")
+    return docs.mapInArrow(run, "key long, s1 long, n int, lists array<long>")
+
+
+def sized(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows (list, n, ..) that are next to one of fitting size in their list, and m, how many of them the list has.
+
+    A similar set's size fits, and so does every size between.
+    """
+    same = Window.partitionBy("list")
+    order = same.orderBy("n")
+    rows = rows.withColumn("below", F.lag("n").over(order)).withColumn("above", F.lead("n").over(order))
+    near = F.coalesce(100 * F.col("below") >= percent * F.col("n"), F.lit(False)) | F.coalesce(100 * F.col("n") >= percent * F.col("above"), F.lit(False))
+    return rows.where(near).drop("below", "above").withColumn("m", F.count("*").over(same))
+
+
+def banded(rows: DataFrame, percent: int) -> DataFrame:
+    """Lists parted by size: each row in its own band's list (``own``) and in that of the next band.
+
+    Sizes of similar sets lie in one band or in neighbouring ones. Lists without an own row repeat another one.
+    """
+    # Bands a little wider than the ratio of similar sizes, so that rounding parts none of them.
+    width = 1.0001 * float(np.log(100 / percent))
+    band = F.floor(F.log("n") / width)
+    rows = rows.withColumn("own", F.explode(F.array(F.lit(True), F.lit(False))))
+    rows = rows.withColumn("list", F.xxhash64("list", band + F.when(F.col("own"), 0).otherwise(1)))
+    same = Window.partitionBy("list")
+    return rows.withColumn("m", F.count("*").over(same)).withColumn("some", F.max("own").over(same)).where("some AND m > 1").drop("some")
 
 
 def columns_of(table: pa.Table | pa.RecordBatch, names: tuple[str, ...]) -> list[np.ndarray]:
@@ -224,16 +252,17 @@ def distinct_pairs(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> pa.Record
 
 
 def short_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Possible pairs of lists of up to SHORT_LIST rows."""
+    """Possible pairs of lists of up to SHORT_LIST rows; two rows out of band meet in another list."""
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
-        lists, keys, n = columns_of(t, ("list", "key", "n"))
+        lists, keys, n, own = columns_of(t, ("list", "key", "n", "own"))
         hist = np.stack(columns_of(t, ("h1", "h2")), axis=1).view(U)
         found: list[tuple[np.ndarray, ...]] = [(keys[:0], keys[:0], keys[:0])]
         for d in range(1, min(SHORT_LIST, len(lists))):
             i = np.flatnonzero(lists[d:] == lists[:-d])
             if not len(i):
                 break
+            i = i[own[i] | own[i + d]]
             some, apart = possible(n[i].astype(np.int64), hist[i], n[i + d].astype(np.int64), hist[i + d], percent)
             found.append((keys[i[some]], keys[i[some] + d], apart))
         return distinct_pairs(*map(np.concatenate, zip(*found)))
@@ -257,7 +286,7 @@ def short_pairs(rows: DataFrame, percent: int) -> DataFrame:
             yield pairs(pa.Table.from_batches(held))
 
     dealt = rows.repartition("list").sortWithinPartitions("list")
-    found = dealt.select("list", "key", "n", "h1", "h2").mapInArrow(run, PAIRS)
+    found = dealt.select("list", "key", "n", "h1", "h2", "own").mapInArrow(run, PAIRS)
     return found.groupBy("a", "b").agg(F.max("apart").alias("apart"), F.sum("shared").cast("int").alias("shared"))
 
 
@@ -277,7 +306,7 @@ def neighbours(rows: DataFrame, percent: int) -> DataFrame:
     order = Window.partitionBy("list").orderBy("n", "key")
     own = F.struct("key", "n", "h1", "h2")
     both = rows.select(own.alias("x"), F.array(F.lag(own).over(order), F.first(own).over(order)).alias("ys")).select("x", F.explode("ys").alias("y")).where("y IS NOT NULL AND x.key <> y.key")
-    flat = both.selectExpr("x.key AS k1", "x.n AS n1", "x.h1 AS a1", "x.h2 AS b1", "y.key AS k2", "y.n AS n2", "y.h1 AS a2", "y.h2 AS b2").distinct()
+    flat = both.selectExpr("x.key AS k1", "x.n AS n1", "x.h1 AS a1", "x.h2 AS b1", "y.key AS k2", "y.n AS n2", "y.h1 AS a2", "y.h2 AS b2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -341,7 +370,7 @@ def across(rows: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, ends: DataFrame, shingle: int) -> DataFrame:
-    """(key, n, fine, set) of the documents with the keys of ``ends``, which are distinct: 5 bytes for each shingle."""
+    """(key, set) of the documents with the keys of ``ends``, which are distinct: 5 bytes for each shingle."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -364,18 +393,21 @@ def whole_sets(docs: DataFrame, ends: DataFrame, shingle: int) -> DataFrame:
             for part in tx.slices(batch, "text"):
                 tokens, at = shingle_sets(part.column("text"), shingle)
                 packed = tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : TOKEN_BITS // 8].tobytes()
-                fine = fine_histogram(tokens, at)
-                n = np.diff(at).astype(np.int32)
                 at = at * (TOKEN_BITS // 8)
                 blobs = [packed[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(n), pa.array(fine, pa.binary()), pa.array(blobs, pa.binary())], ["key", "n", "fine", "set"])
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(blobs, pa.binary())], ["key", "set"])
 
-    found = docs.mapInArrow(sets, "key long, n int, fine binary, set binary").join(ends, "key", "left_semi")
+    found = docs.mapInArrow(sets, "key long, set binary").join(ends, "key", "left_semi")
     return stored(found.dropDuplicates(["key"]), "jaccard-sets")
 
 
-def likely(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+
+
+def likely(profiles: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The possible pairs that are still possible by their finer histograms, with the new bound."""
+    profiles = stored(profiles.join(ends_of(pairs), "key", "left_semi").dropDuplicates(["key"]), "jaccard-profiles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -385,7 +417,7 @@ def likely(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
             ok = pa.array(apart <= n1 + n2 - 2 * needed(n1 + n2, percent))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok), pa.array(apart).filter(ok)], ["a", "b", "apart"])
 
-    a, b = (sets.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("fine").alias(f"fine_{x}")) for x in "ab")
+    a, b = (profiles.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("fine").alias(f"fine_{x}")) for x in "ab")
     return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "fine_a", "fine_b").mapInArrow(run, "a long, b long, apart int")
 
 
@@ -414,17 +446,20 @@ def similar(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, LINKS)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int, labels: DataFrame | None = None) -> DataFrame:
+def verified(docs: DataFrame, profiles: DataFrame, pairs: DataFrame, shingle: int, percent: int, labels: DataFrame | None = None) -> DataFrame:
     """``labels`` (node, label) of components, joined further by the similar ones of possible pairs.
 
+    ``profiles``: key, n and fine histogram of every document. Whole sets are made of documents in likely pairs only.
+
     Every document first tries its two likeliest pairs, then all; pairs whose ends have met
     meanwhile need no test. So copies of one text cost few tests each, and no connection is lost.
     """
     spark = docs.sparkSession
     labels = labels if labels is not None else spark.createDataFrame([], "node long, label long")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    sets = whole_sets(docs, ends, shingle)
-    pairs = stored(likely(sets, pairs, percent), "jaccard-pairs")
+    pairs = stored(likely(profiles, pairs, percent), "jaccard-pairs")
+    if pairs.isEmpty():
+        return labels
+    sets = whole_sets(docs, ends_of(pairs), shingle)
     for most in (2, None):
         one, two = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
         open_pairs = pairs.join(one, "a", "left").join(two, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
@@ -477,14 +512,14 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     rows, blobs = scanned(docs, shingle)
     classes = stored(rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("key").alias("first"), F.min("h1").alias("h1"), F.min("h2").alias("h2")), "jaccard-classes")
-    labels = linked(docs, classes, blobs, shingle, percent) if percent < 100 else None
+    labels = linked(docs, classes, rows.select("key", "n", "fine"), blobs, shingle, percent) if percent < 100 else None
     named = classes if labels is None else classes.join(labels, classes["first"] == labels["node"], "left")
     named = named.select("n", "s1", "s2", (F.col("first") if labels is None else F.coalesce("label", "first")).alias("component"))
-    out = rows.join(named, ["n", "s1", "s2"], "left")
+    out = rows.drop("fine").join(named, ["n", "s1", "s2"], "left")
     return out.select("key", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "key").alias("component"))
 
 
-def linked(docs: DataFrame, classes: DataFrame, blobs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def linked(docs: DataFrame, classes: DataFrame, profiles: DataFrame, blobs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(node, label) of all classes, known by their first keys, that link with another."""
     counts = summed_blobs(blobs).get(None, np.zeros(1 << SKETCH_BITS, np.int64))
     levels, usual_list = shingle_levels(counts)
@@ -492,15 +527,16 @@ def linked(docs: DataFrame, classes: DataFrame, blobs: DataFrame, shingle: int,
     post = posted(docs.where("key IS NOT NULL"), shingle, percent, levels, light)
     firsts = classes.where("first IS NOT NULL").select(F.col("first").alias("key"), "n", "s1", "h1", "h2")
     post = post.join(firsts.select("key", "s1"), ["key", "s1"]).dropDuplicates(["key", "s1"])
-    # Most lists have one row: sizes and histograms join the others only. A key may come with several sets.
-    rows = post.select(F.explode("lists").alias("list"), "key", F.hash("s1").alias("which"))
-    rows = rows.withColumn("m", F.count("*").over(Window.partitionBy("list"))).where("m > 1")
-    rows = rows.join(firsts.withColumn("which", F.hash("s1")).drop("s1"), ["key", "which"])
-    rows = stored(rows.select("list", "key", "n", "h1", "h2", "m"), "jaccard-lists")
+    # Most lists have one row: histograms join the others only. A key may come with several sets.
+    rows = sized(post.select(F.explode("lists").alias("list"), "key", F.hash("s1").alias("which"), "n"), percent)
+    rows = rows.join(firsts.select("key", F.hash("s1").alias("which"), "h1", "h2"), ["key", "which"])
+    rows = stored(rows.select("list", "key", "n", "h1", "h2", F.lit(True).alias("own"), "m"), "jaccard-lists")
+    bands = stored(banded(rows.where(F.col("m") > SHORT_LIST), percent), "jaccard-bands")
+    rows = rows.where(F.col("m") <= SHORT_LIST).unionByName(bands)
     needs = F.when(F.col("n") > light, 1 + F.floor(F.col("n") / 50)).otherwise(1)
     sets = rows.groupBy("key").agg(F.min(needs).alias("needs"), F.sum((F.col("m") > SHORT_LIST).cast("int")).alias("longs"))
     sets = stored(sets, "jaccard-needs")
-    long = rows.where(F.col("m") > SHORT_LIST).drop("m")
+    long = bands.where(F.col("m") > SHORT_LIST).drop("m", "own")
     short = stored(short_pairs(rows.where(F.col("m") <= SHORT_LIST), percent), "jaccard-short")
     some_long = not long.isEmpty()
     found = short.select("a", "b", "apart")
@@ -509,10 +545,10 @@ def linked(docs: DataFrame, classes: DataFrame, blobs: DataFrame, shingle: int,
     first = stored(sharing(found, short, sets), "jaccard-pairs")
     if first.isEmpty() and not some_long:
         return docs.sparkSession.createDataFrame([], "node long, label long")
-    labels = verified(docs, first, shingle, percent)
+    labels = verified(docs, profiles, first, shingle, percent)
     if some_long:
         more = across(long, labels, percent).join(first, ["a", "b"], "left_anti")
         more = stored(sharing(more, short, sets), "jaccard-pairs")
         if not more.isEmpty():
-            labels = verified(docs, more, shingle, percent, labels)
+            labels = verified(docs, profiles, more, shingle, percent, labels)
     return labels
