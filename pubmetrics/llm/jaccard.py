@@ -6,8 +6,7 @@ and at least two of the first floor((1 - t) n) + 2. Heavy sets therefore meet in
 single shingles, light sets in those of 2-subsets, which are many but select far better; the boundary
 is where the estimated costs cross. Equal sets are one class before anything else.
 
-Rows of a list that no other one matches in size leave it, and lists that stay long are parted into bands of
-size. Candidates pass exact bounds (sizes, the differences of a coarse and then a finer histogram) before
+Each list is parted into bands of size, and rows that no other one matches in size leave it. Candidates pass exact bounds (sizes, the differences of a coarse and then a finer histogram) before
 their whole sets are read and compared. Lists that are long even so are linked along neighbours first; what
 that leaves in different components is then compared in blocks, so a group of many copies is not expanded
 into all pairs, and no link is lost.
@@ -27,7 +26,7 @@ from pubmetrics.llm.store import BLOBS, blob_rows, stored, summed_blobs
 TOKEN_BITS = 40
 SKETCH_BITS = 20
 CELLS = 32
-#: Lists up to this length are compared at once, longer ones by bands of size and after their neighbours are linked.
+#: Lists up to this length are compared at once, longer ones after their neighbours are linked.
 SHORT_LIST = 8
 BLOCK_ROWS = 4096
 U = np.uint64
@@ -177,8 +176,14 @@ def boundary(usual_list: float, percent: int) -> int:
 
 
 def posted(docs: DataFrame, shingle: int, percent: int, levels: np.ndarray, light: int) -> DataFrame:
-    """Rows (key, s1, n, lists): every set's inverted lists, as hashes, and its size."""
+    """Rows (key, s1, n, lists): every set's inverted lists, as hashes, and its size.
+
+    Lists are parted by size: the first half are those of the set's own band, the others those of the next
+    one. Sizes of similar sets lie in one band or in neighbouring ones.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(levels)
+    # Bands a little wider than the ratio of similar sizes, so that rounding parts none of them.
+    width = 1.0001 * float(np.log(100 / percent))
     least = percent / (100 - percent)  # no smaller set has a similar one but its equals
     kinds = pa.schema([("key", pa.int64()), ("s1", pa.int64()), ("n", pa.int32()), ("lists", pa.list_(pa.int64()))])
 
@@ -200,6 +205,9 @@ def posted(docs: DataFrame, shingle: int, percent: int, levels: np.ndarray, ligh
                     owners.append(np.repeat(owner, more))
                     lists.append(tx.mixed(tx.mixed(tokens[i] + U(1)) * U(tx.STEP) + tokens[i + d]))
                 owners, lists = np.concatenate(owners), np.concatenate(lists)
+                band = np.floor(np.log(np.maximum(n, 1)) / width).astype(U)
+                lists = np.concatenate([tx.mixed(lists + tx.mixed(band + U(d))[owners]) for d in (1, 2)])
+                owners = np.concatenate([owners, owners])
                 order = np.argsort(owners, kind="stable")
                 ends = np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(n)))]).astype(np.int32)
                 rows = [part.column("key"), pa.array(s1), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(lists[order].view(np.int64)))]
@@ -209,29 +217,16 @@ def posted(docs: DataFrame, shingle: int, percent: int, levels: np.ndarray, ligh
 
 
 def sized(rows: DataFrame, percent: int) -> DataFrame:
-    """Rows (list, n, ..) that are next to one of fitting size in their list, and m, how many of them the list has.
+    """Rows (list, n, own, ..) that are next to one of fitting size in their list, and m, how many of them the list has.
 
-    A similar set's size fits, and so does every size between.
+    A similar set's size fits, and so does every size between. Lists without an ``own`` row repeat another one and go.
     """
     same = Window.partitionBy("list")
     order = same.orderBy("n")
     rows = rows.withColumn("below", F.lag("n").over(order)).withColumn("above", F.lead("n").over(order))
     near = F.coalesce(100 * F.col("below") >= percent * F.col("n"), F.lit(False)) | F.coalesce(100 * F.col("n") >= percent * F.col("above"), F.lit(False))
-    return rows.where(near).drop("below", "above").withColumn("m", F.count("*").over(same))
-
-
-def banded(rows: DataFrame, percent: int) -> DataFrame:
-    """Lists parted by size: each row in its own band's list (``own``) and in that of the next band.
-
-    Sizes of similar sets lie in one band or in neighbouring ones. Lists without an own row repeat another one.
-    """
-    # Bands a little wider than the ratio of similar sizes, so that rounding parts none of them.
-    width = 1.0001 * float(np.log(100 / percent))
-    band = F.floor(F.log("n") / width)
-    rows = rows.withColumn("own", F.explode(F.array(F.lit(True), F.lit(False))))
-    rows = rows.withColumn("list", F.xxhash64("list", band + F.when(F.col("own"), 0).otherwise(1)))
-    same = Window.partitionBy("list")
-    return rows.withColumn("m", F.count("*").over(same)).withColumn("some", F.max("own").over(same)).where("some AND m > 1").drop("some")
+    rows = rows.where(near).drop("below", "above")
+    return rows.withColumn("m", F.count("*").over(same)).withColumn("some", F.max("own").over(same)).where("some").drop("some")
 
 
 def columns_of(table: pa.Table | pa.RecordBatch, names: tuple[str, ...]) -> list[np.ndarray]:
@@ -406,7 +401,7 @@ def ends_of(pairs: DataFrame) -> DataFrame:
 
 
 def likely(profiles: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The possible pairs that are still possible by their finer histograms, with the new bound."""
+    """The possible pairs that are still possible by their finer histograms."""
     profiles = stored(profiles.join(ends_of(pairs), "key", "left_semi").dropDuplicates(["key"]), "jaccard-profiles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -451,30 +446,26 @@ def verified(docs: DataFrame, profiles: DataFrame, pairs: DataFrame, shingle: in
 
     ``profiles``: key, n and fine histogram of every document. Whole sets are made of documents in likely pairs only.
 
-    Every document first tries its two likeliest pairs, then all; pairs whose ends have met
-    meanwhile need no test. So copies of one text cost few tests each, and no connection is lost.
+    Every document first tries the likeliest pair in which its key is the smaller one, and that in which it
+    is the larger; then all pairs whose ends have not met meanwhile are tried. So copies of one text cost few
+    tests each, and no connection is lost.
     """
     spark = docs.sparkSession
     labels = labels if labels is not None else spark.createDataFrame([], "node long, label long")
-    pairs = stored(likely(profiles, pairs, percent), "jaccard-pairs")
-    if pairs.isEmpty():
-        return labels
-    sets = whole_sets(docs, ends_of(pairs), shingle)
-    for most in (2, None):
+    for first in (True, False):
         one, two = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
-        open_pairs = pairs.join(one, "a", "left").join(two, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
-        now = open_pairs.select("a", "b", "apart")
-        if most:
-            both = now.select("a", "b", "apart", F.explode(F.array("a", "b")).alias("end"))
-            order = Window.partitionBy("end").orderBy("apart", "a", "b")
-            now = both.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).distinct()
+        now = pairs.join(one, "a", "left").join(two, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
+        if first:
+            for end in "ab":
+                now = now.withColumn(f"place_{end}", F.row_number().over(Window.partitionBy(end).orderBy("apart", "a", "b")))
+            now = now.where("place_a = 1 OR place_b = 1")
         now = stored(now.select("a", "b").distinct(), "jaccard-tests")
-        if now.isEmpty():
-            break
-        links = similar(sets, now, percent)
-        if most:
-            links = stored(links, "jaccard-links")
+        if first:
             pairs = pairs.join(now, ["a", "b"], "left_anti")
+        now = stored(likely(profiles, now, percent).select("a", "b"), "jaccard-tests")
+        if now.isEmpty():
+            continue
+        links = similar(whole_sets(docs, ends_of(now), shingle), now, percent)
         known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
         labels = stored(components(known.unionByName(links)), "jaccard-labels")
     return labels
@@ -528,15 +519,14 @@ def linked(docs: DataFrame, classes: DataFrame, profiles: DataFrame, blobs: Data
     firsts = classes.where("first IS NOT NULL").select(F.col("first").alias("key"), "n", "s1", "h1", "h2")
     post = post.join(firsts.select("key", "s1"), ["key", "s1"]).dropDuplicates(["key", "s1"])
     # Most lists have one row: histograms join the others only. A key may come with several sets.
-    rows = sized(post.select(F.explode("lists").alias("list"), "key", F.hash("s1").alias("which"), "n"), percent)
+    rows = post.select("key", F.hash("s1").alias("which"), "n", F.size("lists").alias("all"), F.posexplode("lists").alias("at", "list"))
+    rows = sized(rows.select("list", "key", "which", "n", (2 * F.col("at") < F.col("all")).alias("own")), percent)
     rows = rows.join(firsts.select("key", F.hash("s1").alias("which"), "h1", "h2"), ["key", "which"])
-    rows = stored(rows.select("list", "key", "n", "h1", "h2", F.lit(True).alias("own"), "m"), "jaccard-lists")
-    bands = stored(banded(rows.where(F.col("m") > SHORT_LIST), percent), "jaccard-bands")
-    rows = rows.where(F.col("m") <= SHORT_LIST).unionByName(bands)
+    rows = stored(rows.select("list", "key", "n", "h1", "h2", "own", "m"), "jaccard-lists")
     needs = F.when(F.col("n") > light, 1 + F.floor(F.col("n") / 50)).otherwise(1)
     sets = rows.groupBy("key").agg(F.min(needs).alias("needs"), F.sum((F.col("m") > SHORT_LIST).cast("int")).alias("longs"))
     sets = stored(sets, "jaccard-needs")
-    long = bands.where(F.col("m") > SHORT_LIST).drop("m", "own")
+    long = rows.where(F.col("m") > SHORT_LIST).drop("m", "own")
     short = stored(short_pairs(rows.where(F.col("m") <= SHORT_LIST), percent), "jaccard-short")
     some_long = not long.isEmpty()
     found = short.select("a", "b", "apart")
