@@ -86,6 +86,10 @@ def read_export(
     Quoted newlines need `multi_line`, which reads each file in one task: give many files, or
     turn it off where no field holds a newline so that large files split. Nothing is inferred,
     so the data is read once; land it as parquet before running more than one query on it.
+
+    All files of a call need the same header, but for case: a task that meets another name at a
+    column's place fails. Read files of other headers in calls of their own and join them with
+    `union_records`. Headers with blank or repeated names are taken by place, unchecked.
     """
     options = dict(multiLine=multi_line, quote='"', escape='"', sep=sep, encoding="UTF-8")
     # Spark renames headers that differ only in case; the first row has them as written.
@@ -96,9 +100,12 @@ def read_export(
         f"_c{i}" if cell is None else cell.lstrip("\ufeff").strip()
         for i, cell in enumerate(header)
     ]
+    written = list(header)
+    checked = None not in written and len({c.lower() for c in written}) == len(written)
     fields = [f"_c{i}" for i in range(len(names))]
-    schema = StructType([StructField(f, StringType()) for f in fields])
-    df = spark.read.schema(schema).csv(path, header=True, **options)
+    schema = StructType([StructField(f, StringType()) for f in (written if checked else fields)])
+    df = spark.read.schema(schema).csv(path, header=True, enforceSchema=not checked, **options)
+    df = df.toDF(*fields)
     order = []
     if ordered:
         df = with_source_order(df)

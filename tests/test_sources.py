@@ -35,6 +35,22 @@ def test_export_null_tokens_can_be_kept(spark, export):
     assert {r[3] for r in df.collect()} == {"Li, W.; Xu", "null", None}
 
 
+def test_export_files_of_one_header_only(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("EID,Title,Year\ne1,T1,2001\n")
+    (tmp_path / "b.csv").write_text("eid,title,Year\ne2,T2,2002\n")
+    (tmp_path / "c.csv").write_text("Title,EID,Year\nT9,e9,2003\n")
+    paths = {f: str(tmp_path / f"{f}.csv") for f in "abc"}
+    alike = src.read_export(spark, [paths["a"], paths["b"]], ordered=True)
+    assert sorted(r.EID for r in alike.collect()) == ["e1", "e2"]
+    for multi_line in (True, False):
+        mixed = src.read_export(spark, [paths["a"], paths["c"]], multi_line=multi_line)
+        for columns in (["EID", "Title"], ["EID"]):
+            with pytest.raises(Exception, match="CSV header does not conform"):
+                mixed.select(columns).collect()
+    joined = src.union_records(src.read_export(spark, paths[f]) for f in "ac")
+    assert {(r.EID, r.Title) for r in joined.collect()} == {("e1", "T1"), ("e9", "T9")}
+
+
 def test_empty_export_is_an_error(spark, tmp_path):
     (tmp_path / "empty.csv").write_text("")
     with pytest.raises(ValueError, match="header"):
@@ -48,6 +64,8 @@ def test_load_by_base_path_prefers_parquet(spark, tmp_path):
     src.write_records(spark.createDataFrame([("csv",)], "v string"), base, "csv")
     assert rows(src.load_records(spark, base)) == [("csv",)]
     src.write_records(spark.createDataFrame([("pq",)], "v string"), base, "parquet", overwrite=True)
+    # Overwriting takes the other format's table away; one that is written by other means stays.
+    spark.createDataFrame([("csv",)], "v string").write.csv(f"{base}.csv", header=True)
     assert rows(src.load_records(spark, base)) == [("pq",)]
     assert rows(src.load_records(spark, f"{base}.csv")) == [("csv",)]
     with pytest.raises(ValueError):
