@@ -74,9 +74,9 @@ def run_ingest(
         if path_exists(spark, f"{files.raw()}.{known}"):
             raise FileExistsError(f"raw records already exist: {files.raw()}.{known}")
     dated = with_slice_year(records)
-    rows = dated
+    found = rows = dated
     if slicing:
-        rows = in_slices(dated, start_year, end_year, max_years_back, year=SLICE_YEAR)
+        found = rows = in_slices(dated, start_year, end_year, max_years_back, year=SLICE_YEAR)
         if "eid" in rows.columns:
             rows = keep_first(rows, "eid", order=F.struct(SLICE_YEAR, ORDER_COLUMN))
     path = write_records(
@@ -88,32 +88,41 @@ def run_ingest(
         else spark.read.csv(path, header=True, multiLine=True, escape='"')
     )
     append_run_metrics(
-        _metrics(records, landed, run_id, slicing, path, fmt), files.metrics("ingest")
+        _metrics(records, found, landed, run_id, slicing, path, fmt), files.metrics("ingest")
     )
     return landed
 
 
 def _metrics(
-    records: DataFrame, landed: DataFrame, run_id: str, slicing: bool, path: str, fmt: str
+    records: DataFrame,
+    found: DataFrame,
+    landed: DataFrame,
+    run_id: str,
+    slicing: bool,
+    path: str,
+    fmt: str,
 ) -> DataFrame:
-    """AGG14: estimated and landed records and covered years, as one row."""
+    """AGG14: estimated and landed records and the years that had any before dedup, as one row."""
+    covered = found.groupBy(F.col(SLICE_YEAR).cast("int").alias("year")).agg(
+        F.lit("found").alias("kind"), F.count(F.lit(1)).alias("n")
+    )
     kept = landed.groupBy(F.col(SLICE_YEAR).cast("int").alias("year")).agg(
         F.lit("landed").alias("kind"), F.count(F.lit(1)).alias("n")
     )
     seen = records.agg(F.count(F.lit(1)).alias("n")).select(
         F.lit(None).cast("int").alias("year"), F.lit("estimated").alias("kind"), "n"
     )
-    landed_rows = F.col("kind") == "landed"
     return (
         kept.unionByName(seen)
+        .unionByName(covered)
         .agg(
-            F.coalesce(F.sum(F.when(~landed_rows, F.col("n"))), F.lit(0)).alias(
+            F.coalesce(F.sum(F.when(F.col("kind") == "estimated", F.col("n"))), F.lit(0)).alias(
                 "n_results_estimated"
             ),
-            F.coalesce(F.sum(F.when(landed_rows, F.col("n"))), F.lit(0)).alias(
+            F.coalesce(F.sum(F.when(F.col("kind") == "landed", F.col("n"))), F.lit(0)).alias(
                 "n_records_downloaded"
             ),
-            F.array_sort(F.collect_set(F.when(landed_rows, F.col("year")))).alias(
+            F.array_sort(F.collect_set(F.when(F.col("kind") == "found", F.col("year")))).alias(
                 "years_covered"
             ),
         )

@@ -168,3 +168,12 @@ def test_full_analysis_reads_dates_or_only_numbers(spark):
     loose = plans.full_analysis(raw)["pubs_by_year"]
     assert [r.year for r in loose.collect()] == [2019, 2020]
     assert [r.year for r in plans.full_analysis(raw, strict=True)["pubs_by_year"].collect()] == [2020]
+
+
+def test_years_are_covered_before_dedup(spark, tmp_path):
+    records = spark.createDataFrame([(1, "a", "2001"), (2, "a", "2002")], "src_ord int, eid string, pub_year string")
+    landed = plans.run_ingest(records, str(tmp_path), "r", slicing=True, start_year=2000, end_year=2003)
+    assert [r.eid for r in landed.collect()] == ["a"]
+    metrics = spark.read.json(plans.RunFiles(str(tmp_path), "r").metrics("ingest")).first()
+    assert list(metrics.years_covered) == [2001, 2002]
+    assert (metrics.n_results_estimated, metrics.n_records_downloaded) == (2, 1)
