@@ -24,14 +24,19 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of similar ones (five words, 0.8), once.
+    """Of each group of similar documents (five words, 0.8) the one with the smallest id and text, once.
 
-    Documents without an id stay: none of them can be named as the one of a group that is kept.
+    Ids need not be unique: rows are told apart by their texts. Null ids come last; documents without words stay.
     """
-    found = jaccard.join(docs)
-    first = found.where("key = component").select(F.col("key").alias("doc_id")).distinct()
-    one = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id IS NULL"))
+    marked = docs.withColumn("_text", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    found = jaccard.groups(marked, carry=["_text"]).where("n > 0 AND key <=> component")
+    first = found.select("key", F.col("_text").alias("_first"), F.col("group").alias("_group")).distinct()
+    same = marked["doc_id"].cast("long").eqNullSafe(first["key"]) & (marked["_text"] == first["_first"])
+    rest = [c for c in docs.columns if c != "text"]
+    # The least row of a group is combined within tasks.
+    one = marked.join(first, same).groupBy("_group").agg(F.min(F.struct("text", *rest)).alias("_one"))
+    wordless = docs.where(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    return one.select("_one.*").select(*docs.columns).unionByName(wordless)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

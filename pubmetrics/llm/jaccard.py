@@ -19,6 +19,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from pubmetrics.llm import text as tx
 from pubmetrics.llm.store import BLOBS, blob_rows, stored, summed_blobs
@@ -32,6 +34,8 @@ BLOCK_ROWS = 4096
 U = np.uint64
 PAIRS = "a long, b long, apart int, shared int"
 LINKS = "a long, b long"
+#: What names the rows a class is read from: its smallest key (0 where all are null) and its set.
+OWN = ["doc", "nameless", "n", "s1", "s2"]
 
 
 def needed(total, percent: int):
@@ -80,6 +84,17 @@ def shingle_sets(column: pa.Array, shingle: int, levels: np.ndarray | None = Non
     return (key & U((1 << hash_bits) - 1)) >> U(hash_bits - TOKEN_BITS), at
 
 
+def set_sums(tokens: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Two sums of hashes per set, whatever the order of its shingles: with the size they name a class."""
+    rolled = [np.concatenate([np.zeros(1, U), np.cumsum(tx.mixed(tokens + U(c)), dtype=U)]) for c in (1, 1 << 50)]
+    return [(r[at[1:]] - r[at[:-1]]).view(np.int64) for r in rolled]
+
+
+def own_columns(keys: pa.Array, tokens: np.ndarray, at: np.ndarray) -> list[pa.Array]:
+    """The columns of OWN."""
+    return [keys.fill_null(0), keys.is_null(), pa.array(np.diff(at).astype(np.int32)), *map(pa.array, set_sums(tokens, at))]
+
+
 def histogram(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Two 64-bit words per set: 32 cells of token counts, modulo 16."""
     n = len(at) - 1
@@ -130,9 +145,10 @@ def possible(n1, h1, n2, h2, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return at[ok], apart[ok]
 
 
-def scanned(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """One pass over the texts: (key, n, s1, s2, h1, h2, fine) of every document, and count blobs of shingle hashes."""
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int32()), *((c, pa.int64()) for c in ("s1", "s2", "h1", "h2")), ("fine", pa.binary()), ("piece", pa.int32()), ("counts", pa.binary())])
+def scanned(docs: DataFrame, shingle: int, carry: list[str]) -> tuple[DataFrame, DataFrame]:
+    """One pass over the texts: (key, n, s1, s2, h1, h2, fine) and ``carry`` of every document, and count blobs of shingle hashes."""
+    carried = StructType([StructField(f.name, f.dataType) for f in docs.select(*carry).schema])
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int32()), *((c, pa.int64()) for c in ("s1", "s2", "h1", "h2")), ("fine", pa.binary()), ("piece", pa.int32()), ("counts", pa.binary()), *to_arrow_schema(carried)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -141,17 +157,16 @@ def scanned(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
                 tokens, at = shingle_sets(part.column("text"), shingle)
                 bins = (tokens >> U(TOKEN_BITS - SKETCH_BITS)).astype(np.int64)
                 np.add.at(counts, bins, 1)
-                sums = [tx.mixed(tokens + U(c)) for c in (1, 1 << 50)]
-                rolled = [np.concatenate([np.zeros(1, U), np.cumsum(s, dtype=U)]) for s in sums]
-                s1, s2 = ((r[at[1:]] - r[at[:-1]]).view(np.int64) for r in rolled)
+                s1, s2 = set_sums(tokens, at)
                 hist = histogram(tokens, at).view(np.int64)
                 n = part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(np.diff(at).astype(np.int32)), pa.array(s1), pa.array(s2), pa.array(hist[:, 0]), pa.array(hist[:, 1]), pa.array(fine_histogram(tokens, at), pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(np.diff(at).astype(np.int32)), pa.array(s1), pa.array(s2), pa.array(hist[:, 0]), pa.array(hist[:, 1]), pa.array(fine_histogram(tokens, at), pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), *map(part.column, carry)], schema=schema)
         rows = [{"piece": i, "counts": c} for _, i, c in blob_rows(None, counts, 16)] if counts.any() else []
         yield pa.RecordBatch.from_pylist(rows, schema)
 
-    rows = stored(docs.mapInArrow(run, "key long, n int, s1 long, s2 long, h1 long, h2 long, fine binary, piece int, counts binary"), "jaccard-scan")
-    return rows.where("piece IS NULL").select("key", "n", "s1", "s2", "h1", "h2", "fine"), rows.where("piece IS NOT NULL").select(F.lit(None).cast("string").alias("name"), "piece", "counts")
+    kinds = StructType(StructType.fromDDL("key long, n int, s1 long, s2 long, h1 long, h2 long, fine binary, piece int, counts binary").fields + carried.fields)
+    rows = stored(docs.mapInArrow(run, kinds), "jaccard-scan")
+    return rows.where("piece IS NULL").select("key", "n", "s1", "s2", "h1", "h2", "fine", *carry), rows.where("piece IS NOT NULL").select(F.lit(None).cast("string").alias("name"), "piece", "counts")
 
 
 def shingle_levels(counts: np.ndarray) -> tuple[np.ndarray, float]:
@@ -176,7 +191,7 @@ def boundary(usual_list: float, percent: int) -> int:
 
 
 def posted(docs: DataFrame, shingle: int, percent: int, levels: np.ndarray, light: int) -> DataFrame:
-    """Rows (key, s1, n, lists): every set's inverted lists, as hashes, and its size.
+    """Rows (OWN, lists): every document's set, and its inverted lists as hashes; copies that come together give one row.
 
     Lists are parted by size: the first half are those of the set's own band, the others those of the next
     one. Sizes of similar sets lie in one band or in neighbouring ones.
@@ -185,15 +200,14 @@ def posted(docs: DataFrame, shingle: int, percent: int, levels: np.ndarray, ligh
     # Bands a little wider than the ratio of similar sizes, so that rounding parts none of them.
     width = 1.0001 * float(np.log(100 / percent))
     least = percent / (100 - percent)  # no smaller set has a similar one but its equals
-    kinds = pa.schema([("key", pa.int64()), ("s1", pa.int64()), ("n", pa.int32()), ("lists", pa.list_(pa.int64()))])
+    kinds = pa.schema([("doc", pa.int64()), ("nameless", pa.bool_()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("lists", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tx.slices(batch, "text"):
                 tokens, at = shingle_sets(part.column("text"), shingle, shared.value)
                 n = np.diff(at)
-                rolled = np.concatenate([np.zeros(1, U), np.cumsum(tx.mixed(tokens + U(1)), dtype=U)])
-                s1 = (rolled[at[1:]] - rolled[at[:-1]]).view(np.int64)
+                own = own_columns(part.column("key"), tokens, at)
                 # Lights meet heavies in single lists too, as far as their sizes can be similar.
                 single = np.where((n >= least) & (100 * n >= percent * (light + 1)), prefix(n, percent, shares(n, light)), 0)
                 double = np.where((n >= least) & (n <= light), prefix(n, percent, 2), 0)
@@ -210,10 +224,11 @@ def posted(docs: DataFrame, shingle: int, percent: int, levels: np.ndarray, ligh
                 owners = np.concatenate([owners, owners])
                 order = np.argsort(owners, kind="stable")
                 ends = np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(n)))]).astype(np.int32)
-                rows = [part.column("key"), pa.array(s1), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(lists[order].view(np.int64)))]
-                yield pa.RecordBatch.from_arrays(rows, schema=kinds)
+                rows = pa.RecordBatch.from_arrays([*own, pa.ListArray.from_arrays(pa.array(ends), pa.array(lists[order].view(np.int64)))], schema=kinds)
+                seen = np.stack([c.cast(pa.int64()).to_numpy(zero_copy_only=False) for c in own], axis=1)
+                yield rows.take(pa.array(np.sort(np.unique(seen, axis=0, return_index=True)[1])))
 
-    return docs.mapInArrow(run, "key long, s1 long, n int, lists array<long>")
+    return docs.mapInArrow(run, "doc long, nameless boolean, n int, s1 long, s2 long, lists array<long>")
 
 
 def sized(rows: DataFrame, percent: int) -> DataFrame:
@@ -365,44 +380,48 @@ def across(rows: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, ends: DataFrame, shingle: int) -> DataFrame:
-    """(key, set) of the documents with the keys of ``ends``, which are distinct: 5 bytes for each shingle."""
+    """(key, set) of the classes ``ends`` (key, OWN), which are distinct: 5 bytes for each shingle."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        counts = {c: np.zeros(1 << SKETCH_BITS, np.int64) for c in ("doc", "s1")}
         for b in batches:
-            counts[bin_of(b.column("key").to_numpy(zero_copy_only=False))] = 1
-        yield pa.RecordBatch.from_pylist([dict(zip(("name", "piece", "counts"), r)) for r in blob_rows(None, counts, 4)], pa.schema([("name", pa.string()), ("piece", pa.int32()), ("counts", pa.binary())]))
+            for c in counts:
+                counts[c][bin_of(b.column(c))] = 1
+        found = [r for c in counts for r in blob_rows(c, counts[c], 4)]
+        yield pa.RecordBatch.from_pylist([dict(zip(("name", "piece", "counts"), r)) for r in found], pa.schema([("name", pa.string()), ("piece", pa.int32()), ("counts", pa.binary())]))
 
-    def bin_of(keys: np.ndarray) -> np.ndarray:
-        return (tx.mixed(keys.view(U)) >> U(64 - SKETCH_BITS)).astype(np.int64)
+    def bin_of(keys: pa.Array) -> np.ndarray:
+        return (tx.mixed(keys.to_numpy(zero_copy_only=False).view(U)) >> U(64 - SKETCH_BITS)).astype(np.int64)
 
-    # Which texts need their sets: one bit per hash of a key, always of the same size.
-    wanted = summed_blobs(ends.mapInArrow(mark, BLOBS)).get(None, np.zeros(1 << SKETCH_BITS)) > 0
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
+    # Which texts need their sets: one bit per hash of a key, and one per hash of a set for keys of many texts.
+    wanted = summed_blobs(ends.select("doc", "s1").mapInArrow(mark, BLOBS))
+    shared = docs.sparkSession.sparkContext.broadcast({c: np.packbits(wanted.get(c, np.zeros(1 << SKETCH_BITS)) > 0) for c in ("doc", "s1")})
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(shared.value).astype(bool)
+        bits = {c: np.unpackbits(x).astype(bool) for c, x in shared.value.items()}
         for batch in batches:
-            keys = batch.column("key").fill_null(0).to_numpy(zero_copy_only=False)
-            batch = batch.take(pa.array(np.flatnonzero(bits[bin_of(keys)])))
+            batch = batch.take(pa.array(np.flatnonzero(bits["doc"][bin_of(batch.column("key").fill_null(0))])))
             for part in tx.slices(batch, "text"):
                 tokens, at = shingle_sets(part.column("text"), shingle)
+                own = own_columns(part.column("key"), tokens, at)
                 packed = tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : TOKEN_BITS // 8].tobytes()
+                some = np.flatnonzero(bits["s1"][bin_of(own[3])])
                 at = at * (TOKEN_BITS // 8)
-                blobs = [packed[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(blobs, pa.binary())], ["key", "set"])
+                blobs = [packed[a:b] for a, b in zip(at[some].tolist(), at[some + 1].tolist())]
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(some)) for c in own), pa.array(blobs, pa.binary())], [*OWN, "set"])
 
-    found = docs.mapInArrow(sets, "key long, set binary").join(ends, "key", "left_semi")
-    return stored(found.dropDuplicates(["key"]), "jaccard-sets")
+    found = docs.mapInArrow(sets, "doc long, nameless boolean, n int, s1 long, s2 long, set binary").join(ends, OWN)
+    return stored(found.dropDuplicates(OWN).select("key", "set"), "jaccard-sets")
 
 
 def ends_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
 
 
-def likely(profiles: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def likely(profiles: DataFrame, owned: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The possible pairs that are still possible by their finer histograms."""
-    profiles = stored(profiles.join(ends_of(pairs), "key", "left_semi").dropDuplicates(["key"]), "jaccard-profiles")
+    wanted = owned.join(ends_of(pairs), "key", "left_semi")
+    profiles = stored(profiles.join(wanted, OWN).dropDuplicates(OWN).select("key", "n", "fine"), "jaccard-profiles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -441,12 +460,13 @@ def similar(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, LINKS)
 
 
-def verified(docs: DataFrame, profiles: DataFrame, pairs: DataFrame, shingle: int, percent: int, labels: DataFrame | None = None) -> DataFrame:
+def verified(docs: DataFrame, profiles: DataFrame, owned: DataFrame, pairs: DataFrame, shingle: int, percent: int, labels: DataFrame | None = None) -> DataFrame:
     """``labels`` (node, label) of components, joined further by the similar ones of possible pairs.
 
-    ``profiles``: key, n and fine histogram of every document. Whole sets are made of documents in likely pairs only.
+    ``profiles``: OWN and fine histogram of every document; ``owned``: key and OWN of every class. Whole sets are
+    made of classes in likely pairs only.
 
-    Every document first tries the likeliest pair in which its key is the smaller one, and that in which it
+    Every class first tries the likeliest pair in which its key is the smaller one, and that in which it
     is the larger; then all pairs whose ends have not met meanwhile are tried. So copies of one text cost few
     tests each, and no connection is lost.
     """
@@ -462,10 +482,10 @@ def verified(docs: DataFrame, profiles: DataFrame, pairs: DataFrame, shingle: in
         now = stored(now.select("a", "b").distinct(), "jaccard-tests")
         if first:
             pairs = pairs.join(now, ["a", "b"], "left_anti")
-        now = stored(likely(profiles, now, percent).select("a", "b"), "jaccard-tests")
+        now = stored(likely(profiles, owned, now, percent).select("a", "b"), "jaccard-tests")
         if now.isEmpty():
             continue
-        links = similar(whole_sets(docs, ends_of(now), shingle), now, percent)
+        links = similar(whole_sets(docs, owned.join(ends_of(now), "key", "left_semi"), shingle), now, percent)
         known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
         labels = stored(components(known.unionByName(links)), "jaccard-labels")
     return labels
@@ -494,34 +514,52 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int
     """Per document: key, n_shingles and component, the smallest key reachable by links.
 
     Documents link when 100 * overlap >= percent * union of their shingle sets; documents without words
-    link with nothing. Rows with the same key count as one document in links (each row keeps its own
-    n_shingles); rows with a null key take part with the component of their class. Equal
+    link with nothing. Rows are told apart by their texts: rows with the same key link by their own text only,
+    and rows with a null key as all others. A component of null keys only is null. Equal
     texts, and texts that differ in the case of A-Z or white space only, are one class. An empty table gives no row.
     """
+    return groups(docs, text, key, shingle, percent).select("key", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key")).alias("component"))
+
+
+def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, percent: int = 80, carry: list[str] | None = None) -> DataFrame:
+    """Per document: key, n, the columns ``carry``, a group of its own for each set of linked documents, and component.
+
+    ``component`` is the smallest key of the group, which other groups may have too; documents without words have neither.
+    """
     if not 60 <= percent <= 100:
         raise ValueError("percent must be from 60 to 100")
-    docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    rows, blobs = scanned(docs, shingle)
-    classes = stored(rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("key").alias("first"), F.min("h1").alias("h1"), F.min("h2").alias("h2")), "jaccard-classes")
-    labels = linked(docs, classes, rows.select("key", "n", "fine"), blobs, shingle, percent) if percent < 100 else None
-    named = classes if labels is None else classes.join(labels, classes["first"] == labels["node"], "left")
-    named = named.select("n", "s1", "s2", (F.col("first") if labels is None else F.coalesce("label", "first")).alias("component"))
-    out = rows.drop("fine").join(named, ["n", "s1", "s2"], "left")
-    return out.select("key", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "key").alias("component"))
+    carry = carry or []
+    docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), *carry)
+    rows, blobs = scanned(docs, shingle, carry)
+    docs = docs.select("key", "text")
+    classes = rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("key").alias("first"), F.min("h1").alias("h1"), F.min("h2").alias("h2"))
+    # Ids of classes are written once, so that all that follows reads the same ones.
+    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "jaccard-classes")
+    named = classes.select("n", "s1", "s2", F.col("id").alias("group"), F.col("first").alias("component"))
+    if percent < 100:
+        labels = linked(docs, classes, rows.select(*own_of("key"), "fine"), blobs, shingle, percent)
+        named = classes.join(labels, classes["id"] == labels["node"], "left").select("n", "s1", "s2", F.coalesce("label", "id").alias("group"), "first")
+        named = stored(named, "jaccard-named")
+        named = named.join(named.groupBy("group").agg(F.min("first").alias("component")), "group").drop("first")
+    return rows.select("key", "n", "s1", "s2", *carry).join(named, ["n", "s1", "s2"], "left").select("key", "n", *carry, "group", "component")
+
+
+def own_of(key: str) -> list:
+    """The columns of OWN by a key that may be null."""
+    return [F.coalesce(F.col(key), F.lit(0).cast("long")).alias("doc"), F.col(key).isNull().alias("nameless"), "n", "s1", "s2"]
 
 
 def linked(docs: DataFrame, classes: DataFrame, profiles: DataFrame, blobs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(node, label) of all classes, known by their first keys, that link with another."""
+    """(node, label) of all classes, known by their ids, that link with another."""
     counts = summed_blobs(blobs).get(None, np.zeros(1 << SKETCH_BITS, np.int64))
     levels, usual_list = shingle_levels(counts)
     light = boundary(usual_list, percent)
-    post = posted(docs.where("key IS NOT NULL"), shingle, percent, levels, light)
-    firsts = classes.where("first IS NOT NULL").select(F.col("first").alias("key"), "n", "s1", "h1", "h2")
-    post = post.join(firsts.select("key", "s1"), ["key", "s1"]).dropDuplicates(["key", "s1"])
-    # Most lists have one row: histograms join the others only. A key may come with several sets.
-    rows = post.select("key", F.hash("s1").alias("which"), "n", F.size("lists").alias("all"), F.posexplode("lists").alias("at", "list"))
-    rows = sized(rows.select("list", "key", "which", "n", (2 * F.col("at") < F.col("all")).alias("own")), percent)
-    rows = rows.join(firsts.select("key", F.hash("s1").alias("which"), "h1", "h2"), ["key", "which"])
+    owned = classes.select(F.col("id").alias("key"), *own_of("first"))
+    post = posted(docs, shingle, percent, levels, light).join(owned, OWN).dropDuplicates(OWN)
+    # Most lists have one row: histograms join the others only.
+    rows = post.select("key", "n", F.size("lists").alias("all"), F.posexplode("lists").alias("at", "list"))
+    rows = sized(rows.select("list", "key", "n", (2 * F.col("at") < F.col("all")).alias("own")), percent)
+    rows = rows.join(classes.select(F.col("id").alias("key"), "h1", "h2"), "key")
     rows = stored(rows.select("list", "key", "n", "h1", "h2", "own", "m"), "jaccard-lists")
     needs = F.when(F.col("n") > light, 1 + F.floor(F.col("n") / 50)).otherwise(1)
     sets = rows.groupBy("key").agg(F.min(needs).alias("needs"), F.sum((F.col("m") > SHORT_LIST).cast("int")).alias("longs"))
@@ -535,10 +573,10 @@ def linked(docs: DataFrame, classes: DataFrame, profiles: DataFrame, blobs: Data
     first = stored(sharing(found, short, sets), "jaccard-pairs")
     if first.isEmpty() and not some_long:
         return docs.sparkSession.createDataFrame([], "node long, label long")
-    labels = verified(docs, profiles, first, shingle, percent)
+    labels = verified(docs, profiles, owned, first, shingle, percent)
     if some_long:
         more = across(long, labels, percent).join(first, ["a", "b"], "left_anti")
         more = stored(sharing(more, short, sets), "jaccard-pairs")
         if not more.isEmpty():
-            labels = verified(docs, profiles, more, shingle, percent, labels)
+            labels = verified(docs, profiles, owned, more, shingle, percent, labels)
     return labels
