@@ -1,8 +1,9 @@
 """WARC files: writing with revisit records, and a reader that salvages what follows damage.
 
-Every record is a gzip member of its own. The reader checks each one (gzip checksum, header, length,
-block and payload digests); after a failed check it searches for the next gzip member or version
-line that starts a valid record, and logs the bytes between as a quarantined gap.
+Every record is written as a gzip member of its own; the reader also takes members of several records and
+plain files. It checks each record (gzip checksum, header, length, block and payload digests); after a failed
+check it searches for the next gzip member or version line that starts a valid record, and logs the bytes
+between as a quarantined gap. Places inside a member count its plain bytes.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -27,7 +29,7 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 FILES = "path string, n_records long, n_bytes long"
 RECORDS = (
-    "file string, at long, type string, record_id string, uri string, payload_digest string, payload_bytes long, "
+    "file string, at long, inside long, type string, record_id string, uri string, payload_digest string, payload_bytes long, "
     "refers_to string, payload binary, gap_start long, gap_bytes long, reason string"
 )
 SCHEMA = pa.schema(
@@ -73,29 +75,32 @@ def record(page: int | None, uri: str | None, payload: bytes, refers_to: int | N
 
 @dataclass
 class Found:
-    """A record, or (``reason`` set) a gap of bytes left out."""
+    """A record, or (``reason`` set) a gap of bytes left out; in a gzip member, ``at`` is the member's place, and
+    ``inside`` and ``size`` count its plain bytes."""
 
     at: int
     size: int
     fields: dict[str, str]
     block: bytes
     reason: str = ""
+    inside: int = 0
 
 
-def read_record(data: bytes, start: int) -> Found:
-    """The checked record at a place; ValueError names the failed check."""
-    plain, used = data, 0
-    if data[start : start + 3] == b"\x1f\x8b\x08":
-        unpack = zlib.decompressobj(31)
-        try:
-            plain = unpack.decompress(memoryview(data)[start:])
-        except zlib.error as e:
-            raise ValueError("gzip") from e
-        if not unpack.eof:
-            raise ValueError("truncated")
-        used, at = len(data) - start - len(unpack.unused_data), 0
-    else:
-        at = start
+def member(data: bytes, start: int) -> tuple[bytes, int]:
+    """Plain bytes of the gzip member at a place, and its size; ValueError names the failed check."""
+    unpack = zlib.decompressobj(31)
+    try:
+        plain = unpack.decompress(memoryview(data)[start:])
+    except zlib.error as e:
+        raise ValueError("gzip") from e
+    if not unpack.eof:
+        raise ValueError("truncated")
+    return plain, len(data) - start - len(unpack.unused_data)
+
+
+def read_record(plain: bytes, at: int) -> Found:
+    """The checked record at a place of plain bytes; ValueError names the failed check."""
+    start = at
     if not re.match(rb"WARC/1\.[01]\r\n", plain[at : at + 10]):
         raise ValueError("version")
     end = plain.find(b"\r\n\r\n", at)
@@ -118,7 +123,7 @@ def read_record(data: bytes, start: int) -> Found:
     if fields["warc-type"] == "response" and fields.get("warc-payload-digest", "").startswith("sha1:"):
         if fields["warc-payload-digest"][5:] != sha1(payload_of(block)[1]):
             raise ValueError("payload digest")
-    return Found(start, used or stop + 4 - start, fields, block)
+    return Found(start, stop + 4 - start, fields, block)
 
 
 def payload_of(block: bytes) -> tuple[int, bytes]:
@@ -128,12 +133,25 @@ def payload_of(block: bytes) -> tuple[int, bytes]:
     return int(size[1]) if size else len(body), body
 
 
-def salvage(data: bytes) -> Iterator[Found]:
-    """All valid records of a file in order, and each gap between them with the first failed check."""
+def salvage(data: bytes, packed: bool = True) -> Iterator[Found]:
+    """All valid records of a file in order, and each gap between them with the first failed check.
+
+    ``packed``: gzip members are unpacked, and a member in which no record is valid is a gap as a whole.
+    """
     at, bad, reason = 0, -1, ""
     while at < len(data):
         try:
-            found = read_record(data, at)
+            if packed and data[at : at + 3] == b"\x1f\x8b\x08":
+                plain, size = member(data, at)
+                inside, head = salvage(plain, False), []
+                while not head or head[-1].reason:  # a gap at most, then a record
+                    head.append(next(inside, None))
+                    if head[-1] is None:
+                        raise ValueError(head[0].reason if head[0] else "version")
+                found = (Found(at, f.size, f.fields, f.block, f.reason, f.at) for f in chain(head, inside))
+            else:
+                one = read_record(data, at)
+                found, size = [one], one.size
         except ValueError as e:
             if bad < 0:
                 bad, reason = at, str(e)
@@ -143,8 +161,8 @@ def salvage(data: bytes) -> Iterator[Found]:
         if bad >= 0:
             yield Found(bad, at - bad, {}, b"", reason)
             bad = -1
-        yield found
-        at += found.size
+        yield from found
+        at += size
     if bad >= 0:
         yield Found(bad, len(data) - bad, {}, b"", reason)
 
@@ -197,7 +215,8 @@ def write(rows: DataFrame, folder: str, file_bytes: int = 1 << 26) -> DataFrame:
 def read(spark, folder: str, payloads: bool = True) -> DataFrame:
     """Records and quarantined gaps (``reason`` not null) of all files of a folder.
 
-    A file is read by one task, record by record. ``payloads=False`` leaves payload bytes out.
+    Files are *.warc.gz and plain *.warc. A file is read by one task, record by record. ``inside`` is a place in the
+    plain bytes of the gzip member at ``at``. ``payloads=False`` leaves payload bytes out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +225,7 @@ def read(spark, folder: str, payloads: bool = True) -> DataFrame:
                 rows, size = [], 0
                 for f in salvage(content.as_py()):
                     row = dict.fromkeys(SCHEMA.names)
-                    row |= {"file": path.as_py(), "at": f.at}
+                    row |= {"file": path.as_py(), "at": f.at, "inside": f.inside}
                     if f.reason:
                         row |= {"gap_start": f.at, "gap_bytes": f.size, "reason": f.reason}
                     else:
@@ -229,7 +248,7 @@ def read(spark, folder: str, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, SCHEMA)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc,warc.gz}").load(folder)
     return files.select("path", "content").mapInArrow(run, RECORDS)
 
 
