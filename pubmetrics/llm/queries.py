@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pubmetrics.llm import balance, chat, jaccard, langid, packing, repetition, simhash, toxicity, warc, wavelet
+from pubmetrics.llm.store import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,8 +75,13 @@ def op7_packing(spark, sf_dir):
 
 @query
 def op3_simhash(spark, sf_dir):
-    found = simhash.with_neighbours(table(spark, sf_dir, "documents"))
-    return found.select(
+    found = stored(simhash.with_neighbours(table(spark, sf_dir, "documents")), "simhash")
+    # Every twentieth id asks for the rows within three bits, itself included, and the smallest id among them.
+    asks = F.coalesce(F.col("key") % 20 == 0, F.lit(False))
+    near = simhash.near_counts(found, found.where(asks), radius=3, blocks=5).withColumnsRenamed({"near": "near_rows", "least": "near_first"})
+    asked = found.where(asks).join(near, "fingerprint", "left")
+    rest = found.where(~asks).withColumns({c: F.lit(None).cast("long") for c in ("near_rows", "near_first")})
+    return asked.unionByName(rest).select(
         F.col("key").alias("doc_id"),
         "n_chars",
         "edited_sha256",
@@ -83,6 +89,8 @@ def op3_simhash(spark, sf_dir):
         simhash.as_hex("edited_fingerprint").alias("edited_fingerprint"),
         simhash.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         simhash.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        "near_rows",
+        "near_first",
     )
 
 

@@ -38,7 +38,9 @@ def fingerprints(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
         signed = (bits.astype(np.float32) * 2 - 1) * weight[lo:hi, None]
         votes[a : a + 64] = tx.segment_sums(signed, term_first[a : a + 65] - lo)
     for i in short:
-        whole = tx.mixed(np.bitwise_xor.accumulate(hashes[first[i] : first[i + 1]] * np.uint64(tx.STEP))[-1:])
+        whole = np.array([first[i + 1] - first[i]], np.uint64)
+        for h in hashes[first[i] : first[i + 1]]:  # in order, as jaccard.shingle_sets
+            whole = tx.mixed(whole * np.uint64(tx.STEP) + h)
         votes[i] = np.unpackbits(whole.view(np.uint8), bitorder="little").astype(float) * 2 - 1
     return np.packbits(votes > 0, axis=1, bitorder="little").view(np.uint64).ravel()
 
@@ -120,53 +122,92 @@ def tables(radius: int, blocks: int) -> list[int]:
     return [sum(c) for c in combinations(masks, blocks - radius)]
 
 
-def near_counts(found: DataFrame, queries: DataFrame, radius: int = 3, blocks: int = 6, block_rows: int = 4096) -> DataFrame:
-    """For each distinct ``fingerprint`` of queries: rows of ``found`` within the radius, itself included.
+def dealt_cells(found: DataFrame, queries: DataFrame, masks: list[int], block_rows: int) -> DataFrame:
+    """Rows (t, cell, p, q, fingerprint, n, least, asks) of distinct fingerprints under the bits of each mask, where one asks.
 
-    Fingerprints are counted first, so copies are one row. Both sides go to every table under the bits
-    of its mask; a pair counts in the first table on which it agrees. A table cell with many
-    fingerprints is dealt over several tasks. No pair is written. Nulls are left out.
+    Those searched stand in one part p of their cell and all q, those that ask in one q and all p; each p and q has about ``block_rows``.
     """
-    masks = tables(radius, blocks)
     signed = np.array(masks, np.uint64).view(np.int64).tolist()
-    counted = found.where("fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.count("*").alias("n"))
+    least = F.min("key") if "key" in found.columns else F.lit(None).cast("long")
+    counted = found.where("fingerprint IS NOT NULL").groupBy("fingerprint").agg(F.count("*").alias("n"), least.alias("least"))
     asked = queries.where("fingerprint IS NOT NULL").select("fingerprint").distinct().withColumn("asked", F.lit(True))
-    both = counted.join(asked, "fingerprint", "full").select("fingerprint", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("asked", F.lit(False)).alias("asked"))
+    both = counted.join(asked, "fingerprint", "full").select("fingerprint", F.coalesce("n", F.lit(0)).alias("n"), "least", F.coalesce("asked", F.lit(False)).alias("asked"))
     cells = F.posexplode(F.transform(F.array(*[F.lit(m) for m in signed]), lambda m: F.col("fingerprint").bitwiseAND(m)))
-    rows = both.select("fingerprint", "n", "asked", cells.alias("t", "cell"))
-    sizes = rows.groupBy("t", "cell").agg(F.count("*").alias("m"), F.max("asked").alias("any")).where("m > 1 AND any")
-    rows = rows.join(sizes, ["t", "cell"]).withColumn("parts", F.ceil(F.col("m") / block_rows).cast("int"))
-    # Fingerprints searched stand in one part; those that ask go to all parts of their cell.
-    here = rows.select("t", "cell", F.pmod(F.xxhash64("fingerprint"), "parts").cast("int").alias("p"), "fingerprint", "n", F.lit(False).alias("asks"))
-    there = rows.where("asked").select("t", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), "fingerprint", F.lit(0).cast("long").alias("n"), F.lit(True).alias("asks"))
+    rows = both.select("fingerprint", "n", "least", "asked", cells.alias("t", "cell"))
+    sizes = rows.groupBy("t", "cell").agg(F.count("*").alias("m"), F.sum(F.col("asked").cast("int")).alias("k")).where("m > 1 AND k > 0")
+    rows = rows.join(sizes, ["t", "cell"]).withColumns({c: F.ceil(F.col(x) / block_rows).cast("int") for c, x in (("ps", "m"), ("qs", "k"))})
+    own = lambda n: F.pmod(F.xxhash64("fingerprint"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    here = rows.select("t", "cell", own("ps").alias("p"), every("qs").alias("q"), "fingerprint", "n", "least", F.lit(False).alias("asks"))
+    there = rows.where("asked").select("t", "cell", every("ps").alias("p"), own("qs").alias("q"), "fingerprint", F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("least"), F.lit(True).alias("asks"))
+    return here.unionByName(there).repartition("t", "cell", "p", "q").sortWithinPartitions("t", "cell", "p", "q", F.col("asks").desc())
+
+
+def hits(batches: Iterator[pa.RecordBatch], masks: list[int], radius: int) -> Iterator[tuple]:
+    """(fingerprint, n, least, those asking within the radius but not equal) of dealt cells; a pair in the first table that has it."""
+    cell, asking, ask = None, [], None
+    for b in batches:
+        for t, c, p, q, f, n, least, asks in zip(*(b.column(x).to_pylist() for x in ("t", "cell", "p", "q", "fingerprint", "n", "least", "asks"))):
+            if (t, c, p, q) != cell:
+                cell, asking, ask = (t, c, p, q), [], None
+            if asks:
+                asking.append(f)
+                continue
+            if ask is None:
+                ask = np.array(asking, np.int64).view(np.uint64)
+            apart = ask ^ np.int64(f).view(np.uint64)
+            near = (np.bitwise_count(apart) <= radius) & (apart != 0)
+            for m in masks[:t]:
+                near &= (apart & np.uint64(m)) != 0
+            if n and near.any():
+                yield f, n, least, ask[near].view(np.int64).tolist()
+
+
+def near_pairs(found: DataFrame, queries: DataFrame, radius: int = 3, blocks: int = 6, block_rows: int = 4096) -> DataFrame:
+    """(fingerprint, near): every ``fingerprint`` of queries with each other one of ``found`` within the radius, once."""
+    masks = tables(radius, blocks)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, asking, sums = None, [], []
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: tuple[list, list] = ([], [])
+        for f, _, _, ask in hits(batches, masks, radius):
+            rows[0].extend(ask)
+            rows[1].extend([f] * len(ask))
+            if len(rows[0]) >= 1 << 16:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], ["fingerprint", "near"])
+                rows = ([], [])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], ["fingerprint", "near"])
 
-        def done() -> Iterator[pa.RecordBatch]:
-            if asking:
-                a = np.array(asking, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.array(sums, np.int64))], ["fingerprint", "near"])
+    return dealt_cells(found, queries, masks, block_rows).mapInArrow(pairs, "fingerprint long, near long")
 
-        for b in batches:
-            for t, c, p, f, n, asks in zip(*(b.column(x).to_pylist() for x in ("t", "cell", "p", "fingerprint", "n", "asks"))):
-                if (t, c, p) != cell:
-                    yield from done()
-                    cell, asking, sums = (t, c, p), [], np.zeros(0, np.int64)
-                    ask = np.zeros(0, np.uint64)
-                if asks:
-                    asking.append(f)
-                    continue
-                if len(ask) != len(asking):
-                    ask, sums = np.array(asking, np.int64).view(np.uint64), np.zeros(len(asking), np.int64)
-                apart = ask ^ np.int64(f).view(np.uint64)
-                near = (np.bitwise_count(apart) <= radius) & (apart != 0)
-                for m in masks[:t]:
-                    near &= (apart & np.uint64(m)) != 0
-                sums += near * n
-        yield from done()
-
-    merged = here.unionByName(there).repartition("t", "cell", "p").sortWithinPartitions("t", "cell", "p", F.col("asks").desc())
-    parts = merged.mapInArrow(count, "fingerprint long, near long").groupBy("fingerprint").agg(F.sum("near").alias("near"))
-    own = asked.join(counted, "fingerprint", "left").join(parts, "fingerprint", "left")
-    return own.select("fingerprint", (F.coalesce("n", F.lit(0)) + F.coalesce("near", F.lit(0))).alias("near"))
+
+def near_counts(found: DataFrame, queries: DataFrame, radius: int = 3, blocks: int = 6, block_rows: int = 4096) -> DataFrame:
+    """For each distinct ``fingerprint`` of queries: rows of ``found`` within the radius, itself included, and their least ``key``, if there is one.
+
+    Fingerprints are counted first, so copies are one row. Both sides go to every table under the bits
+    of its mask; a pair counts in the first table on which it agrees. A table cell with many
+    fingerprints, or many that ask, is dealt over several tasks. No pair is written. Nulls are left out.
+    """
+    masks = tables(radius, blocks)
+    kinds = pa.schema([(c, pa.int64()) for c in ("fingerprint", "near", "least")])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, tuple] = {}
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{"fingerprint": f, "near": n, "least": k} for f, (n, k) in sums.items()], kinds)
+
+        for _, n, least, ask in hits(batches, masks, radius):
+            for f in ask:
+                m, k = sums.get(f, (0, None))
+                sums[f] = (m + n, least if k is None else k if least is None else min(k, least))
+            if len(sums) >= 1 << 16:
+                yield done()
+                sums.clear()
+        yield done()
+
+    parts = dealt_cells(found, queries, masks, block_rows).mapInArrow(count, "fingerprint long, near long, least long")
+    least = F.min("key") if "key" in found.columns else F.lit(None).cast("long")
+    asked = queries.where("fingerprint IS NOT NULL").select("fingerprint").distinct()
+    own = found.join(asked, "fingerprint", "left_semi").groupBy("fingerprint").agg(F.count("*").alias("near"), least.alias("least"))
+    none = asked.select("fingerprint", F.lit(0).cast("long").alias("near"), F.lit(None).cast("long").alias("least"))
+    return parts.unionByName(own).unionByName(none).groupBy("fingerprint").agg(F.sum("near").alias("near"), F.min("least").alias("least"))
