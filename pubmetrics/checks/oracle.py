@@ -208,6 +208,13 @@ SELECT CAST(src_ord AS VARCHAR) AS src_ord, eid, title,
   CASE WHEN src_ord % 2 = 0 THEN journal END AS journal,
   CASE WHEN src_ord % 2 = 1 THEN doc_type END AS doc_type
 FROM pubs""")
+oracle("ingest_whole_records", PUBS, """
+SELECT CAST(src_ord AS VARCHAR) AS src_ord, eid, doi, title, cover_date, pub_year,
+  CASE WHEN src_ord % 2 = 0 THEN creator END AS creator, authors,
+  CASE WHEN src_ord % 2 = 0 THEN journal END AS journal,
+  CASE WHEN src_ord % 2 = 1 THEN doc_type END AS doc_type, author_keywords,
+  CASE WHEN src_ord % 2 = 1 THEN index_keywords END AS index_keywords, affiliations
+FROM pubs""")
 oracle("sliced_scan", PUBS, f"""
 SELECT src_ord, eid, {YEAR} AS year, doc_type FROM pubs WHERE {YEAR} BETWEEN 1999 AND 2018
 QUALIFY row_number() OVER (PARTITION BY eid ORDER BY {YEAR}, src_ord) = 1""")
@@ -235,6 +242,10 @@ SELECT src_ord, eid, CAST(NULL AS VARCHAR) AS doi, title, cover_date, pub_year,
   CAST(NULL AS VARCHAR) AS creator, authors, journal, doc_type, author_keywords,
   CAST(NULL AS VARCHAR) AS index_keywords, affiliations
 FROM pubs""")
+oracle("canonicalize_all", PUBS, """
+SELECT src_ord, eid, doi, title, cover_date, pub_year, CAST(NULL AS VARCHAR) AS creator, authors,
+  journal, doc_type, author_keywords, index_keywords, affiliations
+FROM pubs""")
 oracle("empty_dim_counts", PUBS, """
 SELECT doc_type AS doctype, count(*) AS count FROM pubs WHERE false GROUP BY 1""")
 

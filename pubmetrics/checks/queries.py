@@ -98,6 +98,15 @@ def ingest_records(spark, sf_dir):
     return src.union_records([firsts, repeats])
 
 
+@query
+def ingest_whole_records(spark, sf_dir):
+    """SRC3 / SET1: the whole record table from batches with different keys."""
+    raw = publications(spark, sf_dir)
+    firsts = raw.filter(F.col("src_ord") % 2 == 0).drop("doc_type", "index_keywords")
+    repeats = raw.filter(F.col("src_ord") % 2 == 1).drop("journal", "creator")
+    return src.union_records([firsts, repeats])
+
+
 @query
 def sliced_scan(spark, sf_dir):
     """SRC4 / SRC5: year slices, first record per id in slice order."""
@@ -218,6 +227,12 @@ def canonicalize(spark, sf_dir):
     return op.canonicalize(headers, op.EXPORT_FIELDS, require_year=True)
 
 
+@query
+def canonicalize_all(spark, sf_dir):
+    """SCH1 / SCH2: all export headers to the canonical schema, which takes no creator from an export."""
+    return op.canonicalize(export_table(spark, sf_dir), op.EXPORT_FIELDS, require_year=True)
+
+
 @query
 def empty_dim_counts(spark, sf_dir):
     """SCH4: counts of a field the export lacks: no rows, right columns."""
