@@ -222,6 +222,39 @@ oracle("sliced_store", PUBS, f"""
 SELECT src_ord, eid, {YEAR} AS year, doc_type FROM pubs WHERE {YEAR} BETWEEN 2003 AND 2009""")
 oracle("export_round_trip", UNIQUE, """
 SELECT _dedup_key, _year, title, authors, journal, affiliations FROM uniq""")
+BROKEN = f"""{PUBS},
+broken AS (
+  SELECT * REPLACE (
+    title || chr(10) || '"' || doc_type || '", said' AS title,
+    replace(affiliations, '; ', ';' || chr(13) || chr(10) || chr(10)) AS affiliations)
+  FROM pubs
+)"""
+oracle("export_in_splits", BROKEN, """
+SELECT eid AS "EID", doi AS "DOI", title AS "Title", nullif(cover_date, 'n/a') AS cover_date, pub_year AS "Year",
+  authors AS "Authors", journal AS "Source title", doc_type AS "Document Type",
+  author_keywords AS "Author Keywords", index_keywords AS "Index Keywords",
+  affiliations AS "Affiliations"
+FROM broken""")
+oracle("export_headers", BROKEN, """
+SELECT eid AS "EID", title AS "Title", CASE WHEN src_ord % 2 = 0 THEN doi END AS "DOI",
+  pub_year AS "Year", CASE WHEN src_ord % 2 = 1 THEN authors END AS unnamed,
+  CASE WHEN src_ord % 2 = 1 THEN affiliations END AS "Affiliations"
+FROM broken""")
+oracle("converted_in_place", PUBS, """
+SELECT eid AS "EID", doi AS "DOI", title AS "Title", nullif(cover_date, 'n/a') AS cover_date, pub_year AS "Year",
+  authors AS "Authors", journal AS "Source title", doc_type AS "Document Type",
+  author_keywords AS "Author Keywords", index_keywords AS "Index Keywords",
+  affiliations AS "Affiliations"
+FROM pubs""")
+SPREAD = f"""{PUBS},
+spread AS (
+  SELECT src_ord, eid, doc_type,
+    CAST(CASE WHEN src_ord % 10 = 0 THEN {YEAR} * 50 + src_ord ELSE {YEAR} END AS INTEGER) AS year
+  FROM pubs
+)"""
+oracle("sliced_outliers", SPREAD, "SELECT * FROM spread WHERE year BETWEEN 2010 AND 150000")
+oracle("stored_slice_counts", SPREAD, """
+SELECT year, count(*) AS n FROM spread WHERE year IS NOT NULL GROUP BY year ORDER BY year""")
 oracle("slice_counts", PUBS, f"""
 SELECT {YEAR} AS year, count(*) AS n FROM pubs
 WHERE {YEAR} BETWEEN {MIN_YEAR} AND {MAX_YEAR} GROUP BY 1 ORDER BY 1""")
@@ -234,6 +267,28 @@ WHERE lang IN ('en', 'de') AND contains(lower(text), 'er')
   AND (contains(lower(text), 'ing the') OR contains(lower(text), 'tion of')
     OR contains(lower(text), 'und der'))"""
 oracle("search_publications", FOUND, "SELECT src_ord, eid, pub_year, doc_type FROM found")
+
+
+def words(x: str) -> str:
+    """The words of a text, each between blanks."""
+    return rf"' ' || regexp_replace(lower(coalesce({x}, '')), '[^\p{{L}}\p{{M}}\p{{N}}]+', ' ', 'g') || ' '"
+
+
+ORACLES["search_words"] = f"""
+WITH texts AS (SELECT *, {words('text')} AS w FROM documents WHERE lang IN ('en', 'de'))
+SELECT doc_id, lang, source FROM texts
+WHERE (contains(w, ' of the ') OR contains(w, ' und der ') OR contains(w, ' an'))
+  AND NOT (contains(w, ' ing ') AND contains(w, ' thth'))"""
+oracle("search_phrases", f"""{PUBS},
+texts AS (
+  SELECT src_ord, title, {words('title')} AS t, {words('author_keywords')} AS a,
+    {words('index_keywords')} AS i
+  FROM pubs
+)""", """
+SELECT src_ord, title FROM texts
+WHERE (contains(t || '#' || a || '#' || i, ' red widget ') OR contains(t || '#' || a || '#' || i, ' gear ')
+    OR contains(i, ' brand 7 '))
+  AND (contains(t, ' study of auto') OR contains(t, ' study of building '))""")
 oracle("dataset_scope", UNIQUE, """
 SELECT src_ord, eid, title, _year, _eid, _doi, _t, _a1, _dedup_key FROM scoped""")
 
@@ -399,3 +454,20 @@ SELECT (SELECT count(DISTINCT item) FROM (SELECT unnest({parts('authors')}) AS i
   (SELECT count(DISTINCT journal) FROM clean) AS n_journals,
   (SELECT count(*) FROM annual) AS n_years,
   (SELECT CAST(coalesce(sum(count), 0) AS BIGINT) FROM annual) AS total_publications""")
+oracle("clean_run_record", CLEAN, """
+SELECT 'r' AS run_id, 'parquet' AS output_format, (SELECT count(*) FROM pubs) AS rows_before,
+  (SELECT count(*) FROM clean) AS rows_after,
+  (SELECT count(*) FROM pubs) - (SELECT count(*) FROM clean) AS duplicates_removed, field, n_nonnull
+FROM (""" + " UNION ALL ".join(
+    f"SELECT '{field}' AS field, count({col}) AS n_nonnull FROM clean"
+    for field, col in (
+        ("pub_year", "pub_year"),
+        ("journal", "journal"),
+        ("authors", "authors"),
+        ("keywords", "author_keywords"),
+    )
+) + ")")
+oracle("full_run_record", UNIQUE, f"""
+SELECT 'r' AS run_id, CAST({MIN_YEAR} AS BIGINT) AS min_year, CAST({MAX_YEAR} AS BIGINT) AS max_year,
+  (SELECT count(*) FROM pubs) AS rows_input, (SELECT count(*) FROM dated) AS rows_raw,
+  (SELECT count(*) FROM uniq) AS rows_deduplicated, (SELECT count(*) FROM scoped) AS rows_scoped""")

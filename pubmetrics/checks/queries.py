@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pubmetrics import functions as fn
-from pubmetrics import operators as op
+from pubmetrics import operators as op, plans
 from pubmetrics import sources as src
 from pubmetrics.plans.clean import clean_records
 from pubmetrics.plans.full import deduplicated, export_records, in_scope, with_year
@@ -147,6 +147,70 @@ def export_round_trip(spark, sf_dir):
     )
 
 
+def breaking_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The export with line ends, quotes and separators inside fields."""
+    broken = {
+        "Title": F.concat("Title", F.lit('\n"'), "Document Type", F.lit('", said')),
+        "Affiliations": F.replace("Affiliations", F.lit("; "), F.lit(";\r\n\n")),
+    }
+    return export_table(spark, sf_dir).withColumns(broken)
+
+
+@query
+def export_in_splits(spark, sf_dir):
+    """SRC2: fields with line ends inside, each file read by as many tasks as it has splits."""
+    path = src.write_records(
+        breaking_export(spark, sf_dir), src.shared_folder(spark, "export"), "csv"
+    )
+    return src.read_export(spark, path, multi_line="split")
+
+
+@query
+def export_headers(spark, sf_dir):
+    """SRC2 / SCH1: one call over files whose headers differ in columns and order, and have a blank name."""
+    folder = src.shared_folder(spark, "exports")
+    rows = breaking_export(spark, sf_dir)
+    odd = F.col("src_ord") % 2 == 1
+    src.write_csv(rows.filter(~odd).select("EID", "Title", "DOI", "Year"), f"{folder}/part=1")
+    other = rows.filter(odd).select("Year", F.col("Authors").alias(" "), "EID", "Title", "Affiliations")
+    src.write_csv(other, f"{folder}/part=2")
+    found = src.read_export(spark, [f"{folder}/part=1", f"{folder}/part=2"], multi_line="split")
+    return found.withColumnRenamed("_c1", "unnamed")
+
+
+@query
+def converted_in_place(spark, sf_dir):
+    """SNK1 / SNK2: a table turned into CSV and back under its own name, each time read while it is replaced."""
+    base = src.shared_folder(spark, "converted")
+    src.write_records(export_table(spark, sf_dir), base)
+    for fmt in ("csv", "parquet"):
+        src.write_records(src.load_records(spark, base, ordered=True), base, fmt, overwrite=True)
+    return src.load_records(spark, base).drop("src_ord")
+
+
+@query
+def sliced_outliers(spark, sf_dir):
+    """SRC4: a store in which a tenth of the years lie far outside the documented range."""
+    path = src.shared_folder(spark, "sliced")
+    src.write_sliced(spread_years(spark, sf_dir), path, "year")
+    return src.read_sliced(spark, path, 2010, 150_000, year="year")
+
+
+def spread_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = publications(spark, sf_dir, (*CLEAN_COLUMNS, "doc_type"))
+    year = fn.publication_year(F.col("pub_year"), F.col("cover_date"))
+    year = F.when(F.col("src_ord") % 10 == 0, year * 50 + F.col("src_ord").cast("int")).otherwise(year)
+    return raw.select("src_ord", "eid", "doc_type", year.alias("year"))
+
+
+@query
+def stored_slice_counts(spark, sf_dir):
+    """SRC6 / SRC7: records per year of a store, from its folders and footers."""
+    path = src.shared_folder(spark, "sliced")
+    src.write_sliced(spread_years(spark, sf_dir), path, "year")
+    return src.stored_slice_counts(spark, path, "year")
+
+
 @query
 def slice_counts(spark, sf_dir):
     """SRC6: records per year slice."""
@@ -209,6 +273,30 @@ def search_publications(spark, sf_dir):
     return found_publications(spark, sf_dir).select("src_ord", "eid", "pub_year", "doc_type")
 
 
+@query
+def search_words(spark, sf_dir):
+    """SRC8: whole words, phrases, beginnings of words and exclusions over the whole document texts."""
+    docs = table(spark, sf_dir, "documents")
+    words = op.Search.any_of("of the", "und der", "an*") & ~op.Search.all_of("ing", "thth*")
+    found = op.search_records(docs, ["text"], words=words, limit_to={"lang": ["en", "de"]})
+    return found.select("doc_id", "lang", "source")
+
+
+@query
+def search_phrases(spark, sf_dir):
+    """SRC8: phrases over several fields, some limited to one of them; `gear` is not found inside a word."""
+    phrase = op.Search.phrase
+    words = (
+        op.Search.any_of("red widget", "gear", phrase("brand 7", "index_keywords"))
+        & (phrase("study of auto*", "title") | phrase("study of building", "title"))
+    )
+    raw = publications(
+        spark, sf_dir, ("src_ord", "title", "author_keywords", "index_keywords")
+    )
+    fields = ["title", "author_keywords", "index_keywords"]
+    return op.search_records(raw, fields, words=words).select("src_ord", "title")
+
+
 @query
 def dataset_scope(spark, sf_dir):
     """SNK4 / FLT3: scoped records with the derived key columns."""
@@ -535,28 +623,30 @@ def keyword_vocab(spark, sf_dir):
 
 @query
 def keyword_cooccurrence_frequent(spark, sf_dir):
-    """JON3: pairs within that vocabulary, one lazy plan that holds at any vocabulary size."""
+    """JON3: pairs within that vocabulary."""
     keyed = raw_keywords(spark, sf_dir)
     return op.keyword_cooccurrence(keyed, min_docs=fifteenth(keyed))
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Co-occurrence over stored keyword sets and frequencies."""
+def frequent_keywords(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Keyword sets of the scoped records, and their document frequencies, both stored."""
     sets = src.stored(scoped_keywords(spark, sf_dir).select("src_ord", "keywords"), "keywords")
-    frequency = src.stored(op.keyword_frequency(sets), "frequency")
-    return op.keyword_cooccurrence(sets, frequency=frequency)
+    return sets, src.stored(op.keyword_frequency(sets), "frequency")
 
 
 @query
 def keyword_cooccurrence(spark, sf_dir):
     """AGG8 / JON4 on the scoped records, the default threshold."""
-    return edges(spark, sf_dir)
+    sets, frequency = frequent_keywords(spark, sf_dir)
+    return op.keyword_cooccurrence(sets, frequency=frequency)
 
 
 @query
 def keyword_edges_top(spark, sf_dir):
-    """LIM3."""
-    return op.top_edges(edges(spark, sf_dir))
+    """LIM3 by threshold: keywords that cannot carry a heavy edge are not paired."""
+    sets, frequency = frequent_keywords(spark, sf_dir)
+    codes = op.keyword_codes(frequency)
+    return op.heaviest_edges(op.coded_sets(sets, codes), codes)
 
 
 # --- geography -----------------------------------------------------------------------------
@@ -599,3 +689,35 @@ def run_counts(spark, sf_dir):
 def report_kpis(spark, sf_dir):
     """AGG15."""
     return op.report_kpis(cleaned(spark, sf_dir, "authors", "journal"))
+
+
+# --- phases --------------------------------------------------------------------------------
+
+
+@query
+def clean_run_record(spark, sf_dir):
+    """SNK5 / AGG13 / DED3: the record of a clean run over the whole table, measured while it was written."""
+    base = src.shared_folder(spark, "runs")
+    names = {"authors": "author_names", "author_keywords": "authkeywords", "journal": "publicationName"}
+    raw = publications(spark, sf_dir).withColumnsRenamed({**names, "creator": "dc:creator"})
+    source = src.write_records(raw, f"{base}/raw")
+    plans.run_clean(spark, base, "r", source=source)
+    record = spark.read.json(plans.RunFiles(base, "r").metrics("clean"))
+    per_field = F.array(
+        *(
+            F.struct(F.lit(f).alias("field"), F.col(f"coverage.{f}.n_nonnull").alias("n_nonnull"))
+            for f in op.COVERAGE_FIELDS
+        )
+    )
+    counts = ("rows_before", "rows_after", "duplicates_removed")
+    return record.select("run_id", "output_format", *counts, F.inline(per_field))
+
+
+@query
+def full_run_record(spark, sf_dir):
+    """SNK5 / AGG14: the record of a full analysis of the export."""
+    base = src.shared_folder(spark, "runs")
+    plans.run_full_analysis(export_table(spark, sf_dir), base, "r", MIN_YEAR, MAX_YEAR)
+    record = spark.read.json(plans.RunFiles(base, "r").metrics("full_analysis"))
+    counts = ("rows_input", "rows_raw", "rows_deduplicated", "rows_scoped")
+    return record.select("run_id", "min_year", "max_year", *counts)

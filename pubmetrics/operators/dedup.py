@@ -33,6 +33,21 @@ def keep_first(
     return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
+def keep_first_counted(
+    df: DataFrame, key: str, *, order: str = ORDER_COLUMN, out: str = "_rows"
+) -> DataFrame:
+    """DED1 / DED3: the first row per key, and in `out` how many rows had that key.
+
+    Rows are combined inside the map tasks, a row and a count per key, so a hot key (or the null
+    one) stays small; what was removed is then known without reading the input again.
+    """
+    rest = [c for c in df.columns if c != key]
+    first = F.min_by(F.struct(*(F.col(f"`{c}`") for c in rest)), order).alias("_first")
+    rows = df.groupBy(key).agg(first, F.count(F.lit(1)).alias(out))
+    columns = [F.col(key) if c == key else F.col(f"_first.`{c}`") for c in df.columns]
+    return rows.select(*columns, out)
+
+
 def with_record_key(df: DataFrame, year: str = "year") -> DataFrame:
     """PRJ12 as column `_dedup_key` of a canonical frame."""
     key = record_key(

@@ -46,6 +46,24 @@ def resolve_field(names: Sequence[str], candidates: Sequence[str]) -> int | None
     return next((list(names).index(c) for c in candidates if c in names), None)
 
 
+def plain_names(names: Sequence[str]) -> list[str]:
+    """Trimmed column names, none equal to another but for case.
+
+    Of such a group the names that a field is looked up by stay, else the first; others get a number.
+    """
+    trimmed = [n.strip() for n in names]
+    known = {c for fields in (SEARCH_FIELDS, EXPORT_FIELDS) for cs in fields.values() for c in cs}
+    taken: set[str] = set()
+    out = list(trimmed)
+    for i in sorted(range(len(trimmed)), key=lambda i: (trimmed[i] not in known, i)):
+        k = 1
+        while out[i].lower() in taken:
+            k += 1
+            out[i] = f"{trimmed[i]}_{k}"
+        taken.add(out[i].lower())
+    return out
+
+
 def canonicalize(
     df: DataFrame,
     fields: Mapping[str, Sequence[str]] = SEARCH_FIELDS,

@@ -10,9 +10,11 @@ from pubmetrics.operators.trends import (
     growth_summary,
     yoy_growth,
 )
+from pubmetrics.plans import records
 from pubmetrics.plans.ingest import RunFiles
+from pubmetrics.plans.records import append_record
 from pubmetrics.sources.readers import load_records
-from pubmetrics.sources.writers import append_run_metrics, write_csv
+from pubmetrics.sources.writers import write_csv, write_records
 
 
 def annual_series(
@@ -38,17 +40,37 @@ def run_analyze(
 ) -> dict[str, DataFrame]:
     """Growth tables of a cleaned run; the records are read once, for the annual series."""
     files = RunFiles(base, run_id)
-    cleaned = load_records(spark, source or files.clean())
+    source = source or files.clean()
+    cleaned = load_records(spark, source)
     cleaned = cleaned.withColumn("pub_year", F.col("pub_year").try_cast("int"))
-    stored = files.work("analyze", "annual.parquet")
-    annual_series(cleaned, min_year, max_year).write.mode(
-        "overwrite" if overwrite else "errorifexists"
-    ).parquet(stored)
+    # The series is one row per year.
+    stored = write_records(
+        annual_series(cleaned, min_year, max_year),
+        files.work("analyze", "annual"),
+        overwrite=overwrite,
+    )
     annual = spark.read.parquet(stored)
-    tables = {"pubs_by_year_scoped": annual.orderBy("pub_year"), **analyze_tables(annual)}
+    growth, at = analyze_tables(annual), records.now()
+    growth["cagr"] = growth["cagr"].select(
+        "*", F.lit(at).alias("timestamp_utc"), F.lit(run_id).alias("run_id")
+    )
+    tables = {"pubs_by_year_scoped": annual.orderBy("pub_year"), **growth}
     for name, table in tables.items():
         write_csv(table, files.table("analysis", name), overwrite=overwrite, single_file=True)
-    append_run_metrics(
-        tables["cagr"].select(F.lit(run_id).alias("run_id"), "*"), files.metrics("analyze")
+    summary = growth["cagr"].first()
+    append_record(
+        spark,
+        files.metrics("analyze"),
+        records.ANALYZE,
+        {
+            "run_id": run_id,
+            "timestamp_utc": at,
+            "input_path": source,
+            "period": (summary["start_year"], summary["end_year"]),
+            "cagr": summary["cagr"],
+            "output_tables": {name: files.table("analysis", name) for name in tables},
+            "output_format": "csv",
+            "yoy_pct_units": "percent",
+        },
     )
     return tables

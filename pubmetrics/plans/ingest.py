@@ -11,6 +11,7 @@ from pubmetrics.operators.dedup import keep_first
 from pubmetrics.operators.schema import (
     ORDER_COLUMN,
     SEARCH_FIELDS,
+    plain_names,
     resolve_field,
 )
 from pubmetrics.sources.slices import in_slices
@@ -67,8 +68,10 @@ def run_ingest(
 
     With `slicing` only the given years are taken, the table is laid out by slice year and
     the first record per id is kept, earlier slices first. An existing run is never replaced.
+    Headers are trimmed; of names that differ only in case, those no field is looked up by get a number.
     """
     spark = records.sparkSession
+    records = records.toDF(*plain_names(records.columns))
     files = RunFiles(base, run_id)
     for known in ("parquet", "csv"):
         if path_exists(spark, f"{files.raw()}.{known}"):

@@ -1,5 +1,6 @@
 """Readers, year slices and sinks."""
 
+from pubmetrics.sources.exports import read_split_export
 from pubmetrics.sources.ordering import with_source_order
 from pubmetrics.sources.readers import (
     NULL_TOKENS,
@@ -17,11 +18,13 @@ from pubmetrics.sources.slices import (
     slice_bounds,
     slice_counts,
     sliced_scan,
+    stored_slice_counts,
     write_sliced,
 )
 from pubmetrics.sources.writers import (
     append_run_metrics,
     path_exists,
+    staged_write,
     write_csv,
     write_records,
 )
@@ -36,12 +39,15 @@ __all__ = [
     "read_export",
     "read_json_records",
     "read_sliced",
+    "read_split_export",
     "result_size",
     "shared_folder",
     "slice_bounds",
     "slice_counts",
     "sliced_scan",
+    "staged_write",
     "stored",
+    "stored_slice_counts",
     "union_records",
     "with_source_order",
     "write_csv",

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from pubmetrics.operators.schema import ORDER_COLUMN
+from pubmetrics.sources.exports import header_names, read_split_export
 from pubmetrics.sources.ordering import with_source_order
 
 # Cell texts that a bibliographic CSV export uses for "no value".
@@ -77,31 +78,33 @@ def read_export(
     path: str | Sequence[str],
     *,
     ordered: bool = False,
-    multi_line: bool = True,
+    multi_line: bool | str = True,
     null_tokens: Sequence[str] = NULL_TOKENS,
     sep: str = ",",
 ) -> DataFrame:
     """SRC2: a CSV export, every column a string, header names trimmed.
 
-    Quoted newlines need `multi_line`, which reads each file in one task: give many files, or
-    turn it off where no field holds a newline so that large files split. Nothing is inferred,
-    so the data is read once; land it as parquet before running more than one query on it.
+    Quoted newlines need `multi_line`, which reads each file in one task: give many files,
+    turn it off where no field holds a newline so that large files split, or give "split", which
+    reads large files with quoted newlines in many tasks (`read_split_export`). Nothing is inferred;
+    land the table as parquet before running more than one query on it.
 
     All files of a call need the same header, but for case: a task that meets another name at a
-    column's place fails. Read files of other headers in calls of their own and join them with
-    `union_records`. Headers with blank or repeated names are taken by place, unchecked.
+    column's place fails. `multi_line="split"` takes files of differing headers, and so does a call
+    whose first header has blank or repeated names, which go to it if there are several files.
     """
+    if multi_line == "split":
+        return read_split_export(spark, path, ordered=ordered, null_tokens=null_tokens, sep=sep)
     options = dict(multiLine=multi_line, quote='"', escape='"', sep=sep, encoding="UTF-8")
     # Spark renames headers that differ only in case; the first row has them as written.
     header = spark.read.csv(path, header=False, **options).first()
     if header is None:
         raise ValueError(f"no header row in {path}")
-    names = [
-        f"_c{i}" if cell is None else cell.lstrip("\ufeff").strip()
-        for i, cell in enumerate(header)
-    ]
+    names = header_names(header)
     written = list(header)
     checked = None not in written and len({c.lower() for c in written}) == len(written)
+    if not checked and len(spark.read.text(path).inputFiles()) > 1:
+        return read_split_export(spark, path, ordered=ordered, null_tokens=null_tokens, sep=sep)
     fields = [f"_c{i}" for i in range(len(names))]
     schema = StructType([StructField(f, StringType()) for f in (written if checked else fields)])
     df = spark.read.schema(schema).csv(path, header=True, enforceSchema=not checked, **options)

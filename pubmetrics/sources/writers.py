@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import uuid
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from pubmetrics.operators.schema import ORDER_COLUMN
 
@@ -31,6 +34,71 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Rename a path on its own file system; the folder above the new one is made."""
+    here, there = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (path, to))
+    files = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(there.getParent())
+    if files.exists(there) or not files.rename(here, there):
+        raise OSError(f"cannot move {path} to {to}")
+
+
+def beside(path: str, purpose: str) -> str:
+    """A new hidden name in the same folder, which readers of that folder leave out."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    return f"{folder}/_{purpose}-{name}-{uuid.uuid4().hex}" if folder else f"_{purpose}-{name}-{uuid.uuid4().hex}"
+
+
+def swap_in(spark: SparkSession, staged: str, path: str) -> None:
+    """Put a finished table in the place of an earlier one, which is deleted last.
+
+    The earlier table is set aside by a rename and comes back if the new one cannot take its place.
+    """
+    if not path_exists(spark, path):
+        return move(spark, staged, path)
+    old = beside(path, "old")
+    move(spark, path, old)
+    try:
+        move(spark, staged, path)
+    except Exception:
+        move(spark, old, path)
+        raise
+    remove(spark, old)
+
+
+def staged_write(
+    spark: SparkSession,
+    path: str,
+    write: Callable[[str], None],
+    *,
+    overwrite: bool = False,
+    also: Sequence[str] = (),
+) -> None:
+    """SNK1 / SNK2: `write` a table to a hidden path beside `path`, and move it in when it is whole.
+
+    What is written may read from `path`. Until then, and if the write fails, the table at `path` and
+    those at `also`, which the new one replaces too, stay as they are. Without `overwrite`
+    none of them may exist, `FileExistsError` else.
+    """
+    if not overwrite:
+        for known in (path, *also):
+            if path_exists(spark, known):
+                raise FileExistsError(f"output already exists: {known}")
+    staged = beside(path, "staged")
+    try:
+        write(staged)
+    except BaseException:
+        remove(spark, staged)
+        raise
+    if not overwrite and path_exists(spark, path):
+        remove(spark, staged)
+        raise FileExistsError(f"output was written meanwhile: {path}")
+    swap_in(spark, staged, path)
+    for known in also:
+        if path_exists(spark, known):
+            remove(spark, known)
+
+
 def write_records(
     df: DataFrame,
     base: str,
@@ -38,11 +106,17 @@ def write_records(
     *,
     overwrite: bool = False,
     partition_by: str | None = None,
+    observe: tuple[Observation, Sequence[Column]] | None = None,
+    drop: Sequence[str] = (),
 ) -> str:
     """SNK1 / SNK2: write `<base>.<fmt>` and return its path.
 
     The format is `fmt`, else the suffix of `base`, else parquet. Output existing in either
-    format raises `FileExistsError` unless `overwrite`.
+    format raises `FileExistsError` unless `overwrite`. The table is staged: the frame may read what
+    it replaces, in either format, and a failed write leaves that as it was.
+
+    `observe` takes an observation and its measures over the rows as they are written, in the tasks
+    that write them, so no row is read for it and none counts twice; the columns `drop` are measured, not written.
     """
     for known in TABLE_FORMATS:
         if base.endswith(f".{known}"):
@@ -50,40 +124,43 @@ def write_records(
     fmt = fmt or "parquet"
     if fmt not in TABLE_FORMATS:
         raise ValueError(f"unknown format {fmt!r}: expected one of {', '.join(TABLE_FORMATS)}")
-    if not overwrite:
-        for known in TABLE_FORMATS:
-            if path_exists(df.sparkSession, f"{base}.{known}"):
-                raise FileExistsError(f"output already exists: {base}.{known}")
     path = f"{base}.{fmt}"
-    if overwrite:
-        # A reader must not find the other format's earlier rows; the frame may still read from `path`.
-        for known in TABLE_FORMATS:
-            if known != fmt and path_exists(df.sparkSession, f"{base}.{known}"):
-                remove(df.sparkSession, f"{base}.{known}")
-    if fmt == "csv":
-        if ORDER_COLUMN in df.columns:
-            # Text files keep the order by position: sorted parts, read back in path order.
-            df = df.orderBy(ORDER_COLUMN).drop(ORDER_COLUMN)
-        write_csv(df, path, overwrite=overwrite)
-    else:
-        if partition_by is not None:
-            df = df.hint("rebalance", F.col(partition_by))
-        writer = df.write.mode("overwrite" if overwrite else "errorifexists")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    if fmt == "csv" and ORDER_COLUMN in df.columns:
+        # Text files keep the order by position: sorted parts, read back in path order.
+        df = df.orderBy(ORDER_COLUMN).drop(ORDER_COLUMN)
+    if fmt == "parquet" and partition_by is not None:
+        df = df.hint("rebalance", F.col(partition_by))
+    if observe is not None:
+        df = df.observe(observe[0], *observe[1])
+    df = df.drop(*drop)
+
+    def write(staged: str) -> None:
+        if fmt == "csv":
+            _csv(df, staged)
+        else:
+            (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(staged)
+
+    others = [f"{base}.{known}" for known in TABLE_FORMATS if known != fmt]
+    staged_write(df.sparkSession, path, write, overwrite=overwrite, also=others)
     return path
 
 
 def write_csv(
     df: DataFrame, path: str, *, overwrite: bool = False, single_file: bool = False
 ) -> None:
-    """SNK3: CSV with header, readable by `read_export`.
+    """SNK3: CSV with header, readable by `read_export`, staged as `write_records` does.
 
     `single_file` is for tables of bounded size: annual series, top-k lists, KPI rows.
     """
     out = df.coalesce(1) if single_file else df
-    mode = "overwrite" if overwrite else "errorifexists"
+    if not overwrite and path_exists(df.sparkSession, path):
+        return _csv(out, path)  # which Spark refuses
+    staged_write(df.sparkSession, path, lambda staged: _csv(out, staged), overwrite=overwrite)
+
+
+def _csv(df: DataFrame, path: str) -> None:
     # Null and '' are both written as nothing, and surrounding blanks are data.
-    out.write.mode(mode).csv(
+    df.write.csv(
         path,
         header=True,
         quote='"',

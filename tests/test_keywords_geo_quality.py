@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import plan_of, rows
 from pubmetrics import operators as op
+from pubmetrics.operators import keywords
 
 
 def brute_edges(sets, min_docs):
@@ -67,13 +68,54 @@ def test_cooccurrence_same_without_broadcast(spark, sets):
         for k in keys:
             spark.conf.set(k, "-1")
         got = op.keyword_cooccurrence(keyword_frame(spark, sets))
-        assert "SortMergeJoin [keyword" in plan_of(got)
+        assert plan_of(got).count("SortMergeJoin [") == 2  # the names of both ends
         assert set(rows(got)) == brute_edges(sets, 5)
     finally:
         for k in keys:
             spark.conf.unset(k)
 
 
+def test_codes_follow_frequency(spark):
+    rng = random.Random(6)
+    data = [(f"k{i}", rng.randrange(1, 40)) for i in range(500)]
+    frequency = spark.createDataFrame(data, "keyword string, count long").repartition(7)
+    wanted = sorted(((-n, k) for k, n in data if n >= 5))
+    got = op.keyword_codes(frequency).select("code", "count", "keyword").orderBy("code")
+    assert rows(got) == [(i, -n, k) for i, (n, k) in enumerate(wanted)]
+    assert op.keyword_codes(frequency, 99).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 10, 60, 5000])
+def test_heaviest_edges_are_those_of_all(spark, sets, n):
+    df = keyword_frame(spark, sets)
+    codes = op.keyword_codes(op.keyword_frequency(df))
+    wanted = sorted(brute_edges(sets, 5), key=lambda e: (-e[2], e[0], e[1]))[:n]
+    assert rows(op.heaviest_edges(op.coded_sets(df, codes), codes, n, block=7)) == wanted
+
+
+def test_heaviest_edges_pair_few_keywords(spark, monkeypatch):
+    """With many rare keywords only a small part of all pairs is made."""
+    rng = random.Random(8)
+    sets = [{f"k{int(rng.paretovariate(0.6)):05d}" for _ in range(14)} for _ in range(500)]
+    df = keyword_frame(spark, sets)
+    made = []
+    plain = keywords._pairs
+
+    def seen(*args):
+        made.append(plain(*args).count())
+        return plain(*args)
+
+    monkeypatch.setattr(keywords, "_pairs", seen)
+    codes = op.keyword_codes(op.keyword_frequency(df), 1)
+    stored = op.coded_sets(df, codes)
+    top = rows(op.heaviest_edges(stored, codes, 10))
+    few = sum(made)
+    assert top == sorted(brute_edges(sets, 1), key=lambda e: (-e[2], e[0], e[1]))[:10]
+    made.clear()
+    assert op.keyword_cooccurrence(df, min_docs=1).count() == len(brute_edges(sets, 1))
+    assert 0 < few < sum(made) / 3
+
+
 def test_edge_weight_is_bounded_by_both_frequencies(spark, sets):
     df = keyword_frame(spark, sets)
     freq = dict(rows(op.keyword_frequency(df)))

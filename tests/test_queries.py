@@ -11,7 +11,7 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
-WRITES = {"sliced_store", "export_round_trip"}
+WRITES = {"sliced_store", "export_round_trip", "converted_in_place", "clean_run_record", "full_run_record"}
 
 
 @pytest.fixture(scope="module")

@@ -163,7 +163,7 @@ def test_sliced_store_prunes_partitions(spark, tmp_path):
     assert got.count() == 200
     files = got.inputFiles()
     scan = plan_of(got.select("id"))
-    assert "PartitionFilters: [isnotnull(pub_year" in scan and len(files) >= 2
+    assert "PartitionFilters: [isnotnull(_slice" in scan and len(files) >= 2
     assert rows(src.covered_years(got)) == [(2003,), (2004,)]
     assert rows(src.slice_counts(got)) == [(2003, 100), (2004, 100)]
     assert rows(src.result_size(got)) == [(200,)]
