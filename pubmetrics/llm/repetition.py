@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -27,6 +28,26 @@ def covered(repeated: np.ndarray, starts: np.ndarray, k: int, n: int) -> np.ndar
     return np.cumsum(depth[:-1]) > 0
 
 
+def equal_lines(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each line whether an earlier one of its text equals it, and whether any other does."""
+    spans = tx.Blocks(body, starts, ends)
+    keys = tx.text_keys(spans.hashes(), bounds)
+    order = np.argsort(keys, kind="stable")
+    again = np.flatnonzero(keys[order[1:]] == keys[order[:-1]])
+    one, two = order[again], order[again + 1]
+    later, twice = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+    later[two], twice[one], twice[two] = True, True, True
+    odd = ~spans.same(one, two)
+    if odd.any():  # lines that met by hash only: those of their texts are compared as they are
+        for i in np.unique(np.searchsorted(bounds, one[odd], side="right") - 1):
+            lines = [body[a:b].tobytes() for a, b in zip(starts[bounds[i] : bounds[i + 1]], ends[bounds[i] : bounds[i + 1]])]
+            count, seen = Counter(lines), set()
+            for at, line in enumerate(lines, bounds[i]):
+                later[at], twice[at] = line in seen, count[line] > 1
+                seen.add(line)
+    return later, twice
+
+
 def measure(column: pa.Array, lengths: Sequence[int]) -> dict[str, np.ndarray]:
     """Counts and coverages of each text, by rolling hashes over all texts at once."""
     body, offsets = tx.utf8(column)
@@ -46,13 +67,10 @@ def measure(column: pa.Array, lengths: Sequence[int]) -> dict[str, np.ndarray]:
     worded = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
     line_starts, line_ends, owner = line_starts[worded], line_ends[worded], owner[worded]
     bounds = np.searchsorted(owner, np.arange(len(column) + 1))
-    keys = tx.text_keys(tx.span_hashes(body, line_starts, line_ends), bounds)
-    order = np.argsort(keys, kind="stable")
-    later = np.zeros(len(keys), bool)
-    later[order[1:]] = keys[order[1:]] == keys[order[:-1]]
+    later, twice = equal_lines(body, line_starts, line_ends, bounds)
     out["n_dup_lines"] = tx.segment_sums(later.astype(np.int64), bounds)
     long = points[line_ends] - points[line_starts]
-    out["line_cover"] = tx.segment_sums(long * tx.repeated(keys), bounds) / np.maximum(tx.segment_sums(long, bounds), 1)
+    out["line_cover"] = tx.segment_sums(long * twice, bounds) / np.maximum(tx.segment_sums(long, bounds), 1)
 
     for k in sorted({3, *lengths}):
         grams, gram_first = tx.windows(hashes, first, k)

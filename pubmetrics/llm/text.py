@@ -7,7 +7,6 @@ Texts are UTF-8 bytes plus offsets; a null text is an empty one. Words are runs
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,6 @@ SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 STEP = 0x9E3779B97F4A7C15 | 1
-STEP_INVERSE = pow(STEP, -1, 2**64)
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
@@ -69,25 +67,63 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-BYTE_VALUES = mixed(np.arange(1, 257, dtype=U64) * U64(STEP))
-
-
-@lru_cache(maxsize=4)
-def _powers(base: int, bits: int) -> np.ndarray:
-    out = np.ones(1 << bits, U64)
-    out[1:] = U64(base)
-    return np.cumprod(out, dtype=U64)
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    return _powers(base, max(20, int(n).bit_length()))[:n]
+def _place(n: np.ndarray) -> np.ndarray:
+    return mixed((n + 1).astype(U64) * U64(STEP))
+
+
+PLACES = _place(np.arange(64))
+#: The first i bytes of a block of eight.
+FIRST_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
+
+
+class Blocks:
+    """Spans of an array of small integers as blocks of eight bytes, the last one filled with zeros.
+
+    ``stops[i] - counts[i]`` is the first block of span i; ``within`` the place of each block in its span.
+    """
+
+    def __init__(self, body: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        size = body.itemsize
+        step = 8 // size
+        padded = np.concatenate([body, np.zeros(step, body.dtype)])
+        every = np.ndarray(len(body) + 1, "<u8", padded, strides=(size,))  # one from each place on
+        self.lengths = ends - starts
+        self.counts = -(-self.lengths // step)
+        self.stops = np.cumsum(self.counts)
+        n = int(self.stops[-1]) if len(self.stops) else 0
+        self.within = np.arange(n) - np.repeat(self.stops - self.counts, self.counts)
+        at = self.within * step
+        left = np.repeat(self.lengths, self.counts) - at
+        at += np.repeat(starts, self.counts)
+        self.values = every[at] & FIRST_BYTES[np.minimum(left, step) * size]
+
+    def hashes(self) -> np.ndarray:
+        """64-bit hashes of the spans, equal for equal contents.
+
+        Every block is scrambled with its place, so no change of places cancels out, as it can in
+        powers of one base. Different spans meet by chance only; where that would matter they are compared.
+        """
+        far = len(self.within) and int(self.within.max()) >= len(PLACES)
+        total = np.zeros(len(self.values) + 1, U64)
+        np.cumsum(mixed(self.values * U64(STEP) + (_place(self.within) if far else PLACES[self.within])), out=total[1:])
+        return mixed(total[self.stops] - total[self.stops - self.counts] + self.lengths.astype(U64))
+
+    def same(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Whether spans ``one[i]`` and ``two[i]`` have the same contents."""
+        same = self.lengths[one] == self.lengths[two]
+        some = np.flatnonzero(same)
+        one, two = one[some], two[some]
+        counts = self.counts[one]
+        first = self.stops - self.counts
+        odd = self.values[ranges(first[one], counts)] != self.values[ranges(first[two], counts)]
+        if odd.any():
+            same[some] = segment_sums(odd, np.concatenate([[0], np.cumsum(counts)])) == 0
+        return same
 
 
 def span_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, equal for equal bytes wherever they stand: differences of a rolling sum."""
-    rolled = np.zeros(len(body) + 1, U64)
-    np.cumsum(BYTE_VALUES[body] * powers(STEP, len(body)), out=rolled[1:])
-    return mixed((rolled[ends] - rolled[starts]) * powers(STEP_INVERSE, len(body) + 1)[starts] + (ends - starts).astype(U64))
+    """64-bit hashes of spans of bytes, equal for equal bytes wherever they stand (``Blocks.hashes``)."""
+    return Blocks(body, starts, ends).hashes()
 
 
 def words(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,7 +184,7 @@ def code_points(body: np.ndarray) -> np.ndarray:
 def gram_bins(body: np.ndarray, offsets: np.ndarray, n: int, bits: int) -> np.ndarray:
     """Hash bin of the byte n-gram that starts at each byte; 2 ** bits where it would leave its text."""
     h = np.zeros(len(body), np.uint32)
-    for j in range(n):
+    for j in range(min(n, len(body))):  # shorter bodies have no n-gram at all
         h[: len(body) - j] = h[: len(body) - j] * np.uint32(0x01000193) + body[j:] + np.uint32(1)
     h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
     bins = (h >> np.uint32(32 - bits)).astype(np.int32)

@@ -2,13 +2,13 @@
 
 A piece never crosses a place where the tokenizer itself always splits, so the ids are those of the
 whole text. Latin texts are split in numpy, all at once, by the classes of their code points; other
-texts between white space. Pieces are known by 64-bit hashes.
+texts between white space. Pieces of a batch are brought together by 64-bit hashes and then compared; those
+already encoded are known by their text.
 """
 
 from __future__ import annotations
 
 import re
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,8 @@ LOWERED = np.array([ord(chr(i).lower()[0]) for i in range(LATIN)], np.uint32)
 #: For other texts: runs between white space, with one leading blank where it is kept.
 WORDS = re.compile(f"[^{SPACE}]+")
 PIECES = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
-CHAR_VALUES = tx.mixed(np.arange(1, LATIN + 1, dtype=np.uint64) * np.uint64(tx.STEP))
-MAX_PIECES = 1_000_000
+#: Bytes of pieces and ids that an encoder keeps between batches.
+KEPT_BYTES = 1 << 27
 
 
 def latin_pieces(chars: np.ndarray, offsets: np.ndarray, drops_space: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -78,8 +78,8 @@ def latin_pieces(chars: np.ndarray, offsets: np.ndarray, drops_space: bool) -> t
 class Encoder:
     """Ids of texts by a tokenizer file; ``drops_space`` for one whose ids leave white space and case out.
 
-    Strings of special tokens in a text are ordinary text. Known pieces are kept until there are
-    MAX_PIECES of them, then forgotten, which bounds the memory of a task.
+    Strings of special tokens in a text are ordinary text. Known pieces are kept until they and their ids take
+    about KEPT_BYTES, then forgotten; a batch adds its own, so a worker holds that and one batch's.
     """
 
     def __init__(self, path: str, drops_space: bool):
@@ -89,12 +89,13 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.slots: dict[int | str, int] = {}
+        self.slots: dict[str, int] = {}
+        self.kept = 0
         #: Ids of slot i: ids[starts[i] : starts[i + 1]].
         self.starts = np.zeros(1 << 16, np.int64)
         self.ids = np.zeros(1 << 18, np.uint32)
 
-    def add(self, keys: list, pieces: list[str]) -> None:
+    def add(self, pieces: list[str]) -> None:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         counts = np.fromiter(map(len, found), np.int64, len(found))
         n, used = len(self.slots), int(self.starts[len(self.slots)])
@@ -105,7 +106,16 @@ class Encoder:
             self.ids = np.append(self.ids, np.zeros(len(self.ids) + int(counts.sum()), np.uint32))
         self.starts[n + 1 : n + 1 + len(found)] = ends
         self.ids[used : ends[-1]] = np.fromiter((i for f in found for i in f), np.uint32, int(counts.sum()))
-        self.slots.update(zip(keys, range(n, n + len(found))))
+        self.slots.update(zip(pieces, range(n, n + len(found))))
+        # A piece is a string object (up to four bytes a character), an entry of the dictionary and its ids.
+        self.kept += sum(160 + 4 * len(p) for p in pieces) + 4 * int(counts.sum())
+
+    def slots_of(self, pieces: list[str]) -> np.ndarray:
+        """Slots of pieces, the unknown ones encoded first."""
+        new = [p for p in dict.fromkeys(pieces) if p not in self.slots]
+        if new:
+            self.add(new)
+        return np.fromiter(map(self.slots.__getitem__, pieces), np.int64, len(pieces))
 
     def latin_slots(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         joined = "".join(texts)
@@ -113,32 +123,24 @@ class Encoder:
         chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         if self.drops_space:
             chars = LOWERED[chars]
+            joined = chars.tobytes().decode("utf-32-le")
         starts, ends = latin_pieces(chars, offsets, self.drops_space)
-        rolled = np.zeros(len(chars) + 1, np.uint64)
-        np.cumsum(CHAR_VALUES[chars] * tx.powers(tx.STEP, len(chars)), out=rolled[1:])
-        spans = (rolled[ends] - rolled[starts]) * tx.powers(tx.STEP_INVERSE, len(chars) + 1)[starts]
-        hashes, where, which = np.unique(tx.mixed(spans + (ends - starts).astype(np.uint64)), return_index=True, return_inverse=True)
-        keys = hashes.tolist()
-        known = np.fromiter(map(self.slots.get, keys, repeat(-1)), np.int64, len(keys))
-        new = np.flatnonzero(known < 0)
-        keys = hashes[new].tolist()
-        if len(new):
-            n = len(self.slots)
-            spans = zip(starts[where[new]].tolist(), ends[where[new]].tolist())
-            self.add(keys, [joined[a:b] for a, b in spans])
-            known[new] = np.arange(n, n + len(new))
-        return known[which], np.searchsorted(starts, offsets)
+        spans = tx.Blocks(chars.astype(np.uint16), starts, ends)
+        _, where, which = np.unique(spans.hashes(), return_index=True, return_inverse=True)
+        slots = self.slots_of([joined[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist())])[which]
+        # Pieces that met others by hash only.
+        odd = np.flatnonzero(~spans.same(np.arange(len(starts)), where[which]))
+        if len(odd):
+            slots[odd] = self.slots_of([joined[a:b] for a, b in zip(starts[odd].tolist(), ends[odd].tolist())])
+        return slots, np.searchsorted(starts, offsets)
 
     def other_slots(self, text: str) -> np.ndarray:
         pieces = (WORDS if self.drops_space else PIECES).findall(text)
-        new = [p for p in dict.fromkeys(pieces) if p not in self.slots]
-        if new:
-            self.add(new, new)
-        return np.fromiter(map(self.slots.get, pieces), np.int64, len(pieces))
+        return self.slots_of(pieces)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column in a row, and offsets of its texts; a null text has none."""
-        if len(self.slots) > MAX_PIECES:
+        if self.kept > KEPT_BYTES:
             self.forget()
         texts = [t or "" for t in column.to_pylist()]
         odd = [i for i, t in enumerate(texts) if NOT_LATIN.search(t)]
