@@ -311,6 +311,13 @@ def sharing(pairs: DataFrame, short: DataFrame, sets: DataFrame) -> DataFrame:
     return known.where(most >= F.least("needs_a", "needs_b")).select("a", "b", "apart")
 
 
+def sharing_enough(pairs: DataFrame, short: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs of ``across`` that share enough lists, long and short ones together."""
+    one, two = (sets.select(F.col("key").alias(c), F.col("needs").alias(f"needs_{c}")) for c in "ab")
+    known = pairs.join(short.select("a", "b", F.col("shared").alias("more")), ["a", "b"], "left").join(one, "a").join(two, "b")
+    return known.where(F.col("shared") + F.coalesce("more", F.lit(0)) >= F.least("needs_a", "needs_b")).select("a", "b", "apart")
+
+
 def neighbours(rows: DataFrame, percent: int) -> DataFrame:
     """Possible pairs along long lists: each row with the one before it by size and with the first."""
     order = Window.partitionBy("list").orderBy("n", "key")
@@ -327,14 +334,33 @@ def neighbours(rows: DataFrame, percent: int) -> DataFrame:
     return flat.mapInArrow(run, PAIRS).select("a", "b", "apart").distinct()
 
 
-def across(rows: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Possible pairs of long lists whose ends are in different components, block against block."""
+def fine_cells(blobs: list[bytes]) -> np.ndarray:
+    """Fine histograms as rows of token counts modulo 4, all folded to the cells of the shortest one, 2048 at most."""
+    sizes = np.fromiter(map(len, blobs), np.int64, len(blobs))
+    least = int(min(4 * sizes.min(), 2048))
+    out = np.empty((len(blobs), least), np.uint8)
+    for size in np.unique(sizes):
+        rows = np.flatnonzero(sizes == size)
+        for some in np.array_split(rows, -(-len(rows) * int(size) // (1 << 20))):
+            packed = np.frombuffer(b"".join([blobs[i] for i in some]), np.uint8).reshape(len(some), size)
+            cells = np.concatenate([packed >> shift & 3 for shift in (0, 2, 4, 6)], axis=1)
+            out[some] = cells.reshape(len(some), -1, least).sum(axis=1, dtype=np.uint8) & 3
+    return out
+
+
+def across(rows: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Possible pairs (PAIRS) of long lists whose ends are in different components, block against block.
+
+    A pair is written only if sizes, coarse and fine histograms allow it, so documents of one template that
+    are not alike enough write nothing; ``shared`` counts the lists in which it was found.
+    """
     rows = rows.join(labels, rows["key"] == labels["node"], "left").select("list", "key", "n", "h1", "h2", F.coalesce("label", "key").alias("label"))
     mixed = rows.groupBy("list").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
     rows = rows.join(mixed.select("list", "m"), "list").withColumn("blocks", F.ceil(F.col("m") / BLOCK_ROWS).cast("int"))
+    rows = rows.join(classes.select(F.col("id").alias("key"), "fine"), "key")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("list", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "n", "h1", "h2", "label")
+    rows = rows.select("list", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "n", "h1", "h2", "fine", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -343,18 +369,32 @@ def across(rows: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
         def compare() -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held)
             keys, n, block, label = columns_of(t, ("key", "n", "block", "label"))
+            if len(keys) < 2 or (label == label[0]).all():
+                return
             n = n.astype(np.int64)
             hist = np.stack(columns_of(t, ("h1", "h2")), axis=1).view(U)
+            cells = None
             last = np.searchsorted(n, 100 * n // percent, side="right")
             same = cell[1] == cell[2]
             found, size = [], 0
             for x in range(len(keys)):
                 y = np.arange(x + 1, last[x])
                 y = y[(label[y] != label[x]) & ((block[y] != block[x]) | same)]
-                if len(y):
-                    some, apart = possible(np.broadcast_to(n[x], len(y)), np.broadcast_to(hist[x], (len(y), 2)), n[y], hist[y], percent)
-                    found.append((np.full(len(some), keys[x]), keys[y[some]], apart))
-                    size += len(some)
+                if not len(y):
+                    continue
+                some, _ = possible(np.broadcast_to(n[x], len(y)), np.broadcast_to(hist[x], (len(y), 2)), n[y], hist[y], percent)
+                y = y[some]
+                if not len(y):
+                    continue
+                if cells is None:
+                    cells = fine_cells(t.column("fine").to_pylist())
+                apart = (cells[y] - cells[x]) & np.uint8(3)
+                apart = np.minimum(apart, np.uint8(4) - apart).sum(axis=1, dtype=np.int64)
+                total = n[x] + n[y]
+                ok = apart <= total - 2 * needed(total, percent)
+                y, apart = y[ok], apart[ok]
+                found.append((np.full(len(y), keys[x]), keys[y], apart))
+                size += len(y)
                 if size >= 1 << 16:
                     yield distinct_pairs(*map(np.concatenate, zip(*found)))
                     found, size = [], 0
@@ -376,7 +416,8 @@ def across(rows: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
             yield from compare()
 
     dealt = rows.repartition("list", "i", "j").sortWithinPartitions("list", "i", "j", "n", "key")
-    return dealt.mapInArrow(run, PAIRS).select("a", "b", "apart").distinct()
+    found = dealt.mapInArrow(run, PAIRS)
+    return found.groupBy("a", "b").agg(F.max("apart").alias("apart"), F.sum("shared").cast("int").alias("shared"))
 
 
 def whole_sets(docs: DataFrame, ends: DataFrame, shingle: int) -> DataFrame:
@@ -418,10 +459,8 @@ def ends_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
 
 
-def likely(profiles: DataFrame, owned: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def likely(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The possible pairs that are still possible by their finer histograms."""
-    wanted = owned.join(ends_of(pairs), "key", "left_semi")
-    profiles = stored(profiles.join(wanted, OWN).dropDuplicates(OWN).select("key", "n", "fine"), "jaccard-profiles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -431,7 +470,7 @@ def likely(profiles: DataFrame, owned: DataFrame, pairs: DataFrame, percent: int
             ok = pa.array(apart <= n1 + n2 - 2 * needed(n1 + n2, percent))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok), pa.array(apart).filter(ok)], ["a", "b", "apart"])
 
-    a, b = (profiles.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("fine").alias(f"fine_{x}")) for x in "ab")
+    a, b = (classes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("fine").alias(f"fine_{x}")) for x in "ab")
     return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "fine_a", "fine_b").mapInArrow(run, "a long, b long, apart int")
 
 
@@ -460,29 +499,24 @@ def similar(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, LINKS)
 
 
-def verified(docs: DataFrame, profiles: DataFrame, owned: DataFrame, pairs: DataFrame, shingle: int, percent: int, labels: DataFrame | None = None) -> DataFrame:
-    """``labels`` (node, label) of components, joined further by the similar ones of possible pairs.
+def verified(docs: DataFrame, owned: DataFrame, pairs: DataFrame, shingle: int, percent: int, labels: DataFrame | None = None) -> DataFrame:
+    """``labels`` (node, label) of components, joined further by the similar ones of possible pairs (a, b, apart).
 
-    ``profiles``: OWN and fine histogram of every document; ``owned``: key and OWN of every class. Whole sets are
-    made of classes in likely pairs only.
+    ``owned``: key and OWN of every class. Whole sets are made of classes in these pairs only.
 
     Every class first tries the likeliest pair in which its key is the smaller one, and that in which it
-    is the larger; then all pairs whose ends have not met meanwhile are tried. So copies of one text cost few
-    tests each, and no connection is lost.
+    is the larger; then all pairs whose ends have not met meanwhile are tried, which repeats only
+    those that were not similar. So copies of one text cost few tests each, and no connection is lost.
     """
     spark = docs.sparkSession
     labels = labels if labels is not None else spark.createDataFrame([], "node long, label long")
     for first in (True, False):
         one, two = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
-        now = pairs.join(one, "a", "left").join(two, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
-        if first:
-            for end in "ab":
-                now = now.withColumn(f"place_{end}", F.row_number().over(Window.partitionBy(end).orderBy("apart", "a", "b")))
-            now = now.where("place_a = 1 OR place_b = 1")
-        now = stored(now.select("a", "b").distinct(), "jaccard-tests")
-        if first:
-            pairs = pairs.join(now, ["a", "b"], "left_anti")
-        now = stored(likely(profiles, owned, now, percent).select("a", "b"), "jaccard-tests")
+        now = pairs.join(one, "a", "left").join(two, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b", "apart")
+        if first:  # combined within tasks, so a class with very many pairs is no task of its own
+            best = [now.groupBy(end).agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b") for end in "ab"]
+            now = best[0].unionByName(best[1]).distinct()
+        now = stored(now.select("a", "b"), "jaccard-tests")
         if now.isEmpty():
             continue
         links = similar(whole_sets(docs, owned.join(ends_of(now), "key", "left_semi"), shingle), now, percent)
@@ -532,12 +566,12 @@ def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: in
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), *carry)
     rows, blobs = scanned(docs, shingle, carry)
     docs = docs.select("key", "text")
-    classes = rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("key").alias("first"), F.min("h1").alias("h1"), F.min("h2").alias("h2"))
+    classes = rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("key").alias("first"), F.min("h1").alias("h1"), F.min("h2").alias("h2"), F.first("fine").alias("fine"))
     # Ids of classes are written once, so that all that follows reads the same ones.
     classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "jaccard-classes")
     named = classes.select("n", "s1", "s2", F.col("id").alias("group"), F.col("first").alias("component"))
     if percent < 100:
-        labels = linked(docs, classes, rows.select(*own_of("key"), "fine"), blobs, shingle, percent)
+        labels = linked(docs, classes, blobs, shingle, percent)
         named = classes.join(labels, classes["id"] == labels["node"], "left").select("n", "s1", "s2", F.coalesce("label", "id").alias("group"), "first")
         named = stored(named, "jaccard-named")
         named = named.join(named.groupBy("group").agg(F.min("first").alias("component")), "group").drop("first")
@@ -549,7 +583,7 @@ def own_of(key: str) -> list:
     return [F.coalesce(F.col(key), F.lit(0).cast("long")).alias("doc"), F.col(key).isNull().alias("nameless"), "n", "s1", "s2"]
 
 
-def linked(docs: DataFrame, classes: DataFrame, profiles: DataFrame, blobs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def linked(docs: DataFrame, classes: DataFrame, blobs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(node, label) of all classes, known by their ids, that link with another."""
     counts = summed_blobs(blobs).get(None, np.zeros(1 << SKETCH_BITS, np.int64))
     levels, usual_list = shingle_levels(counts)
@@ -570,13 +604,9 @@ def linked(docs: DataFrame, classes: DataFrame, profiles: DataFrame, blobs: Data
     found = short.select("a", "b", "apart")
     if some_long:
         found = found.unionByName(neighbours(long, percent)).distinct()
-    first = stored(sharing(found, short, sets), "jaccard-pairs")
-    if first.isEmpty() and not some_long:
-        return docs.sparkSession.createDataFrame([], "node long, label long")
-    labels = verified(docs, profiles, owned, first, shingle, percent)
+    first = stored(likely(classes, sharing(found, short, sets), percent), "jaccard-pairs")
+    labels = verified(docs, owned, first, shingle, percent)
     if some_long:
-        more = across(long, labels, percent).join(first, ["a", "b"], "left_anti")
-        more = stored(sharing(more, short, sets), "jaccard-pairs")
-        if not more.isEmpty():
-            labels = verified(docs, profiles, owned, more, shingle, percent, labels)
+        more = stored(sharing_enough(across(long, labels, classes, percent), short, sets), "jaccard-pairs")
+        labels = verified(docs, owned, more, shingle, percent, labels)
     return labels
