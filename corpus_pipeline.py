@@ -23,28 +23,41 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.where(toxicity.score(docs["text"], model, spark) < 0.7)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name with as many marks after it as it takes to be no column yet."""
+    while name in (c.lower() for c in columns):
+        name += "_"
+    return name
+
+
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents (five words, 0.8) the one with the smallest id and text, once.
 
-    Ids need not be unique: rows are told apart by their texts. Null ids come last; documents without words stay.
+    Ids need not be unique: rows are told apart by their texts, and of rows with one id and text the first by their other
+    columns stays. Null ids come last; documents without words stay.
     """
-    marked = docs.withColumn("_text", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    found = jaccard.groups(marked, carry=["_text"]).where("n > 0 AND key <=> component")
-    first = found.select("key", F.col("_text").alias("_first"), F.col("group").alias("_group")).distinct()
-    same = marked["doc_id"].cast("long").eqNullSafe(first["key"]) & (marked["_text"] == first["_first"])
-    rest = [c for c in docs.columns if c != "text"]
-    # The least row of a group is combined within tasks.
-    one = marked.join(first, same).groupBy("_group").agg(F.min(F.struct("text", *rest)).alias("_one"))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    same, order, group = (unused(f"_{n}", docs.columns) for n in ("same", "order", "group"))
+    marked = docs.withColumn(same, F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    found = jaccard.groups(marked.select("doc_id", "text", same), carry=[same]).where("n > 0 AND key <=> component")
+    first = found.select(F.col("key").alias("_id"), F.col(same).alias("_first"), F.col("group").alias(group)).distinct()
+    here = marked.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.col(same).alias("_same"))
+    here = here.join(first, here["_doc"].eqNullSafe(first["_id"]) & (here["_same"] == first["_first"]))
+    # The least row of a group is combined within tasks; other columns are compared as text, as not all types have an order.
+    by = F.struct(F.col("_row.text"), F.to_json(F.struct(*(F.col(f"_row.`{c}`") for c in rest))) if rest else F.lit("")).alias(order)
+    one = here.groupBy(group).agg(F.min_by("_row", by).alias("_one"))
     wordless = docs.where(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    return one.select("_one.*").select(*docs.columns).unionByName(wordless)
+    return one.select(*(F.col(f"_one.`{c}`") for c in docs.columns)).unionByName(wordless)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in as many copies as the source mix takes; those it takes none of go."""
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "mixture-rows")
-    taken = balance.mix(rows, carry=["_row"]).where("copies > 0").select("_row", "copies")
-    repeated = rows.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return repeated.select(*docs.columns)
+    row, taken, copy = (unused(f"_{n}", docs.columns) for n in ("row", "taken", "copy"))
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "mixture-rows")
+    mixed = balance.mix(rows.select("doc_id", "text", "source", row), carry=[row]).where("copies > 0")
+    repeated = rows.join(mixed.select(row, F.col("copies").alias(taken)), row)
+    repeated = repeated.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), taken)))
+    return repeated.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
