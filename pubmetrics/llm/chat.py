@@ -1,4 +1,4 @@
-"""Chat formatting: turns assembled byte by byte in numpy, into one buffer per batch.
+"""Chat formatting: turns assembled byte by byte in numpy, into one buffer that is the batch's Arrow column.
 
 Template of a turn: "### Role:\\n", the text, "\\n</turn>\\n". A marker stands at the start of its line,
 never after a backslash. Inside a text, each "###" and "</turn>" that follows a run of k backslashes
@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from pubmetrics.llm import text as tx
@@ -85,46 +86,75 @@ def format_chats(turns: DataFrame, key: str = "conv_id", turn: str = "turn", rol
     goes on in further rows (``part``), cut between turns, so no task holds a whole one.
     """
     kinds = pa.schema([("key", pa.int64()), ("part", pa.int32()), ("formatted", pa.string()), ("n_turns", pa.int32()), ("loss", pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())])))])
+    limit = min(part_bytes, 1 << 20)
+
+    def conversations(turns: pa.Table, part: int) -> pa.RecordBatch:
+        """A row for each run of equal keys; the first one is that part of its conversation."""
+        turns = turns.combine_chunks()
+        role = turns.column("role").combine_chunks()
+        out, at, starts, stops = assemble(turns.column("text").combine_chunks(), role.to_pylist())
+        first = np.flatnonzero(changes(turns.column("key")))
+        edges = np.append(first, turns.num_rows)
+        points = np.concatenate([[0], np.cumsum(tx.code_points(out))])
+        learnt = np.flatnonzero(pc.fill_null(pc.equal(role, learns), False).to_numpy(zero_copy_only=False))
+        begins = points[at[edges]][np.searchsorted(first, learnt, side="right") - 1]
+        spans = [pa.array(x.astype(np.int32)) for x in (points[starts[learnt]] - begins, points[stops[learnt]] - points[starts[learnt]])]
+        parts = np.zeros(len(first), np.int32)
+        parts[0] = part
+        columns = [
+            turns.column("key").combine_chunks().take(pa.array(first)),
+            pa.array(parts),
+            pa.StringArray.from_buffers(len(first), pa.py_buffer(at[edges].astype(np.int32)), pa.py_buffer(out)),
+            pa.array(np.diff(edges).astype(np.int32)),
+            pa.ListArray.from_arrays(pa.array(np.searchsorted(learnt, edges).astype(np.int32)), pa.StructArray.from_arrays(spans, ["start", "length"])),
+        ]
+        return pa.RecordBatch.from_arrays(columns, schema=kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here: tuple | None = None  # key, part
-        blobs: list[bytes] = []
-        spans: list[dict] = []
-        n = points = size = 0
+        held: list[pa.RecordBatch] = []
+        size, part, going_on = 0, 0, None  # going_on: key column of one row, of a conversation that was cut
 
-        def row() -> dict:
-            return {"key": here[0], "part": here[1], "formatted": b"".join(blobs).decode(), "n_turns": n, "loss": spans}
+        def number(turns: pa.Table) -> int:
+            return part if going_on is not None and turns.column("key")[0] == going_on else 0
 
         for batch in batches:
-            ready = []
-            for piece in tx.slices(batch, "text"):
-                roles = piece.column("role").to_pylist()
-                out, at, starts, stops = assemble(piece.column("text"), roles)
-                count = np.concatenate([[0], np.cumsum(tx.code_points(out))])
-                keys = piece.column("key").to_pylist()
-                data = out.tobytes()
-                for i, k in enumerate(keys):
-                    if here is not None and (k != here[0] or size >= part_bytes):
-                        ready.append(row())
-                        here = (k, here[1] + 1 if k == here[0] else 0)
-                        blobs, spans, n, points, size = [], [], 0, 0, 0
-                    here = here or (k, 0)
-                    a, b = int(at[i]), int(at[i + 1])
-                    if roles[i] == learns:
-                        start = points + int(count[starts[i]] - count[a])
-                        spans.append({"start": start, "length": int(count[stops[i]] - count[starts[i]])})
-                    blobs.append(data[a:b])
-                    n, points, size = n + 1, points + int(count[b] - count[a]), size + b - a
-            if ready:
-                yield pa.RecordBatch.from_pylist(ready, kinds)
-        if here is not None:
-            yield pa.RecordBatch.from_pylist([row()], kinds)
+            for piece in tx.slices(batch, "text", limit):
+                held.append(piece)
+                size += int(tx.utf8(piece.column("text"))[1][-1])
+                if size < limit:
+                    continue
+                turns = pa.Table.from_batches(held)
+                cut = int(np.flatnonzero(changes(turns.column("key")))[-1])  # where the last conversation begins
+                if cut:
+                    yield conversations(turns.slice(0, cut), number(turns))
+                    held = turns.slice(cut).to_batches()
+                    size = sum(int(tx.utf8(b.column("text"))[1][-1]) for b in held)
+                    part, going_on = 0, None
+                if size >= part_bytes:
+                    turns = pa.Table.from_batches(held)
+                    now = number(turns)
+                    yield conversations(turns, now)
+                    part, going_on = now + 1, turns.column("key")[0]
+                    held, size = [], 0
+        if held:
+            turns = pa.Table.from_batches(held)
+            yield conversations(turns, number(turns))
 
     rows = turns.select(F.col(key).cast("long").alias("key"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     rows = rows.repartition("key").sortWithinPartitions("key", "turn", "role", "text")
     return rows.select("key", "role", "text").mapInArrow(run, FORMATTED)
 
 
+def changes(keys: pa.ChunkedArray) -> np.ndarray:
+    """True at the first row and wherever a key differs from the one before; nulls are equal."""
+    keys = keys.combine_chunks()
+    null = keys.is_null().to_numpy(zero_copy_only=False)
+    values = keys.fill_null(0).to_numpy(zero_copy_only=False)
+    new = np.ones(len(keys), bool)
+    new[1:] = (values[1:] != values[:-1]) | (null[1:] != null[:-1])
+    return new
+
+
 def parse(formatted: str) -> list[tuple[str, str]]:
     """Roles and texts of a formatted conversation."""
     turns, at = [], 0

@@ -1,9 +1,10 @@
 """URL filters: allow and block rules, and for urls no rule decides, trust and distrust spread over host edges.
 
 Hosts whose urls a rule allows are seeds of trust, those whose urls one blocks seeds of distrust, each with the
-share of its urls. Trust follows links (personalised PageRank from the trusted seeds); distrust goes against them,
+share of its urls. Trust follows edges (personalised PageRank from the trusted seeds); distrust goes against them,
 from a blocked host to the hosts that link to it. Both are power series, one join and one sum a term; a host is
-blocked where its distrust exceeds its trust by a threshold.
+blocked where its distrust exceeds its trust by a threshold. Edges are links between hosts, weighted by pages; the pages
+of a host, as an edge to itself; and a light edge both ways between a domain and the one right above it.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
 DAMPING = 0.85
 TOLERANCE = 0.01
 THRESHOLD = 0.25
+#: Labels of the longest domain that stands between others.
+MAX_LABELS = 8
 RANK = "kind string, host string, x double"
 
 
@@ -74,16 +77,20 @@ def links(pages: DataFrame) -> DataFrame:
 
 
 def families(hosts: DataFrame, weight: float) -> DataFrame:
-    """(src, dst, weight) both ways between a host and the domain right above it, where that is a host too."""
-    above = hosts.select("host", F.expr("substr(host, instr(host, '.') + 1)").alias("above")).where("above LIKE '%.%' AND above <> host")
-    both = above.join(hosts.select(F.col("host").alias("above")), "above")
-    ways = F.explode(F.array(F.struct(F.col("host").alias("src"), F.col("above").alias("dst")), F.struct(F.col("above").alias("src"), F.col("host").alias("dst"))))
-    return both.select(ways.alias("e")).select("e.*", F.lit(float(weight)).alias("weight"))
+    """(src, dst, weight) both ways between each domain and the one right above it, up to one of two labels.
+
+    ``hosts`` (host, ..) are distinct. Of a host of more than MAX_LABELS labels, the last ones have such edges.
+    """
+    ends = [F.substring_index("host", ".", -k) for k in range(2, MAX_LABELS + 1)]
+    steps = F.array(*(F.struct(below.alias("below"), above.alias("above")) for above, below in zip(ends, [*ends[1:], F.col("host")])))
+    steps = hosts.select(F.explode(steps).alias("s")).select("s.*").where("below <> above AND above LIKE '%.%'").distinct()
+    ways = F.explode(F.array(F.struct(F.col("below").alias("src"), F.col("above").alias("dst")), F.struct(F.col("above").alias("src"), F.col("below").alias("dst"))))
+    return steps.select(ways.alias("e")).select("e.*", F.lit(float(weight)).alias("weight"))
 
 
 def shares(edges: DataFrame) -> DataFrame:
     """(kind, src, dst, share): trust goes along an edge, distrust against it; the shares of a source add up to 1."""
-    edges = edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight")).where("weight > 0 AND src <> dst")
+    edges = edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight")).where("weight > 0")
     ways = F.explode(F.array(F.struct(F.lit("trust").alias("kind"), F.col("src").alias("src"), F.col("dst").alias("dst")), F.struct(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"))))
     moves = edges.select(ways.alias("e"), "weight").select("e.*", "weight")
     total = moves.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
@@ -91,12 +98,12 @@ def shares(edges: DataFrame) -> DataFrame:
 
 
 def spread(seeds: DataFrame, moves: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
-    """(kind, host, x): the sum over k of (damping * moves)^k applied to ``seeds`` (kind, host, x).
+    """(kind, host, x): 1 - damping times the sum over k of (damping * moves)^k applied to ``seeds`` (kind, host, x).
 
-    That is personalised PageRank in units of a seed of 1 (times 1 / (1 - damping)). Every term is written to the
+    That is personalised PageRank whose parts add up to those of the seeds. Every term is written to the
     shared folder, which cuts the lineage. What a term adds up to falls by ``damping`` at least each time, so the terms
     end after log(tolerance) / log(damping) steps at most: 29 by default. The rest, left out, adds up to less than
-    tolerance * damping / (1 - damping) of all seeds.
+    ``tolerance`` of all seeds.
     """
     if not 0 < damping < 1 or tolerance <= 0:
         raise ValueError("damping must be between 0 and 1 and tolerance above 0")
@@ -111,7 +118,7 @@ def spread(seeds: DataFrame, moves: DataFrame, damping: float = DAMPING, toleran
         mass = seen.get["mass"] or 0.0
         first = mass if first is None else first
         if mass <= tolerance * first:
-            return read.parquet(*paths).groupBy("kind", "host").agg(F.sum("x").alias("x"))
+            return read.parquet(*paths).groupBy("kind", "host").agg((F.sum("x") * (1 - damping)).alias("x"))
         moved = read.parquet(paths[-1]).withColumnRenamed("host", "src").join(moves, ["kind", "src"])
         term = moved.groupBy("kind", F.col("dst").alias("host")).agg((F.sum(F.col("x") * F.col("share")) * damping).alias("x"))
 
@@ -130,9 +137,9 @@ def judge(
     """Per row: key, host, path, the longest rule (host, path, verdict) that fits, verdict, and the host's trust and distrust.
 
     A rule fits its host and all subdomains, where the path starts with the rule's. Where none fits, the host decides:
-    block if distrust - trust >= ``threshold``, else allow. A host all of whose urls are blocked and that no edge
-    reaches has distrust 1. Edges are links in ``html`` (none where null), weighted by pages, and, with weight ``family``, a host
-    and the domain right above it. A null url, or one without "://", has empty host and path, fits no rule and is allowed. Repeated
+    block if distrust - trust >= ``threshold``, else allow. A host all of whose urls are blocked and that no other
+    one reaches has distrust 1, but for ``tolerance``. Edges are links in ``html`` (none where null), weighted by pages, the pages of a
+    host as an edge to itself, and with weight ``family`` (pages; 0: none) a domain and the one right above it. A null url, or one without "://", has empty host and path, fits no rule and is allowed. Repeated
     rows stay, null keys too; an empty table gives no row; without rules everything is allowed.
 
     Urls are matched once and stored with host, path and rule only; the html is read once, for its links. Urls of a hot
@@ -141,11 +148,12 @@ def judge(
     rows = pages.select(F.col(key).alias("key"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     judged = stored(judged_by_rules(rows, rules), "host-rules")
     part = lambda v: (F.count_if(F.col("decided") == v) / F.count("*"))
-    shared = judged.where("host <> ''").groupBy("host").agg(part("allow").alias("trust"), part("block").alias("distrust"))
+    shared = judged.where("host <> ''").groupBy("host").agg(part("allow").alias("trust"), part("block").alias("distrust"), F.count("*").cast("double").alias("pages"))
     shared = stored(shared, "host-seeds")
     kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("x")) for k in ("trust", "distrust"))))
     seeds = shared.select("host", kinds.alias("s")).select("s.kind", "host", "s.x").where("x > 0")
-    edges = families(shared.select("host"), family)
+    edges = shared.select(F.col("host").alias("src"), F.col("host").alias("dst"), F.col("pages").alias("weight"))
+    edges = edges.unionByName(families(shared.select("host"), family))
     if html is not None:
         edges = edges.unionByName(links(pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html"))))
     rank = spread(seeds, stored(shares(edges), "host-moves"), damping, tolerance)

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, functions as F
 from pubmetrics.llm import text as tx
 
 SHINGLE = 5
+#: Terms whose votes are held at once, of long texts or of many.
+PART_TERMS = 1 << 15
 NEIGHBOURS = "key long, n_chars long, edited_sha256 string, fingerprint long, edited_fingerprint long, next_fingerprint long"
 
 
@@ -32,11 +34,13 @@ def fingerprints(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     sums = np.concatenate([[0], np.cumsum(weights, dtype=np.float64)])
     weight = (sums[at + shingle] - sums[at]).astype(np.float32) if len(at) else np.zeros(0, np.float32)
     votes = np.zeros((len(column), 64), np.float64)
-    for a in range(0, len(column), 64):  # few texts at a time: 64 numbers for each term
-        lo, hi = term_first[a], term_first[min(a + 64, len(column))]
+    for lo in range(0, len(terms), PART_TERMS):  # some hundred bytes for each term
+        hi = min(lo + PART_TERMS, len(terms))
         bits = np.unpackbits(terms[lo:hi].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         signed = (bits.astype(np.float32) * 2 - 1) * weight[lo:hi, None]
-        votes[a : a + 64] = tx.segment_sums(signed, term_first[a : a + 65] - lo)
+        a, b = np.searchsorted(term_first, [lo, hi], side="right") + [-1, 0]
+        b = min(b, len(column))
+        votes[a:b] += tx.segment_sums(signed, np.clip(term_first[a : b + 1], lo, hi) - lo)
     for i in short:
         whole = np.array([first[i + 1] - first[i]], np.uint64)
         for h in hashes[first[i] : first[i + 1]]:  # in order, as jaccard.shingle_sets
@@ -109,7 +113,8 @@ def with_neighbours(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((k, n_chars, shas, own, changed.view(np.int64), nxt), kinds)], names)
 
     dealt = rows.mapInArrow(deal, dealt_schema)
-    placed = dealt.repartition(n, "part").sortWithinPartitions("part", "guest", F.col("key").desc_nulls_last(), "text")
+    # Each part is a partition of its own.
+    placed = dealt.repartitionById(n, "part").sortWithinPartitions("part", "guest", F.col("key").desc_nulls_last(), "text")
     return placed.mapInArrow(follow, NEIGHBOURS)
 
 

@@ -15,7 +15,20 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir; where that is unset, under the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return qualified(spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of the file system that Spark finds it on."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def file_system(folder: str) -> tuple[fs.FileSystem, str]:
+    """A task's own access to a folder: its file system and the path there."""
+    if folder.startswith(("s3a://", "s3n://")):
+        folder = "s3" + folder[3:]
+    return fs.FileSystem.from_uri(folder) if ":" in folder.split("/")[0] else (fs.LocalFileSystem(), folder)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -27,7 +40,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def put(folder: str, name: str, data: bytes | pa.Buffer, attempt: str) -> str:
     """Write one file of a task: to a name of its own first, so that a lost or repeated attempt leaves no half file."""
-    files, path = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    files, path = file_system(folder)
     files.create_dir(path)
     with files.open_output_stream(f"{path}/_{name}.{attempt}", compression=None) as out:
         out.write(data)

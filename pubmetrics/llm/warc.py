@@ -73,6 +73,9 @@ def record(page: int | None, uri: str | None, payload: bytes, refers_to: int | N
     return pressed.compress(head + block + b"\r\n\r\n") + pressed.flush()
 
 
+MEMBER_PIECE = 1 << 13
+
+
 @dataclass
 class Found:
     """A record, or (``reason`` set) a gap of bytes left out; in a gzip member, ``at`` is the member's place, and
@@ -88,14 +91,17 @@ class Found:
 
 def member(data: bytes, start: int) -> tuple[bytes, int]:
     """Plain bytes of the gzip member at a place, and its size; ValueError names the failed check."""
-    unpack = zlib.decompressobj(31)
+    unpack, plain, at, view = zlib.decompressobj(31), [], start, memoryview(data)
     try:
-        plain = unpack.decompress(memoryview(data)[start:])
+        # In small pieces: what is left of a piece after the member's end is copied.
+        while at < len(data) and not unpack.eof:
+            plain.append(unpack.decompress(view[at : at + MEMBER_PIECE]))
+            at = min(at + MEMBER_PIECE, len(data))
     except zlib.error as e:
         raise ValueError("gzip") from e
     if not unpack.eof:
         raise ValueError("truncated")
-    return plain, len(data) - start - len(unpack.unused_data)
+    return b"".join(plain), at - len(unpack.unused_data) - start
 
 
 def read_record(plain: bytes, at: int) -> Found:
@@ -185,7 +191,8 @@ def with_revisits(pages: DataFrame, key: str = "page_id", uri: str = "url", payl
 def write(rows: DataFrame, folder: str, file_bytes: int = 1 << 26) -> DataFrame:
     """Write records of (key, uri, payload, refers_to) to .warc.gz files; a row per file.
 
-    A task goes on in a new file after ``file_bytes`` compressed bytes. Files get their names when complete.
+    A task goes on in a new file after ``file_bytes`` compressed bytes, from rows in order of key, uri and payload, so a
+    repeated task cuts its files alike and leaves no other. Files get their names when complete.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,13 +216,14 @@ def write(rows: DataFrame, folder: str, file_bytes: int = 1 << 26) -> DataFrame:
         if held:
             yield flush()
 
-    return stored(rows.select("key", "uri", "payload", "refers_to").mapInArrow(run, FILES), "warc-files")
+    rows = rows.select("key", "uri", "payload", "refers_to").sortWithinPartitions("key", "uri", "payload")
+    return stored(rows.mapInArrow(run, FILES), "warc-files")
 
 
 def read(spark, folder: str, payloads: bool = True) -> DataFrame:
     """Records and quarantined gaps (``reason`` not null) of all files of a folder.
 
-    Files are *.warc.gz and plain *.warc. A file is read by one task, record by record. ``inside`` is a place in the
+    Files are *.warc.gz and plain *.warc, of less than 2 GB each, as a file's bytes are one value. A file is read by one task, record by record. ``inside`` is a place in the
     plain bytes of the gzip member at ``at``. ``payloads=False`` leaves payload bytes out.
     """
 

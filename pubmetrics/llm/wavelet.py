@@ -164,7 +164,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, text: str = "text
 
     Rows are dealt out by key range and sorted; a task writes a new file whenever it has
     ``shard_tokens`` ids, so memory is bounded by that and one document. A null text has the end id
-    only, a null key comes first, equal keys are ordered by text. An empty table gives no file.
+    only, a null key comes first, equal keys are ordered by a hash of their text. An empty table gives no file.
     Files get their names when complete, so a repeated task only writes the same file again.
     """
 
@@ -197,8 +197,9 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, text: str = "text
         if doc_ids:
             yield flush()
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
+    # A hash of the text lets ranges cut a key that many rows have.
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
+    rows = rows.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie", "text").drop("tie")
     return stored(rows.mapInArrow(write, MANIFEST), "wavelet-manifest")
 
 

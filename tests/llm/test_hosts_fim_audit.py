@@ -55,10 +55,10 @@ def judged(pages, rules, family=1.0, threshold=hosts.THRESHOLD):
             for dst in found - {r[1]}:
                 edges[r[1], dst] += 1
     for h in names:
-        up = h.partition(".")[2]
-        if up in names and "." in up:
-            edges[h, up] += family
-            edges[up, h] += family
+        edges[h, h] += sum(r[1] == h for r in rows)
+    for below, up in {(".".join(x[i:]), ".".join(x[i + 1 :])) for x in (h.split(".") for h in names) for i in range(len(x) - 2)}:
+        edges[below, up] += family
+        edges[up, below] += family
     nodes = sorted({x for e in edges for x in e} | set(names))
     at = {h: i for i, h in enumerate(nodes)}
     weight = np.zeros((len(nodes), len(nodes)))
@@ -76,6 +76,7 @@ def judged(pages, rules, family=1.0, threshold=hosts.THRESHOLD):
     while term.sum() > hosts.TOLERANCE * seeds.sum():
         term = hosts.DAMPING * np.stack([term[0] @ along, term[1] @ against])
         total += term
+    total *= 1 - hosts.DAMPING
     out = collections.Counter()
     for key, host, path, rule, verdict, _ in rows:
         t, d = total[:, at[host]] if host else (0.0, 0.0)
