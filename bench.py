@@ -11,7 +11,6 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
 from pathlib import Path
 
@@ -22,7 +21,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from pubmetrics import plans  # noqa: E402
 from pubmetrics.checks import QUERIES  # noqa: E402
 from pubmetrics.checks.queries import export_table  # noqa: E402
-from pubmetrics.sources import load_records, write_records  # noqa: E402
+from pubmetrics.sources import load_records, shared_folder, write_records  # noqa: E402
 from pubmetrics.views import publications  # noqa: E402
 
 HEADLINE = (
@@ -56,7 +55,7 @@ def seconds(spark: SparkSession, sf_dir: str, name: str) -> float:
 
 def phase_seconds(spark: SparkSession, sf_dir: str) -> dict[str, float]:
     """One run of the full analysis, and one of clean and analyze."""
-    base = tempfile.mkdtemp(prefix="pubmetrics-bench-")
+    base = shared_folder(spark, "bench")
     export = write_records(export_table(spark, sf_dir), f"{base}/export")
     raw = publications(spark, sf_dir).withColumnRenamed("authors", "author_names")
     landed = write_records(raw.withColumnRenamed("author_keywords", "authkeywords"), f"{base}/raw")
