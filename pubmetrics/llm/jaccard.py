@@ -23,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
 from pubmetrics.llm import text as tx
-from pubmetrics.llm.store import BLOBS, blob_rows, stored, summed_blobs
+from pubmetrics.llm.store import BLOBS, blob_rows, counted, stored, summed_blobs
 
 TOKEN_BITS = 40
 SKETCH_BITS = 20
@@ -145,8 +145,8 @@ def possible(n1, h1, n2, h2, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return at[ok], apart[ok]
 
 
-def scanned(docs: DataFrame, shingle: int, carry: list[str]) -> tuple[DataFrame, DataFrame]:
-    """One pass over the texts: (key, n, s1, s2, h1, h2, fine) and ``carry`` of every document, and count blobs of shingle hashes."""
+def scanned(docs: DataFrame, shingle: int, carry: list[str]) -> tuple[DataFrame, DataFrame, int]:
+    """One pass over the texts: (key, n, s1, s2, h1, h2, fine) and ``carry`` of every document, count blobs of shingle hashes, and how many rows that are."""
     carried = StructType([StructField(f.name, f.dataType) for f in docs.select(*carry).schema])
     schema = pa.schema([("key", pa.int64()), ("n", pa.int32()), *((c, pa.int64()) for c in ("s1", "s2", "h1", "h2")), ("fine", pa.binary()), ("piece", pa.int32()), ("counts", pa.binary()), *to_arrow_schema(carried)])
 
@@ -165,8 +165,8 @@ def scanned(docs: DataFrame, shingle: int, carry: list[str]) -> tuple[DataFrame,
         yield pa.RecordBatch.from_pylist(rows, schema)
 
     kinds = StructType(StructType.fromDDL("key long, n int, s1 long, s2 long, h1 long, h2 long, fine binary, piece int, counts binary").fields + carried.fields)
-    rows = stored(docs.mapInArrow(run, kinds), "jaccard-scan")
-    return rows.where("piece IS NULL").select("key", "n", "s1", "s2", "h1", "h2", "fine", *carry), rows.where("piece IS NOT NULL").select(F.lit(None).cast("string").alias("name"), "piece", "counts")
+    rows, seen = counted(docs.mapInArrow(run, kinds), "jaccard-scan")
+    return rows.where("piece IS NULL").select("key", "n", "s1", "s2", "h1", "h2", "fine", *carry), rows.where("piece IS NOT NULL").select(F.lit(None).cast("string").alias("name"), "piece", "counts"), seen["n"]
 
 
 def shingle_levels(counts: np.ndarray) -> tuple[np.ndarray, float]:
@@ -354,13 +354,13 @@ def across(rows: DataFrame, labels: DataFrame, classes: DataFrame, percent: int)
     A pair is written only if sizes, coarse and fine histograms allow it, so documents of one template that
     are not alike enough write nothing; ``shared`` counts the lists in which it was found.
     """
-    rows = rows.join(labels, rows["key"] == labels["node"], "left").select("list", "key", "n", "h1", "h2", F.coalesce("label", "key").alias("label"))
+    rows = rows.join(labels, rows["key"] == labels["node"], "left").select("list", "key", "n", "h1", "h2", "own", F.coalesce("label", "key").alias("label"))
     mixed = rows.groupBy("list").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
     rows = rows.join(mixed.select("list", "m"), "list").withColumn("blocks", F.ceil(F.col("m") / BLOCK_ROWS).cast("int"))
     rows = rows.join(classes.select(F.col("id").alias("key"), "fine"), "key")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("list", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "n", "h1", "h2", "fine", "label")
+    rows = rows.select("list", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "n", "h1", "h2", "own", "fine", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -368,7 +368,7 @@ def across(rows: DataFrame, labels: DataFrame, classes: DataFrame, percent: int)
 
         def compare() -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held)
-            keys, n, block, label = columns_of(t, ("key", "n", "block", "label"))
+            keys, n, block, label, own = columns_of(t, ("key", "n", "block", "label", "own"))
             if len(keys) < 2 or (label == label[0]).all():
                 return
             n = n.astype(np.int64)
@@ -379,7 +379,8 @@ def across(rows: DataFrame, labels: DataFrame, classes: DataFrame, percent: int)
             found, size = [], 0
             for x in range(len(keys)):
                 y = np.arange(x + 1, last[x])
-                y = y[(label[y] != label[x]) & ((block[y] != block[x]) | same)]
+                # Two rows out of band meet in another list.
+                y = y[(label[y] != label[x]) & ((block[y] != block[x]) | same) & (own[y] | own[x])]
                 if not len(y):
                     continue
                 some, _ = possible(np.broadcast_to(n[x], len(y)), np.broadcast_to(hist[x], (len(y), 2)), n[y], hist[y], percent)
@@ -420,8 +421,8 @@ def across(rows: DataFrame, labels: DataFrame, classes: DataFrame, percent: int)
     return found.groupBy("a", "b").agg(F.max("apart").alias("apart"), F.sum("shared").cast("int").alias("shared"))
 
 
-def whole_sets(docs: DataFrame, ends: DataFrame, shingle: int) -> DataFrame:
-    """(key, set) of the classes ``ends`` (key, OWN), which are distinct: 5 bytes for each shingle."""
+def whole_sets(docs: DataFrame, ends: DataFrame, n_pairs: int, shingle: int) -> DataFrame:
+    """(key, set) of the classes ``ends`` (key, OWN) of so many pairs, which are distinct: 5 bytes for each shingle."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = {c: np.zeros(1 << SKETCH_BITS, np.int64) for c in ("doc", "s1")}
@@ -452,7 +453,8 @@ def whole_sets(docs: DataFrame, ends: DataFrame, shingle: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(c.take(pa.array(some)) for c in own), pa.array(blobs, pa.binary())], [*OWN, "set"])
 
     found = docs.mapInArrow(sets, "doc long, nameless boolean, n int, s1 long, s2 long, set binary").join(ends, OWN)
-    return stored(found.dropDuplicates(OWN).select("key", "set"), "jaccard-sets")
+    # Sets are long rows: a tenth of the usual number to a file.
+    return stored(found.dropDuplicates(OWN).select("key", "set"), "jaccard-sets", 20 * n_pairs)
 
 
 def ends_of(pairs: DataFrame) -> DataFrame:
@@ -499,7 +501,7 @@ def similar(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, LINKS)
 
 
-def verified(docs: DataFrame, owned: DataFrame, pairs: DataFrame, shingle: int, percent: int, labels: DataFrame | None = None) -> DataFrame:
+def verified(docs: DataFrame, owned: DataFrame, pairs: DataFrame, n_pairs: int, shingle: int, percent: int, labels: DataFrame | None = None) -> DataFrame:
     """``labels`` (node, label) of components, joined further by the similar ones of possible pairs (a, b, apart).
 
     ``owned``: key and OWN of every class. Whole sets are made of classes in these pairs only.
@@ -516,31 +518,32 @@ def verified(docs: DataFrame, owned: DataFrame, pairs: DataFrame, shingle: int,
         if first:  # combined within tasks, so a class with very many pairs is no task of its own
             best = [now.groupBy(end).agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b") for end in "ab"]
             now = best[0].unionByName(best[1]).distinct()
-        now = stored(now.select("a", "b"), "jaccard-tests")
-        if now.isEmpty():
+        now, seen = counted(now.select("a", "b"), "jaccard-tests", n_pairs)
+        if not seen["n"]:
             continue
-        links = similar(whole_sets(docs, owned.join(ends_of(now), "key", "left_semi"), shingle), now, percent)
+        links = similar(whole_sets(docs, owned.join(ends_of(now), "key", "left_semi"), seen["n"], shingle), now, percent)
         known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-        labels = stored(components(known.unionByName(links)), "jaccard-labels")
+        labels = components(known.unionByName(links))
     return labels
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the least node that each one reaches, by large and small stars until nothing moves."""
-    edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
+def components(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, label): the least node that each one reaches, by large and small stars until nothing moves.
+
+    ``most``: a bound of the rows of ``edges``, where one is known.
+    """
+    marks = (F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("s"))
+    edges, now = counted(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars", most, *marks)
     mark = None
-    while True:
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        if tuple(now) == mark or not now[0]:
-            break
-        mark = tuple(now)
+    while now["n"] and now != mark:
+        mark, most = now, now["n"]  # neither star has more edges than there were
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stored(large.where("u <> v").distinct(), "stars")
+        large = stored(large.where("u <> v").distinct(), "stars", most)
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
-        edges = stored(small.distinct(), "stars")
+        edges, now = counted(small.distinct(), "stars", most, *marks)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
@@ -564,16 +567,16 @@ def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: in
         raise ValueError("percent must be from 60 to 100")
     carry = carry or []
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), *carry)
-    rows, blobs = scanned(docs, shingle, carry)
+    rows, blobs, n_docs = scanned(docs, shingle, carry)
     docs = docs.select("key", "text")
     classes = rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("key").alias("first"), F.min("h1").alias("h1"), F.min("h2").alias("h2"), F.first("fine").alias("fine"))
     # Ids of classes are written once, so that all that follows reads the same ones.
-    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "jaccard-classes")
+    classes, seen = counted(classes.withColumn("id", F.monotonically_increasing_id()), "jaccard-classes", n_docs)
     named = classes.select("n", "s1", "s2", F.col("id").alias("group"), F.col("first").alias("component"))
     if percent < 100:
-        labels = linked(docs, classes, blobs, shingle, percent)
+        labels = linked(docs, classes, seen["n"], blobs, shingle, percent)
         named = classes.join(labels, classes["id"] == labels["node"], "left").select("n", "s1", "s2", F.coalesce("label", "id").alias("group"), "first")
-        named = stored(named, "jaccard-named")
+        named = stored(named, "jaccard-named", seen["n"])
         named = named.join(named.groupBy("group").agg(F.min("first").alias("component")), "group").drop("first")
     return rows.select("key", "n", "s1", "s2", *carry).join(named, ["n", "s1", "s2"], "left").select("key", "n", *carry, "group", "component")
 
@@ -583,7 +586,7 @@ def own_of(key: str) -> list:
     return [F.coalesce(F.col(key), F.lit(0).cast("long")).alias("doc"), F.col(key).isNull().alias("nameless"), "n", "s1", "s2"]
 
 
-def linked(docs: DataFrame, classes: DataFrame, blobs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def linked(docs: DataFrame, classes: DataFrame, n_classes: int, blobs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(node, label) of all classes, known by their ids, that link with another."""
     counts = summed_blobs(blobs).get(None, np.zeros(1 << SKETCH_BITS, np.int64))
     levels, usual_list = shingle_levels(counts)
@@ -594,19 +597,22 @@ def linked(docs: DataFrame, classes: DataFrame, blobs: DataFrame, shingle: int,
     rows = post.select("key", "n", F.size("lists").alias("all"), F.posexplode("lists").alias("at", "list"))
     rows = sized(rows.select("list", "key", "n", (2 * F.col("at") < F.col("all")).alias("own")), percent)
     rows = rows.join(classes.select(F.col("id").alias("key"), "h1", "h2"), "key")
-    rows = stored(rows.select("list", "key", "n", "h1", "h2", "own", "m"), "jaccard-lists")
+    is_long = F.col("m") > SHORT_LIST
+    rows, seen = counted(rows.select("list", "key", "n", "h1", "h2", "own", "m"), "jaccard-lists", None, F.count_if(is_long).alias("long"))
     needs = F.when(F.col("n") > light, 1 + F.floor(F.col("n") / 50)).otherwise(1)
-    sets = rows.groupBy("key").agg(F.min(needs).alias("needs"), F.sum((F.col("m") > SHORT_LIST).cast("int")).alias("longs"))
-    sets = stored(sets, "jaccard-needs")
-    long = rows.where(F.col("m") > SHORT_LIST).drop("m", "own")
-    short = stored(short_pairs(rows.where(F.col("m") <= SHORT_LIST), percent), "jaccard-short")
-    some_long = not long.isEmpty()
+    sets = rows.groupBy("key").agg(F.min(needs).alias("needs"), F.sum(is_long.cast("int")).alias("longs"))
+    sets = stored(sets, "jaccard-needs", n_classes)
+    long = rows.where(is_long).drop("m")
+    # A row of a short list is in fewer pairs than SHORT_LIST.
+    short, short_seen = counted(short_pairs(rows.where(~is_long), percent), "jaccard-short", SHORT_LIST * (seen["n"] - seen["long"]))
+    some_long = seen["long"] > 0
     found = short.select("a", "b", "apart")
     if some_long:
         found = found.unionByName(neighbours(long, percent)).distinct()
-    first = stored(likely(classes, sharing(found, short, sets), percent), "jaccard-pairs")
-    labels = verified(docs, owned, first, shingle, percent)
+    most = short_seen["n"] + 2 * seen["long"]
+    first, pairs = counted(likely(classes, sharing(found, short, sets), percent), "jaccard-pairs", most)
+    labels = verified(docs, owned, first, pairs["n"], shingle, percent)
     if some_long:
-        more = stored(sharing_enough(across(long, labels, classes, percent), short, sets), "jaccard-pairs")
-        labels = verified(docs, owned, more, shingle, percent, labels)
+        more, pairs = counted(sharing_enough(across(long, labels, classes, percent), short, sets), "jaccard-pairs")
+        labels = verified(docs, owned, more, pairs["n"], shingle, percent, labels)
     return labels

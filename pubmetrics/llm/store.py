@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -31,11 +31,29 @@ def file_system(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder) if ":" in folder.split("/")[0] else (fs.LocalFileSystem(), folder)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written to the shared folder and read again: cuts the lineage."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Rows that one file of a table of known size should have at least.
+ROWS_A_FILE = 100_000
+
+
+def stored(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """The rows written to the shared folder and read again: cuts the lineage.
+
+    ``most``: a bound of the rows, where one is known. A small table is then written by few tasks, not one for
+    each shuffle partition, and read by as few; beyond ROWS_A_FILE rows a partition nothing changes.
+    """
+    return counted(df, name, most)[0]
+
+
+def counted(df: DataFrame, name: str, most: int | None = None, *more: Column) -> tuple[DataFrame, dict]:
+    """The stored rows, and their count ``n`` and other aggregates, taken by the tasks that write them."""
+    spark = df.sparkSession
+    path, seen = shared_folder(spark, name), Observation()
+    if most is not None:
+        files = max(1, -(-most // ROWS_A_FILE))
+        if files < int(spark.conf.get("spark.sql.shuffle.partitions")):
+            df = df.coalesce(files)
+    df.observe(seen, F.count(F.lit(1)).alias("n"), *more).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get
 
 
 def put(folder: str, name: str, data: bytes | pa.Buffer, attempt: str) -> str:
