@@ -52,7 +52,7 @@ def tilts(cells: DataFrame, targets: dict[str, DataFrame], most: float = 3.0, st
     column, sum(size * rate) = target. Each value has a dual variable; a Newton step takes it by
     (target - reached) / reached, from sums that tasks combine over all cells, with steps held to 2 so
     that they go downhill. Columns take turns. One number, the largest miss, reaches the driver each
-    round. A target of 0 gives rate 0; a value without a target keeps 0 as its dual variable.
+    round; ArithmeticError after ``steps`` rounds if that is above 1e-6. A target of 0 gives rate 0; a value without a target keeps 0 as its dual variable.
     """
     duals = {c: stored(t.select(c, F.col("target").cast("double"), F.lit(0.0).alias("dual")), "tilt") for c, t in targets.items()}
 
@@ -63,6 +63,7 @@ def tilts(cells: DataFrame, targets: dict[str, DataFrame], most: float = 3.0, st
         total = sum((F.coalesce(F.col(f"_{c}_dual"), F.lit(0.0)) for c in duals), F.lit(0.0))
         return out.withColumn("rate", F.exp(total)).drop(*[f"_{c}_dual" for c in duals])
 
+    worst = 0.0
     for _ in range(steps):
         worst = 0.0
         for c in duals:
@@ -75,23 +76,26 @@ def tilts(cells: DataFrame, targets: dict[str, DataFrame], most: float = 3.0, st
             duals[c] = moved.drop("miss")
         if worst <= tolerance:
             break
+    if worst > 1e-6:
+        raise ArithmeticError(f"after {steps} rounds a target is still missed by a share of {worst}")
     # Rates leave the last digits of the iteration behind, so that reruns round alike.
     return tilted().withColumn("rate", F.round(F.least("rate", F.lit(float(most))), 9))
 
 
-def copies(docs: DataFrame, cells: DataFrame, columns: Sequence[str], order: Sequence[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def copies(docs: DataFrame, cells: DataFrame, columns: Sequence[str], order: Sequence[str], mark: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Whole copies of each document, near its cell's rate.
 
-    A cell's documents are dealt by hash over buckets of about ``bucket_rows``; in a bucket, from large to small,
+    A cell's documents are dealt by hash of ``order``, size and ``mark``, a column that tells rows apart, over buckets of about
+    ``bucket_rows``, so rows of one key spread too; in a bucket, from large to small,
     copies are the steps of the rounded running sum of rates, so the copied size stays within about one document
     of the wanted one. Equal rows (in size and ``order``) may trade places without changing a result.
     """
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"c.{c}")) for c in columns]
     joined = docs.alias("d").join(cells.alias("c"), same, "left").select("d.*", F.coalesce("c.rate", F.lit(0.0)).alias("rate"), F.coalesce("c.n", F.lit(1)).alias("n"))
-    key = F.concat_ws("\x1f", *[F.coalesce(F.col(o).cast("string"), F.lit("")) for o in order])
+    key = F.concat_ws("\x1f", *[F.coalesce(F.col(o).cast("string"), F.lit("")) for o in (*order, "size", mark)])
     spread = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
     rows = joined.withColumn("bucket", spread % F.ceil(F.col("n") / bucket_rows))
-    place = F.row_number().over(Window.partitionBy(*columns, "bucket").orderBy(F.col("size").desc(), *order))
+    place = F.row_number().over(Window.partitionBy(*columns, "bucket").orderBy(F.col("size").desc(), *order, mark))
     rows = rows.withColumn("place", place)
     steps = F.floor(F.col("place") * F.col("rate") + 0.5) - F.floor((F.col("place") - 1) * F.col("rate") + 0.5)
     return rows.withColumn("copies", steps.cast("long")).drop("n")
@@ -124,13 +128,13 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     """
     rows = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *carry)
     # Texts are read once; what follows is narrow.
-    rows = stored(rows, "mix-sizes")
+    rows = stored(rows.withColumn("_mark", F.monotonically_increasing_id()), "mix-sizes")
     cells = stored(rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "mix-cells")
     targets = stored(cycled_targets(cells, "source", "size", weights, float(most)), "mix-targets")
     rates = tilts(cells, {"source": targets.select("source", "target")}, float(most))
-    counted = stored(copies(rows, rates.select("source", "rate", "n"), ["source"], ["key"]), "mix-copies")
+    counted = stored(copies(rows, rates.select("source", "rate", "n"), ["source"], ["key"], "_mark"), "mix-copies")
     for _ in range(2):
         counted = stored(mend(counted, targets, "source", most), "mix-copies")
     goal = targets.select(F.col("source").alias("_s"), F.col("group_size").alias("source_size"), "target")
-    out = counted.join(goal, F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "bucket", "place")
+    out = counted.join(goal, F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "_mark", "bucket", "place")
     return out.withColumn("taken", F.col("copies") * F.col("size"))

@@ -554,6 +554,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int
     link with nothing. Rows are told apart by their texts: rows with the same key link by their own text only,
     and rows with a null key as all others. A component of null keys only is null. Equal
     texts, and texts that differ in the case of A-Z or white space only, are one class. An empty table gives no row.
+    Shingles are known by 40 bits of their hashes: of two sets of n shingles, about n * n / 2 ** 40 more than they have in common agree.
     """
     return groups(docs, text, key, shingle, percent).select("key", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key")).alias("component"))
 

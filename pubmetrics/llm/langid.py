@@ -33,7 +33,8 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", grams: tuple[int,
     """Learn from every row with a text and a language, counting n-grams in tasks.
 
     Tasks send one count vector per language, which are added by piece before the sums, whose size
-    does not depend on the rows, reach the driver. An empty table gives a model without languages.
+    does not depend on the rows, reach the driver: 2 ** bits counts for each language, so ``lang`` is meant to have
+    some hundred values at most. An empty table gives a model without languages.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -109,6 +109,9 @@ def fit(
     below ``least`` of the largest are set to 0. Rows with a null key, label or text are left out, a
     repeated key counts once with its smallest text; without rows of both labels the model scores
     every text with the share of label 1 (0.5 without any row).
+
+    The driver holds the n-grams in use of the chosen texts, four bytes each: ``max_rows`` bounds the texts, not
+    their length, but a text has 2 ** bits different n-grams at most.
     """
     chosen = (
         labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
