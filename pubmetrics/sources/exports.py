@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from pubmetrics.operators.schema import ORDER_COLUMN
+from pubmetrics.sources.ordering import path_order
 from pubmetrics.sources.shared import stored
 
 # Distinct headers that one call may read.
@@ -74,39 +75,50 @@ def split_states(lines: DataFrame) -> DataFrame:
 
 
 def whole_records(lines: DataFrame, splits: DataFrame) -> DataFrame:
-    """(file, block, place, record): records of all files, header rows included, no empty lines.
+    """(file, block, place, record and what ``splits`` has of the file): records of all files, header rows included, no empty lines.
 
-    A line that starts outside quotes and ends there is a record. The others are gathered by
-    the record they belong to, which may have started splits ago.
+    A split's lines are put together to records where they are, after one shuffle by split. Only
+    what goes on in the next split, or comes from the one before, two rows a split, meets again.
     """
+    known = [c for c in splits.columns if c not in ("inside", "header")]
+    state = lines.join(splits.drop("header"), ["file", "block"])
     split = Window.partitionBy("file", "block").orderBy("place")
-    so_far = split.rowsBetween(Window.unboundedPreceding, -1)
-    state = lines.join(splits.select("file", "block", "inside"), ["file", "block"])
-    inside = (F.col("inside") + F.coalesce(F.sum("quotes").over(so_far), F.lit(0))) % 2 == 1
-    ends = F.when(inside, 1).otherwise(0) + F.col("quotes")
-    state = state.withColumns({"within": inside, "open": ends % 2 == 1})
-    single = state.filter(~F.col("within") & ~F.col("open"))
-    # Pieces: a first line, lines inside quotes, and the line that closes them.
-    pieces = state.filter(F.col("within") | F.col("open"))
-    starts = F.when(~F.col("within"), F.struct("block", "place"))
-    pieces = pieces.withColumn(
-        "own", F.max(starts).over(split.rowsBetween(Window.unboundedPreceding, 0))
+    before = F.sum("quotes").over(split.rowsBetween(Window.unboundedPreceding, -1))
+    within = (F.col("inside") + F.coalesce(before, F.lit(0))) % 2 == 1
+    state = state.withColumn("within", within).drop("inside")
+    start = F.max(F.when(~F.col("within"), F.col("place")))
+    state = state.withColumn("start", start.over(split.rowsBetween(Window.unboundedPreceding, 0)))
+    # Grouped within the split, which is where its rows are: one group is the lines of one record.
+    goes_on = F.col("within") != (F.col("quotes") % 2 == 1)
+    parts = state.groupBy(*known, "start").agg(
+        F.sort_array(F.collect_list(F.struct("place", "line"))).alias("lines"),
+        F.max(F.struct("place", goes_on.alias("open"))).alias("end"),
     )
-    # Pieces before a split's first such start belong to the last start of the splits before it.
-    lasts = pieces.groupBy("file", "block").agg(F.max(starts).alias("last"))
-    earlier = Window.partitionBy("file").orderBy("block")
-    earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
-    lasts = lasts.select("file", "block", F.max("last").over(earlier).alias("earlier"))
-    pieces = pieces.join(lasts, ["file", "block"]).withColumn("at", F.coalesce("own", "earlier"))
-    entry = F.struct("block", "place", "line")
-    # One group is the lines of one record.
-    joined = pieces.groupBy("file", "at").agg(F.sort_array(F.collect_list(entry)).alias("lines"))
-    joined = joined.select("file", "at.*", F.array_join("lines.line", "\n").alias("record"))
-    records = single.select("file", "block", "place", F.col("line").alias("record"))
-    ends_at = F.regexp_replace("record", r"\r\z", "")
-    return records.unionByName(joined).select("file", "block", "place", ends_at.alias("record")).filter(
-        F.col("record") != ""
+    text = F.array_join("lines.line", "\n").alias("record")
+    parts = parts.select(*known, "start", text, F.col("end.open").alias("open"))
+    whole = F.col("start").isNotNull() & ~F.col("open")
+    complete = parts.filter(whole).select(*known, F.col("start").alias("place"), "record")
+    # A split's first lines without a start belong to the last start of the splits before it.
+    edges = parts.filter(~whole)
+    so_far = Window.partitionBy("file").orderBy("block", F.col("start").asc_nulls_first())
+    so_far = so_far.rowsBetween(Window.unboundedPreceding, 0)
+    at = F.max(F.when(F.col("start").isNotNull(), F.struct("block", "start"))).over(so_far)
+    others = [c for c in known if c not in ("file", "block")]
+    # None before the first start first, so that pieces stand in order.
+    piece = F.struct("block", F.coalesce("start", F.lit(-1)).alias("start"), "record")
+    joined = edges.withColumn("at", at).groupBy("file", "at", *others).agg(
+        F.sort_array(F.collect_list(piece)).alias("pieces")
+    )
+    joined = joined.select(
+        "file",
+        F.col("at.block").alias("block"),
+        *others,
+        F.col("at.start").alias("place"),
+        F.array_join("pieces.record", "\n").alias("record"),
     )
+    records = complete.unionByName(joined)
+    ends_at = F.regexp_replace("record", r"\r\z", "")
+    return records.withColumn("record", ends_at).filter(F.col("record") != "")
 
 
 def checked(record: Column, sep: str) -> Column:
@@ -135,7 +147,7 @@ def read_split_export(
     headers by trimmed name, and a file lacks what its header lacks. A blank header cell is
     named by its place and a repeated one numbered, file by file. Headers are one line.
 
-    The files are read twice, once for the quotes of each split, and their lines are shuffled
+    The files are read once for the quotes of each split and once more for the records, and their lines are shuffled
     by split. Quotes must stand around whole cells, doubled inside them, as CSV writers put them:
     a record with any other quote, or one that a file's end leaves open, fails. Lines end in \n or \r\n.
     """
@@ -162,14 +174,19 @@ def read_split_export(
     kinds = F.broadcast(spark.createDataFrame(kinds, "header string, kind int"))
     pairs = F.col("header").endswith("\r").alias("pairs")
     files = heads.join(kinds, "header").select("file", "kind", "head", pairs)
-    records = whole_records(lines, splits).join(files, "file")
+    # A row per split says all that its lines need; files are few beside them.
+    splits = splits.select("file", "block", "inside").join(files, "file")
+    records = whole_records(lines, splits)
+    records = records.filter((F.col("block") > 0) | (F.col("place") > F.col("head")))
     # As a reader of whole files does, where lines end in a pair of characters.
     plain = F.replace("record", F.lit("\r\n"), F.lit("\n"))
     records = records.withColumn("record", F.when(F.col("pairs"), plain).otherwise(F.col("record")))
     records = records.filter((F.col("block") > 0) | (F.col("place") > F.col("head")))
     schema = ", ".join(f"_c{i} string" for i in range(width))
     cells = F.from_csv(checked(F.col("record"), sep), schema, dict(sep=sep, quote='"', escape='"'))
-    order = F.struct("file", "block", F.col("place").alias("position"))
+    order = F.struct(
+        path_order(F.col("file")).alias("file"), "block", F.col("place").alias("position")
+    )
     parsed = records.select("kind", order.alias(ORDER_COLUMN), cells.alias("cells"))
     out = [F.col(ORDER_COLUMN)] if ordered else []
     for name in names:

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pubmetrics.operators.schema import ORDER_COLUMN
 
 
+def path_order(path: Column) -> Column:
+    """A text that orders files by path, but part files of a folder, which have longer names from the 100,000th on, by number."""
+    name = F.substring_index(path, "/", -1)
+    folder = F.left(path, F.length(path) - F.length(name))
+    numbered = F.concat(folder, F.lpad(F.length(name).cast("string"), 4, "0"), F.lit("/"), name)
+    return F.when(name.startswith("part-"), numbered).otherwise(path)
+
+
 def with_source_order(df: DataFrame, *, row_index: bool = False) -> DataFrame:
     """Add `src_ord`, an orderable struct that follows file path and position in the file.
 
@@ -23,7 +31,7 @@ def with_source_order(df: DataFrame, *, row_index: bool = False) -> DataFrame:
     else:
         block, position = F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
     order = F.struct(
-        F.col("_metadata.file_path").alias("file"),
+        path_order(F.col("_metadata.file_path")).alias("file"),
         block.alias("block"),
         position.cast("bigint").alias("position"),
     )

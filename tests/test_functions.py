@@ -126,3 +126,23 @@ def test_extract_countries(col):
         ["united kingdom"],
     ]
     assert col(lambda c: fn.extract_countries(c, {}), ["A, UK"]) == [["uk"]]
+
+
+def test_fixed_values_of_the_checks():
+    """What the SQL of the checks takes from the package, pinned."""
+    from collections import Counter
+
+    from pubmetrics.functions import COUNTRY_ALIASES, COUNTRY_REGIONS, YEAR_BINS
+
+    assert COUNTRY_ALIASES == {
+        "usa": "united states",
+        "us": "united states",
+        "uk": "united kingdom",
+        "uae": "united arab emirates",
+        "viet nam": "vietnam",
+    }
+    assert YEAR_BINS == ((2002, 2006), (2007, 2011), (2012, 2016), (2017, 2021), (2022, 2025))
+    assert len(COUNTRY_REGIONS) == 27 and len(set(COUNTRY_REGIONS.values())) == 7
+    some = {"canada": "North America", "turkey": "Europe & Central Asia", "egypt": "Middle East & North Africa"}
+    assert some.items() <= COUNTRY_REGIONS.items() and "vietnam" not in COUNTRY_REGIONS
+    assert max(Counter(COUNTRY_REGIONS.values()).values()) <= 10

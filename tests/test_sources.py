@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from conftest import plan_of, rows
 from pubmetrics import operators as op
 from pubmetrics import sources as src
+from pubmetrics.sources.ordering import path_order
 
 EXPORT = (
     '﻿Title, Year ,title,Authors,EID\n'
@@ -182,3 +183,11 @@ def test_shared_folder_follows_the_session(spark):
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     one, two = src.shared_folder(spark, "x"), src.shared_folder(spark, "x")
     assert one.startswith(root) and one != two
+
+
+def test_part_files_order_by_number(spark):
+    names = ["/a/part-99999-x-c000.csv", "/a/part-100000-x-c000.csv", "/a/part-00001-x-c000.csv", "/b/part-00000-x-c000.csv"]
+    df = spark.createDataFrame([(n,) for n in names], "path string").orderBy(path_order(F.col("path")))
+    assert [r.path for r in df.collect()] == [names[2], names[0], names[1], names[3]]
+    plain = spark.createDataFrame([("/z/b.csv",), ("/z/aa.csv",)], "path string").orderBy(path_order(F.col("path")))
+    assert [r.path for r in plain.collect()] == ["/z/aa.csv", "/z/b.csv"]
