@@ -537,12 +537,14 @@ def components(edges: DataFrame, most: int | None = None) -> DataFrame:
     mark = None
     while now["n"] and now != mark:
         mark, most = now, now["n"]  # neither star has more edges than there were
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        ways = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(F.explode(ways).alias("e")).select("e.*")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stored(large.where("u <> v").distinct(), "stars", most)
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
+        # Of a node's edges the one to its least neighbour stays, the others lead there from their other ends.
+        small = large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges, now = counted(small.distinct(), "stars", most, *marks)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
