@@ -6,6 +6,7 @@ Texts are UTF-8 bytes plus offsets; a null text is an empty one. Words are runs
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,19 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 STEP = 0x9E3779B97F4A7C15 | 1
 
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _TRIM = None
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers are reused, and idle ones would keep what they once had."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about ``limit`` text bytes; a longer text is a piece of its own."""
     offsets = utf8(batch.column(column))[1]
@@ -28,6 +42,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator
         end = min(max(end, start + 1), n)
         yield batch.slice(start, end - start)
         start = end
+    give_back()
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
