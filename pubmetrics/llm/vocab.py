@@ -9,6 +9,7 @@ already encoded are known by their text.
 from __future__ import annotations
 
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -108,14 +109,17 @@ class Encoder:
         self.ids[used : ends[-1]] = np.fromiter((i for f in found for i in f), np.uint32, int(counts.sum()))
         self.slots.update(zip(pieces, range(n, n + len(found))))
         # A piece is a string object (up to four bytes a character), an entry of the dictionary and its ids.
-        self.kept += sum(160 + 4 * len(p) for p in pieces) + 4 * int(counts.sum())
+        self.kept += 160 * len(pieces) + 4 * sum(map(len, pieces)) + 4 * int(counts.sum())
 
     def slots_of(self, pieces: list[str]) -> np.ndarray:
         """Slots of pieces, the unknown ones encoded first."""
-        new = [p for p in dict.fromkeys(pieces) if p not in self.slots]
-        if new:
-            self.add(new)
-        return np.fromiter(map(self.slots.__getitem__, pieces), np.int64, len(pieces))
+        found = np.fromiter(map(self.slots.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            fresh = [pieces[i] for i in new.tolist()]
+            self.add(list(dict.fromkeys(fresh)))
+            found[new] = np.fromiter(map(self.slots.__getitem__, fresh), np.int64, len(fresh))
+        return found
 
     def latin_slots(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         joined = "".join(texts)
