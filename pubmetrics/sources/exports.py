@@ -1,8 +1,8 @@
 """CSV exports with quoted newlines, read in many tasks and under differing headers (SRC2).
 
 A file is read as lines, split by split. Whether a line starts a record depends on all quotes
-before it in its file, so the quotes are first counted per split; sums over the splits, one
-row each, then tell every task the state its split starts in.
+before it in its file, so the quotes are first counted per chunk of a split; sums over the chunks, one
+row each, then tell every task the state a chunk starts in.
 """
 
 from __future__ import annotations
@@ -18,6 +18,10 @@ from pubmetrics.sources.shared import stored
 
 # Distinct headers that one call may read.
 MAX_HEADERS = 1000
+# Lines of a chunk, as a power of two, 14 at most: a split of 128 MB has few chunks, and a task holds the text of some at a time.
+CHUNK_BITS = 14
+# Text up to a line end outside quotes; every quantifier is possessive, so a long record takes neither stack nor steps back.
+RECORD = r'(?:[^"\n]++|"[^"]*+(?:"|\z))++'
 
 
 def header_names(cells: Sequence[str | None]) -> list[str]:
@@ -51,69 +55,76 @@ def text_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return lines.withColumn("quotes", quotes)
 
 
+def chunk_of(place: str) -> Column:
+    return F.shiftright(place, CHUNK_BITS)
+
+
 def split_states(lines: DataFrame) -> DataFrame:
-    """(file, block, inside, header, head): whether a split starts inside quotes, its file's header and where that is.
+    """(file, block, chunk, quotes, inside, head): whether a chunk of a split starts inside quotes, and where its file's header is.
 
-    One pass that reads the lines and shuffles one row per split; the sums over the splits of a
+    One pass that reads the lines and shuffles numbers, one row per chunk; the sums over the chunks of a
     file run in one task, on those rows. The header is the first line that is not empty.
     """
     filled = (F.col("block") == 0) & ~F.col("line").isin("", "\r")
-    first = F.when(filled, F.struct("place", "line"))
-    splits = lines.groupBy("file", "block").agg(
-        F.sum("quotes").alias("quotes"), F.min(first).alias("first")
-    )
-    before = Window.partitionBy("file").orderBy("block")
-    before = before.rowsBetween(Window.unboundedPreceding, -1)
-    inside = F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2
-    return splits.select(
-        "file",
-        "block",
-        inside.alias("inside"),
-        F.col("first.line").alias("header"),
-        F.col("first.place").alias("head"),
+    chunks = lines.groupBy("file", "block", chunk_of("place").alias("chunk")).agg(
+        F.sum("quotes").alias("quotes"), F.min(F.when(filled, F.col("place"))).alias("first")
     )
+    file = Window.partitionBy("file")
+    before = file.orderBy("block", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1
+    head = F.min("first").over(file)
+    return chunks.select("file", "block", "chunk", "quotes", inside.alias("inside"), head.alias("head"))
+
+
+def header_lines(lines: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(file, header): the header row of every file that has one, as text."""
+    heads = chunks.filter((F.col("block") == 0) & (F.col("chunk") == chunk_of("head")))
+    heads = heads.select("file", F.col("head").alias("place"))
+    return lines.filter(F.col("block") == 0).join(heads, ["file", "place"]).select("file", F.col("line").alias("header"))
 
 
-def whole_records(lines: DataFrame, splits: DataFrame) -> DataFrame:
-    """(file, block, place, record and what ``splits`` has of the file): records of all files, header rows included, no empty lines.
+def whole_records(lines: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(file, block, place, record and what ``chunks`` has of the file): records of all files, without header rows and empty lines.
 
-    A split's lines are put together to records where they are, after one shuffle by split. Only
-    what goes on in the next split, or comes from the one before, two rows a split, meets again.
+    The lines of a chunk come together in the task that reads them, so one row a chunk is shuffled, and its text is then
+    cut at the line ends outside quotes. Only what goes on in the next chunk, or comes from the one before, two
+    rows a chunk, meets again.
     """
-    known = [c for c in splits.columns if c not in ("inside", "header")]
-    state = lines.join(splits.drop("header"), ["file", "block"])
-    split = Window.partitionBy("file", "block").orderBy("place")
-    before = F.sum("quotes").over(split.rowsBetween(Window.unboundedPreceding, -1))
-    within = (F.col("inside") + F.coalesce(before, F.lit(0))) % 2 == 1
-    state = state.withColumn("within", within).drop("inside")
-    start = F.max(F.when(~F.col("within"), F.col("place")))
-    state = state.withColumn("start", start.over(split.rowsBetween(Window.unboundedPreceding, 0)))
-    # Grouped within the split, which is where its rows are: one group is the lines of one record.
-    goes_on = F.col("within") != (F.col("quotes") % 2 == 1)
-    parts = state.groupBy(*known, "start").agg(
-        F.sort_array(F.collect_list(F.struct("place", "line"))).alias("lines"),
-        F.max(F.struct("place", goes_on.alias("open"))).alias("end"),
+    of_chunk = ("file", "block", "chunk")
+    known = [c for c in chunks.columns if c not in (*of_chunk, "quotes", "inside", "head")]
+    # Two characters in front of a line say its place in the chunk, and sort by it: far fewer bytes than a number.
+    mark = F.concat(*(F.char(F.shiftright("place", shift).bitwiseAND(F.lit(127))) for shift in (7, 0)))
+    texts = lines.groupBy("file", "block", chunk_of("place").alias("chunk")).agg(
+        F.sort_array(F.collect_list(F.concat(mark, "line"))).alias("lines")
     )
-    text = F.array_join("lines.line", "\n").alias("record")
-    parts = parts.select(*known, "start", text, F.col("end.open").alias("open"))
-    whole = F.col("start").isNotNull() & ~F.col("open")
-    complete = parts.filter(whole).select(*known, F.col("start").alias("place"), "record")
-    # A split's first lines without a start belong to the last start of the splits before it.
-    edges = parts.filter(~whole)
-    so_far = Window.partitionBy("file").orderBy("block", F.col("start").asc_nulls_first())
+    texts = texts.join(chunks, list(of_chunk))
+    # With the quote that opened it before the chunk, a text is cut as one that starts outside.
+    text = F.concat(F.when(F.col("inside"), F.lit('"')).otherwise(F.lit("")), F.array_join(F.transform("lines", lambda x: F.substring(x, 3, 2147483647)), "\n"))
+    cut = F.filter(F.regexp_extract_all(text, F.lit(RECORD), F.lit(0)), lambda r: r != "\r")
+    is_head = (F.col("block") == 0) & (F.col("chunk") == chunk_of("head"))
+    goes_on = (F.col("inside").cast("int") + F.col("quotes")) % 2 == 1
+    parts = texts.select(*of_chunk, *known, "inside", is_head.alias("is_head"), goes_on.alias("goes_on"), cut.alias("cut"))
+    parts = parts.select("*", F.size("cut").alias("n"), F.posexplode("cut").alias("i", "record")).drop("cut")
+    parts = parts.filter(~F.col("is_head") | (F.col("i") > 0))
+    comes = F.col("inside") & (F.col("i") == 0)
+    whole = ~comes & ~(F.col("goes_on") & (F.col("i") == F.col("n") - 1))
+    place = (F.shiftleft("chunk", CHUNK_BITS) + F.col("i")).alias("place")
+    complete = parts.filter(whole).select("file", "block", *known, place, "record")
+    # A chunk's first piece belongs to the last record begun in the chunks before it.
+    rest = F.when(comes, F.substring("record", 2, 2147483647)).otherwise(F.col("record"))
+    edges = parts.filter(~whole).select("file", "block", *known, place, comes.alias("comes"), rest.alias("record"))
+    so_far = Window.partitionBy("file").orderBy("block", "place")
     so_far = so_far.rowsBetween(Window.unboundedPreceding, 0)
-    at = F.max(F.when(F.col("start").isNotNull(), F.struct("block", "start"))).over(so_far)
-    others = [c for c in known if c not in ("file", "block")]
-    # None before the first start first, so that pieces stand in order.
-    piece = F.struct("block", F.coalesce("start", F.lit(-1)).alias("start"), "record")
-    joined = edges.withColumn("at", at).groupBy("file", "at", *others).agg(
+    at = F.max(F.when(~F.col("comes"), F.struct("block", "place"))).over(so_far)
+    piece = F.struct("block", "place", "record")
+    joined = edges.withColumn("at", at).groupBy("file", "at", *known).agg(
         F.sort_array(F.collect_list(piece)).alias("pieces")
     )
     joined = joined.select(
         "file",
         F.col("at.block").alias("block"),
-        *others,
-        F.col("at.start").alias("place"),
+        *known,
+        F.col("at.place").alias("place"),
         F.array_join("pieces.record", "\n").alias("record"),
     )
     records = complete.unionByName(joined)
@@ -147,14 +158,14 @@ def read_split_export(
     headers by trimmed name, and a file lacks what its header lacks. A blank header cell is
     named by its place and a repeated one numbered, file by file. Headers are one line.
 
-    The files are read once for the quotes of each split and once more for the records, and their lines are shuffled
-    by split. Quotes must stand around whole cells, doubled inside them, as CSV writers put them:
+    The files are read once for the quotes, once for the headers and once more for the records, and their text is
+    shuffled in chunks of lines. Quotes must stand around whole cells, doubled inside them, as CSV writers put them:
     a record with any other quote, or one that a file's end leaves open, fails. Lines end in \n or \r\n.
     """
     lines = text_lines(spark, path)
-    # One row per split is kept, so both uses see the same states.
-    splits = stored(split_states(lines), "export-splits")
-    heads = splits.filter(F.col("header").isNotNull())
+    # One row per chunk is kept, so both uses see the same states.
+    chunks = stored(split_states(lines), "export-splits")
+    heads = stored(header_lines(lines, chunks), "export-headers")
     known = heads.groupBy("header").agg(F.min("file").alias("file")).orderBy("file")
     known = known.limit(MAX_HEADERS + 1).collect()
     if not known:
@@ -173,15 +184,12 @@ def read_split_export(
     kinds = [(row["header"], i) for i, row in enumerate(known)]
     kinds = F.broadcast(spark.createDataFrame(kinds, "header string, kind int"))
     pairs = F.col("header").endswith("\r").alias("pairs")
-    files = heads.join(kinds, "header").select("file", "kind", "head", pairs)
-    # A row per split says all that its lines need; files are few beside them.
-    splits = splits.select("file", "block", "inside").join(files, "file")
-    records = whole_records(lines, splits)
-    records = records.filter((F.col("block") > 0) | (F.col("place") > F.col("head")))
+    files = heads.join(kinds, "header").select("file", "kind", pairs)
+    # A row per chunk says all that its lines need; files are few beside them.
+    records = whole_records(lines, chunks.join(files, "file"))
     # As a reader of whole files does, where lines end in a pair of characters.
     plain = F.replace("record", F.lit("\r\n"), F.lit("\n"))
     records = records.withColumn("record", F.when(F.col("pairs"), plain).otherwise(F.col("record")))
-    records = records.filter((F.col("block") > 0) | (F.col("place") > F.col("head")))
     schema = ", ".join(f"_c{i} string" for i in range(width))
     cells = F.from_csv(checked(F.col("record"), sep), schema, dict(sep=sep, quote='"', escape='"'))
     order = F.struct(

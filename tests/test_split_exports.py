@@ -7,8 +7,9 @@ from contextlib import contextmanager
 import pytest
 from pyspark.errors import PySparkException
 
-from conftest import rows
+from conftest import plan_of, rows
 from pubmetrics import sources as src
+from pubmetrics.sources import exports
 from pubmetrics.sources.exports import header_names, text_lines
 
 
@@ -59,6 +60,31 @@ def test_split_reading_equals_whole_files(spark, tmp_path, size, ends):
         assert rows(got.orderBy("src_ord").drop("src_ord")) == wanted
 
 
+@pytest.mark.parametrize("bits", [0, 1, 4])
+def test_records_over_chunks(spark, tmp_path, monkeypatch, bits):
+    rng = random.Random(bits)
+    monkeypatch.setattr(exports, "CHUNK_BITS", bits)
+    for i in range(2):
+        data = [[f"{i}-{j}", cell(rng), cell(rng)] for j in range(25)]
+        data[3][1] = "\n" * 40 + '"'
+        write(f"{tmp_path}/{i}.csv", ["id", "b", "c"], data, lineterminator="\r\n" if i else "\n")
+    wanted = whole(spark, str(tmp_path))
+    with small_splits(spark, 150):
+        got = src.read_export(spark, str(tmp_path), ordered=True, multi_line="split", null_tokens=())
+        assert rows(got.orderBy("src_ord").drop("src_ord")) == wanted
+
+
+def test_lines_are_neither_sorted_nor_shuffled_one_by_one(spark, tmp_path):
+    write(f"{tmp_path}/x.csv", ["a", "b"], [["1\n2", "x"], ["3", "y"]])
+    lines = text_lines(spark, str(tmp_path))
+    states = exports.split_states(lines)
+    assert "SortAggregate" not in plan_of(states)
+    records = plan_of(exports.whole_records(lines, states))
+    # A chunk is one row before it is shuffled, and no window runs over lines.
+    assert "partial_collect_list" in records and "SortAggregate" not in records
+    assert not [line for line in records.splitlines() if "Window " in line and "line#" in line]
+
+
 def test_files_of_differing_headers(spark, tmp_path):
     write(f"{tmp_path}/a.csv", ["a", "", "b"], [["1", "2", "3"], ["x\ny", "NA", ""]])
     write(f"{tmp_path}/b.csv", ["b", "", "a", "new"], [["4", "5", "6", "7"]])
