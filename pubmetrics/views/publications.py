@@ -85,6 +85,8 @@ def _line_lists(spark: SparkSession, sf_dir: str, wanted: set[str]) -> DataFrame
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey"
     )
+    # Lines move as numbers; names join them where they are while the lookup tables can be broadcast.
+    lines = lines.repartition("l_orderkey")
     values = {}
     if wanted & _FROM_SUPPLIER:
         lines = lines.join(
@@ -109,7 +111,8 @@ def _line_lists(spark: SparkSession, sf_dir: str, wanted: set[str]) -> DataFrame
         "l_partkey",
         *(value.alias(name) for name, (value, _) in values.items()),
     )
-    # Lists gain nothing from being begun in the map tasks: an order's lines are shuffled as they are.
+    # Lists gain nothing from being begun in the map tasks: an order's lines are shuffled as they are, and
+    # only if a lookup table was too large to be broadcast.
     ordered = lines.repartition("l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(entry)).alias("lines"))
     return ordered.select(
         "l_orderkey",

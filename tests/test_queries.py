@@ -50,3 +50,9 @@ def test_plan_has_no_python_and_no_unkeyed_join(spark, name):
 
 def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
+
+
+def test_lines_are_shuffled_before_their_names_join(spark):
+    plan = plan_of(QUERIES["canonicalize_all"](spark, SF_DIR)).splitlines()
+    at = next(i for i, line in enumerate(plan) if "Exchange hashpartitioning(l_orderkey" in line)
+    assert "l_partkey" in plan[at + 1] and "p_name" not in plan[at + 1] and "s_name" not in plan[at + 1]
