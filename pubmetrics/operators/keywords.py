@@ -67,7 +67,8 @@ def keyword_codes(frequency: DataFrame, min_docs: int | Column = MIN_DOCS) -> Da
     sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     code = (F.col("start") + F.col("place")).cast("int").alias("code")
-    return placed.join(F.broadcast(starts), "part").select("keyword", "count", code)
+    # Stored, as the size of a join is no measure of a dictionary: joins would broadcast the records instead.
+    return stored(placed.join(F.broadcast(starts), "part").select("keyword", "count", code), "keyword-codes")
 
 
 def coded_sets(

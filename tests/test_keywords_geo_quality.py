@@ -83,6 +83,8 @@ def test_codes_follow_frequency(spark):
     got = op.keyword_codes(frequency).select("code", "count", "keyword").orderBy("code")
     assert rows(got) == [(i, -n, k) for i, (n, k) in enumerate(wanted)]
     assert op.keyword_codes(frequency, 99).count() == 0
+    # A plain scan, whose size says which side of a join with the records is small.
+    assert "Join" not in plan_of(op.keyword_codes(frequency))
 
 
 @pytest.mark.parametrize("n", [1, 10, 60, 5000])
