@@ -24,6 +24,12 @@ def qualified(spark: SparkSession, path: str) -> str:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
+def made_folder(spark: SparkSession, folder: str) -> None:
+    """Make a folder that tasks may leave empty, so that it can be read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+
+
 def file_system(folder: str) -> tuple[fs.FileSystem, str]:
     """A task's own access to a folder: its file system and the path there."""
     if folder.startswith(("s3a://", "s3n://")):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from pubmetrics.llm.store import put, shared_folder, stored
+from pubmetrics.llm.store import made_folder, put, shared_folder, stored
 
 VERSION = b"WARC/1.1\r\n"
 START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
@@ -192,7 +192,8 @@ def write(rows: DataFrame, folder: str, file_bytes: int = 1 << 26) -> DataFrame:
     """Write records of (key, uri, payload, refers_to) to .warc.gz files; a row per file.
 
     A task goes on in a new file after ``file_bytes`` compressed bytes, from rows in order of key, uri and payload, so a
-    repeated task cuts its files alike and leaves no other. Files get their names when complete.
+    repeated task cuts its files alike and leaves no other. Files get their names when complete. Without rows the
+    folder is empty.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,6 +217,7 @@ def write(rows: DataFrame, folder: str, file_bytes: int = 1 << 26) -> DataFrame:
         if held:
             yield flush()
 
+    made_folder(rows.sparkSession, folder)
     rows = rows.select("key", "uri", "payload", "refers_to").sortWithinPartitions("key", "uri", "payload")
     return stored(rows.mapInArrow(run, FILES), "warc-files")
 
