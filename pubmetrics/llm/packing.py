@@ -96,6 +96,11 @@ def assign(lengths: list[int], capacity: int, linear: float, quadratic: float) -
     return rows, n
 
 
+def narrow(ids: np.ndarray) -> np.ndarray:
+    """A copy of ids in two bytes each if all fit."""
+    return ids.astype(np.uint16 if ids.max(initial=0) < 1 << 16 else np.uint32)
+
+
 def pack(
     docs: DataFrame,
     tokenizer: str,
@@ -131,9 +136,12 @@ def pack(
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal base, rests
             rows, n = assign([len(r[2]) for r in rests], capacity, linear, quadratic)
-            pieces = [(rests[p][0], rests[p][1] + cut, size, rests[p][2][cut : cut + size].tobytes(), rests[p][3], base + s, offset) for p, cut, size, s, offset in rows]
+            held, first = rests, base
             base, rests = base + n, []
-            yield from out(pieces)
+            # Bytes of pieces are made as they leave, not for all rests at once.
+            for at in range(0, len(rows), 5000):
+                some = rows[at : at + 5000]
+                yield from out([(held[p][0], held[p][1] + cut, size, held[p][2][cut : cut + size].astype(np.uint32).tobytes(), held[p][3], first + s, offset) for p, cut, size, s, offset in some])
 
         for batch in batches:
             for part in tx.slices(batch, "text", 1 << 21):
@@ -147,7 +155,7 @@ def pack(
                         full.append((k, at - a, capacity, ids[at : at + capacity].tobytes(), b - a, base, 0))
                         base += 1
                     if a + whole < b:
-                        rests.append((k, whole, ids[a + whole : b].copy(), b - a))
+                        rests.append((k, whole, narrow(ids[a + whole : b]), b - a))
                 yield from out(full)
                 if len(rests) >= window:
                     yield from flush()

@@ -3,7 +3,8 @@
 import random
 
 import corpus_pipeline
-from pubmetrics.llm import jaccard
+import numpy as np
+from pubmetrics.llm import jaccard, packing
 
 
 def words(seed, n=60):
@@ -40,3 +41,10 @@ def test_distinct_keeps_one_row_of_each_group(spark):
     got = sorted(map(str, (tuple(r) for r in corpus_pipeline.distinct(spark, frame, "").collect())))
     kept = [(5, edited(1).upper()), (7, edited(2)), (7, edited(3)), (8, edited(4)), (None, min(edited(5), edited(5, 59))), *[(7, ""), (7, None)] * 2]
     assert got == sorted(str((k, t, "s")) for k, t in kept)
+
+
+def test_waiting_ids_are_held_in_two_bytes_if_they_fit():
+    small, large = np.array([0, 65535], np.uint32), np.array([65536], np.uint32)
+    assert packing.narrow(small).nbytes == 4 and packing.narrow(small).tolist() == [0, 65535]
+    assert packing.narrow(large).tolist() == [65536]
+    assert packing.narrow(small[:0]).tolist() == []
