@@ -8,8 +8,8 @@ is where the estimated costs cross. Equal sets are one class before anything els
 
 Each list is parted into bands of size, and rows that no other one matches in size leave it. Candidates pass exact bounds (sizes, the differences of a coarse and then a finer histogram) before
 their whole sets are read and compared. Lists that are long even so are linked along neighbours first; what
-that leaves in different components is then compared in blocks, so a group of many copies is not expanded
-into all pairs, and no link is lost.
+that leaves in different components is then compared in blocks by whole sets, which write only links that join
+components, so a group of many copies is not expanded into all pairs, and no link is lost.
 """
 
 from __future__ import annotations
@@ -31,6 +31,11 @@ CELLS = 32
 #: Lists up to this length are compared at once, longer ones after their neighbours are linked.
 SHORT_LIST = 8
 BLOCK_ROWS = 4096
+#: Bytes of whole sets in a block, where that is fewer rows; a longer set is a block's only one or nearly so.
+BLOCK_BYTES = 1 << 23
+SHINGLE_BYTES = TOKEN_BITS // 8
+#: Hashes of other sets that one set is compared with at once.
+TESTED_AT_ONCE = 1 << 20
 U = np.uint64
 PAIRS = "a long, b long, apart int, shared int"
 LINKS = "a long, b long"
@@ -311,13 +316,6 @@ def sharing(pairs: DataFrame, short: DataFrame, sets: DataFrame) -> DataFrame:
     return known.where(most >= F.least("needs_a", "needs_b")).select("a", "b", "apart")
 
 
-def sharing_enough(pairs: DataFrame, short: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs of ``across`` that share enough lists, long and short ones together."""
-    one, two = (sets.select(F.col("key").alias(c), F.col("needs").alias(f"needs_{c}")) for c in "ab")
-    known = pairs.join(short.select("a", "b", F.col("shared").alias("more")), ["a", "b"], "left").join(one, "a").join(two, "b")
-    return known.where(F.col("shared") + F.coalesce("more", F.lit(0)) >= F.least("needs_a", "needs_b")).select("a", "b", "apart")
-
-
 def neighbours(rows: DataFrame, percent: int) -> DataFrame:
     """Possible pairs along long lists: each row with the one before it by size and with the first."""
     order = Window.partitionBy("list").orderBy("n", "key")
@@ -348,60 +346,83 @@ def fine_cells(blobs: list[bytes]) -> np.ndarray:
     return out
 
 
-def across(rows: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Possible pairs (PAIRS) of long lists whose ends are in different components, block against block.
+def unpacked(body: np.ndarray) -> np.ndarray:
+    """Shingle hashes from the bytes of whole sets."""
+    tokens = np.zeros((len(body) // SHINGLE_BYTES, 8), np.uint8)
+    tokens[:, :SHINGLE_BYTES] = body.reshape(-1, SHINGLE_BYTES)
+    return tokens.view("<u8").ravel()
+
+
+def across(docs: DataFrame, owned: DataFrame, rows: DataFrame, labels: DataFrame, n_rows: int, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) of similar rows of long lists (n_rows in all) whose ends are in different components, block against block.
 
-    A pair is written only if sizes, coarse and fine histograms allow it, so documents of one template that
-    are not alike enough write nothing; ``shared`` counts the lists in which it was found.
+    Pairs that sizes, coarse and fine histograms allow are tested there and then by their whole sets, and a link is written
+    only if it joins components that no link of the two blocks has joined. So two blocks write fewer links than they have rows,
+    however many of their pairs are possible, and no connection is lost.
     """
     rows = rows.join(labels, rows["key"] == labels["node"], "left").select("list", "key", "n", "h1", "h2", "own", F.coalesce("label", "key").alias("label"))
-    mixed = rows.groupBy("list").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    rows = rows.join(mixed.select("list", "m"), "list").withColumn("blocks", F.ceil(F.col("m") / BLOCK_ROWS).cast("int"))
-    rows = rows.join(classes.select(F.col("id").alias("key"), "fine"), "key")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    mixed = rows.groupBy("list").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK_ROWS, F.col("total") * SHINGLE_BYTES / BLOCK_BYTES)).cast("int")
+    rows, seen = counted(rows.join(mixed.select("list", blocks.alias("blocks")), "list"), "jaccard-mixed", n_rows)
+    if not seen["n"]:
+        return docs.sparkSession.createDataFrame([], LINKS)
+    sets = whole_sets(docs, owned.join(rows.select("key").distinct(), "key", "left_semi"), seen["n"], shingle)
+    rows = rows.join(sets, "key").withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("list", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "n", "h1", "h2", "own", "fine", "label")
+    rows = rows.select("list", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "n", "h1", "h2", "own", "set", "label")
+
+    def compare(cell: tuple, t: pa.Table) -> Iterator[pa.RecordBatch]:
+        keys, n, block, label, own = columns_of(t, ("key", "n", "block", "label", "own"))
+        if (label == label[0]).all():
+            return
+        n, label = n.astype(np.int64), label.copy()
+        hist = np.stack(columns_of(t, ("h1", "h2")), axis=1).view(U)
+        body, at = tx.utf8(t.column("set").combine_chunks())
+        tokens, at, cells = unpacked(body), at // SHINGLE_BYTES, None
+        last = np.searchsorted(n, 100 * n // percent, side="right")
+        same = cell[1] == cell[2]
+        links: list[tuple[int, int]] = []
+        for x in range(len(keys)):
+            y = np.arange(x + 1, last[x])
+            # Two rows out of band meet in another list.
+            y = y[(label[y] != label[x]) & ((block[y] != block[x]) | same) & (own[y] | own[x])]
+            if not len(y):
+                continue
+            some, _ = possible(np.broadcast_to(n[x], len(y)), np.broadcast_to(hist[x], (len(y), 2)), n[y], hist[y], percent)
+            y = y[some]
+            if not len(y):
+                continue
+            if cells is None:
+                cells = fine_cells(fine_histogram(tokens, at))
+            apart = (cells[y] - cells[x]) & np.uint8(3)
+            apart = np.minimum(apart, np.uint8(4) - apart).sum(axis=1, dtype=np.int64)
+            least = needed(n[x] + n[y], percent)
+            ok = apart <= n[x] + n[y] - 2 * least
+            y, least, apart = y[ok], least[ok], apart[ok]
+            # The likeliest row of each component is tested first, the others only if it does not link.
+            order = np.lexsort((apart, label[y]))
+            y, least = y[order], least[order]
+            first = np.append(True, label[y[1:]] != label[y[:-1]]) if len(y) else np.zeros(0, bool)
+            mine = tokens[at[x] : at[x + 1]]
+            for chosen in (first, ~first):
+                chosen = chosen & (label[y] != label[x])
+                tested, wanted = y[chosen], least[chosen]
+                ends = np.cumsum(n[tested])
+                while len(tested):  # a bounded number of hashes at a time, one set at least
+                    k = max(1, int(np.searchsorted(ends, TESTED_AT_ONCE, side="right")))
+                    theirs = tokens[tx.ranges(at[tested[:k]], n[tested[:k]])]
+                    common = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+                    for z in tested[:k][tx.segment_sums(common, np.concatenate([[0], ends[:k]])) >= wanted[:k]].tolist():
+                        if label[z] != label[x]:
+                            label[label == label[z]] = label[x]
+                            links.append((keys[x], keys[z]))
+                    tested, wanted, ends = tested[k:], wanted[k:], ends[k:] - ends[k - 1]
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         cell = None
-
-        def compare() -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held)
-            keys, n, block, label, own = columns_of(t, ("key", "n", "block", "label", "own"))
-            if len(keys) < 2 or (label == label[0]).all():
-                return
-            n = n.astype(np.int64)
-            hist = np.stack(columns_of(t, ("h1", "h2")), axis=1).view(U)
-            cells = None
-            last = np.searchsorted(n, 100 * n // percent, side="right")
-            same = cell[1] == cell[2]
-            found, size = [], 0
-            for x in range(len(keys)):
-                y = np.arange(x + 1, last[x])
-                # Two rows out of band meet in another list.
-                y = y[(label[y] != label[x]) & ((block[y] != block[x]) | same) & (own[y] | own[x])]
-                if not len(y):
-                    continue
-                some, _ = possible(np.broadcast_to(n[x], len(y)), np.broadcast_to(hist[x], (len(y), 2)), n[y], hist[y], percent)
-                y = y[some]
-                if not len(y):
-                    continue
-                if cells is None:
-                    cells = fine_cells(t.column("fine").to_pylist())
-                apart = (cells[y] - cells[x]) & np.uint8(3)
-                apart = np.minimum(apart, np.uint8(4) - apart).sum(axis=1, dtype=np.int64)
-                total = n[x] + n[y]
-                ok = apart <= total - 2 * needed(total, percent)
-                y, apart = y[ok], apart[ok]
-                found.append((np.full(len(y), keys[x]), keys[y], apart))
-                size += len(y)
-                if size >= 1 << 16:
-                    yield distinct_pairs(*map(np.concatenate, zip(*found)))
-                    found, size = [], 0
-            if size:
-                yield distinct_pairs(*map(np.concatenate, zip(*found)))
-
         for batch in batches:
             lists, i, j = columns_of(batch, ("list", "i", "j"))
             cuts = np.flatnonzero((lists[1:] != lists[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
@@ -409,20 +430,19 @@ def across(rows: DataFrame, labels: DataFrame, classes: DataFrame, percent: int)
                 if b > a:
                     here = (lists[a], i[a], j[a])
                     if cell is not None and here != cell:
-                        yield from compare()
+                        yield from compare(cell, pa.Table.from_batches(held))
                         held = []
                     cell = here
                     held.append(batch.slice(a, b - a))
         if held:
-            yield from compare()
+            yield from compare(cell, pa.Table.from_batches(held))
+        tx.give_back()
 
-    dealt = rows.repartition("list", "i", "j").sortWithinPartitions("list", "i", "j", "n", "key")
-    found = dealt.mapInArrow(run, PAIRS)
-    return found.groupBy("a", "b").agg(F.max("apart").alias("apart"), F.sum("shared").cast("int").alias("shared"))
+    return rows.repartition("list", "i", "j").sortWithinPartitions("list", "i", "j", "n", "key").mapInArrow(run, LINKS)
 
 
-def whole_sets(docs: DataFrame, ends: DataFrame, n_pairs: int, shingle: int) -> DataFrame:
-    """(key, set) of the classes ``ends`` (key, OWN) of so many pairs, which are distinct: 5 bytes for each shingle."""
+def whole_sets(docs: DataFrame, ends: DataFrame, most: int, shingle: int) -> DataFrame:
+    """(key, set) of the classes ``ends`` (key, OWN), at most so many, which are distinct: 5 bytes for each shingle."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = {c: np.zeros(1 << SKETCH_BITS, np.int64) for c in ("doc", "s1")}
@@ -446,15 +466,15 @@ def whole_sets(docs: DataFrame, ends: DataFrame, n_pairs: int, shingle: int) ->
             for part in tx.slices(batch, "text"):
                 tokens, at = shingle_sets(part.column("text"), shingle)
                 own = own_columns(part.column("key"), tokens, at)
-                packed = tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : TOKEN_BITS // 8].tobytes()
+                packed = tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SHINGLE_BYTES].tobytes()
                 some = np.flatnonzero(bits["s1"][bin_of(own[3])])
-                at = at * (TOKEN_BITS // 8)
+                at = at * SHINGLE_BYTES
                 blobs = [packed[a:b] for a, b in zip(at[some].tolist(), at[some + 1].tolist())]
                 yield pa.RecordBatch.from_arrays([*(c.take(pa.array(some)) for c in own), pa.array(blobs, pa.binary())], [*OWN, "set"])
 
     found = docs.mapInArrow(sets, "doc long, nameless boolean, n int, s1 long, s2 long, set binary").join(ends, OWN)
     # Sets are long rows: a tenth of the usual number to a file.
-    return stored(found.dropDuplicates(OWN).select("key", "set"), "jaccard-sets", 20 * n_pairs)
+    return stored(found.dropDuplicates(OWN).select("key", "set"), "jaccard-sets", 10 * most)
 
 
 def ends_of(pairs: DataFrame) -> DataFrame:
@@ -486,10 +506,8 @@ def similar(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                 keys, sizes = [], []
                 for side in ("set_a", "set_b"):
                     body, offsets = tx.utf8(part.column(side))
-                    tokens = np.zeros((len(body) // 5, 8), np.uint8)
-                    tokens[:, :5] = body.reshape(-1, 5)
-                    sizes.append(np.diff(offsets) // 5)
-                    keys.append((np.repeat(np.arange(part.num_rows, dtype=U), sizes[-1]) << U(TOKEN_BITS)) | tokens.view("<u8").ravel())
+                    sizes.append(np.diff(offsets) // SHINGLE_BYTES)
+                    keys.append((np.repeat(np.arange(part.num_rows, dtype=U), sizes[-1]) << U(TOKEN_BITS)) | unpacked(body))
                 both = np.sort(np.concatenate(keys))
                 twice = both[1:][both[1:] == both[:-1]] >> U(TOKEN_BITS)
                 overlap = np.bincount(twice.astype(np.int64), minlength=part.num_rows)
@@ -501,8 +519,8 @@ def similar(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, LINKS)
 
 
-def verified(docs: DataFrame, owned: DataFrame, pairs: DataFrame, n_pairs: int, shingle: int, percent: int, labels: DataFrame | None = None) -> DataFrame:
-    """``labels`` (node, label) of components, joined further by the similar ones of possible pairs (a, b, apart).
+def verified(docs: DataFrame, owned: DataFrame, pairs: DataFrame, n_pairs: int, shingle: int, percent: int) -> DataFrame:
+    """(node, label) of the components that the similar ones of possible pairs (a, b, apart) make.
 
     ``owned``: key and OWN of every class. Whole sets are made of classes in these pairs only.
 
@@ -510,8 +528,7 @@ def verified(docs: DataFrame, owned: DataFrame, pairs: DataFrame, n_pairs: int,
     is the larger; then all pairs whose ends have not met meanwhile are tried, which repeats only
     those that were not similar. So copies of one text cost few tests each, and no connection is lost.
     """
-    spark = docs.sparkSession
-    labels = labels if labels is not None else spark.createDataFrame([], "node long, label long")
+    labels = docs.sparkSession.createDataFrame([], "node long, label long")
     for first in (True, False):
         one, two = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
         now = pairs.join(one, "a", "left").join(two, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b", "apart")
@@ -521,12 +538,16 @@ def verified(docs: DataFrame, owned: DataFrame, pairs: DataFrame, n_pairs: int,
         now, seen = counted(now.select("a", "b"), "jaccard-tests", n_pairs)
         if not seen["n"]:
             continue
-        links = similar(whole_sets(docs, owned.join(ends_of(now), "key", "left_semi"), seen["n"], shingle), now, percent)
-        known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-        labels = components(known.unionByName(links))
+        links = similar(whole_sets(docs, owned.join(ends_of(now), "key", "left_semi"), 2 * seen["n"], shingle), now, percent)
+        labels = joined(labels, links)
     return labels
 
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, label), joined further by links (a, b)."""
+    return components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links))
+
+
 def components(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(node, label): the least node that each one reaches, by large and small stars until nothing moves.
 
@@ -616,6 +637,7 @@ def linked(docs: DataFrame, classes: DataFrame, n_classes: int, blobs: DataFrame
     first, pairs = counted(likely(classes, sharing(found, short, sets), percent), "jaccard-pairs", most)
     labels = verified(docs, owned, first, pairs["n"], shingle, percent)
     if some_long:
-        more, pairs = counted(sharing_enough(across(long, labels, classes, percent), short, sets), "jaccard-pairs")
-        labels = verified(docs, owned, more, pairs["n"], shingle, percent, labels)
+        links, met = counted(across(docs, owned, long, labels, seen["long"], shingle, percent), "jaccard-links")
+        if met["n"]:
+            labels = joined(labels, links)
     return labels
