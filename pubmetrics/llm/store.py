@@ -94,8 +94,8 @@ def blob_rows(name: str | None, counts: np.ndarray, pieces: int) -> list[tuple]:
 
 
 def summed_blobs(df: DataFrame) -> dict[str | None, np.ndarray]:
-    """Count vectors by name, added up in tasks; only the sums reach the driver."""
+    """Count vectors by name, added up in tasks; only the sums reach the driver, in one job whatever the partitions."""
     found: dict[str | None, dict[int, np.ndarray]] = {}
-    for r in df.repartition("name", "piece").mapInArrow(add_blobs, BLOBS).toLocalIterator():
+    for r in df.repartition("name", "piece").mapInArrow(add_blobs, BLOBS).collect():
         found.setdefault(r["name"], {})[r["piece"]] = np.frombuffer(zstandard.decompress(bytes(r["counts"])), np.int64)
     return {k: np.concatenate([v[i] for i in sorted(v)]) for k, v in found.items()}
