@@ -8,8 +8,9 @@ already encoded are known by their text.
 
 from __future__ import annotations
 
+import os
 import re
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ for _class, _chars in ((LETTER, LETTERS), (NUMBER, NUMBERS), (BLANK, SPACE)):
 #: U+0130 becomes two characters in lower case, so its texts go the other way.
 NOT_LATIN = re.compile("[^\x00-įı-˿]")
 LOWERED = np.array([ord(chr(i).lower()[0]) for i in range(LATIN)], np.uint32)
+#: Of code points of one byte, which stay such.
+LOWERED_BYTES = LOWERED[:256].astype(np.uint8)
 #: For other texts: runs between white space, with one leading blank where it is kept.
 WORDS = re.compile(f"[^{SPACE}]+")
 PIECES = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
@@ -84,6 +87,8 @@ class Encoder:
     """
 
     def __init__(self, path: str, drops_space: bool):
+        # A task has one core; the tokenizer's own threads would take others' and wait for each other.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.drops_space = drops_space
@@ -106,7 +111,7 @@ class Encoder:
         if ends[-1] > len(self.ids):
             self.ids = np.append(self.ids, np.zeros(len(self.ids) + int(counts.sum()), np.uint32))
         self.starts[n + 1 : n + 1 + len(found)] = ends
-        self.ids[used : ends[-1]] = np.fromiter((i for f in found for i in f), np.uint32, int(counts.sum()))
+        self.ids[used : ends[-1]] = np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum()))
         self.slots.update(zip(pieces, range(n, n + len(found))))
         # A piece is a string object (up to four bytes a character), an entry of the dictionary and its ids.
         self.kept += 160 * len(pieces) + 4 * sum(map(len, pieces)) + 4 * int(counts.sum())
@@ -124,13 +129,21 @@ class Encoder:
     def latin_slots(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         joined = "".join(texts)
         offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
-        chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        try:  # nearly always one byte a character
+            coding, kind, lowered = "latin-1", np.uint8, LOWERED_BYTES
+            raw = joined.encode(coding)
+        except UnicodeEncodeError:
+            coding, kind, lowered = "utf-32-le", np.uint32, LOWERED
+            raw = joined.encode(coding)
+        chars = np.frombuffer(raw, kind)
         if self.drops_space:
-            chars = LOWERED[chars]
-            joined = chars.tobytes().decode("utf-32-le")
+            chars = lowered[chars]
+            joined = chars.tobytes().decode(coding)
         starts, ends = latin_pieces(chars, offsets, self.drops_space)
-        spans = tx.Blocks(chars.astype(np.uint16), starts, ends)
-        _, where, which = np.unique(spans.hashes(), return_index=True, return_inverse=True)
+        spans = tx.Blocks(chars if kind is np.uint8 else chars.astype(np.uint16), starts, ends)
+        which = pa.array(spans.hashes()).dictionary_encode().indices.to_numpy()
+        where = np.zeros(int(which.max()) + 1 if len(which) else 0, np.int64)
+        where[which[::-1]] = np.arange(len(which))[::-1]  # the first piece of each hash
         slots = self.slots_of([joined[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist())])[which]
         # Pieces that met others by hash only.
         odd = np.flatnonzero(~spans.same(np.arange(len(starts)), where[which]))
@@ -147,8 +160,9 @@ class Encoder:
         if self.kept > KEPT_BYTES:
             self.forget()
         texts = [t or "" for t in column.to_pylist()]
-        odd = [i for i, t in enumerate(texts) if NOT_LATIN.search(t)]
-        slots, first = self.latin_slots([t if i not in set(odd) else "" for i, t in enumerate(texts)] if odd else texts)
+        odd = [i for i, t in enumerate(texts) if not t.isascii() and NOT_LATIN.search(t)]
+        others = set(odd)
+        slots, first = self.latin_slots([t if i not in others else "" for i, t in enumerate(texts)] if odd else texts)
         if odd:
             rows = np.split(slots, first[1:-1])
             for i in odd:
