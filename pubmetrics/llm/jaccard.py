@@ -7,9 +7,10 @@ single shingles, light sets in those of 2-subsets, which are many but select far
 is where the estimated costs cross. Equal sets are one class before anything else.
 
 Each list is parted into bands of size, and rows that no other one matches in size leave it. Candidates pass exact bounds (sizes, the differences of a coarse and then a finer histogram) before
-their whole sets are read and compared. Lists that are long even so are linked along neighbours first; what
-that leaves in different components is then compared in blocks by whole sets, which write only links that join
-components, so a group of many copies is not expanded into all pairs, and no link is lost.
+their whole sets are read and compared. Lists that are long even so are compared in blocks, by histograms only,
+which write as many of the possible pairs as join their rows. Rows joined by these pairs that are still in different components
+once the pairs are tested are compared by whole sets, which write only links that join components. So a
+group of many copies is not expanded into all pairs, whole sets are moved for few rows of long lists, and no link is lost.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pubmetrics.llm.store import BLOBS, blob_rows, counted, stored, summed_blobs
 TOKEN_BITS = 40
 SKETCH_BITS = 20
 CELLS = 32
-#: Lists up to this length are compared at once, longer ones after their neighbours are linked.
+#: Lists up to this length are compared at once, longer ones in blocks.
 SHORT_LIST = 8
 BLOCK_ROWS = 4096
 #: Bytes of whole sets in a block, where that is fewer rows; a longer set is a block's only one or nearly so.
@@ -316,22 +317,6 @@ def sharing(pairs: DataFrame, short: DataFrame, sets: DataFrame) -> DataFrame:
     return known.where(most >= F.least("needs_a", "needs_b")).select("a", "b", "apart")
 
 
-def neighbours(rows: DataFrame, percent: int) -> DataFrame:
-    """Possible pairs along long lists: each row with the one before it by size and with the first."""
-    order = Window.partitionBy("list").orderBy("n", "key")
-    own = F.struct("key", "n", "h1", "h2")
-    both = rows.select(own.alias("x"), F.array(F.lag(own).over(order), F.first(own).over(order)).alias("ys")).select("x", F.explode("ys").alias("y")).where("y IS NOT NULL AND x.key <> y.key")
-    flat = both.selectExpr("x.key AS k1", "x.n AS n1", "x.h1 AS a1", "x.h2 AS b1", "y.key AS k2", "y.n AS n2", "y.h1 AS a2", "y.h2 AS b2")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k1, n1, a1, b1, k2, n2, a2, b2 = columns_of(batch, ("k1", "n1", "a1", "b1", "k2", "n2", "a2", "b2"))
-            some, apart = possible(n1.astype(np.int64), np.stack([a1, b1], 1).view(U), n2.astype(np.int64), np.stack([a2, b2], 1).view(U), percent)
-            yield distinct_pairs(k1[some], k2[some], apart)
-
-    return flat.mapInArrow(run, PAIRS).select("a", "b", "apart").distinct()
-
-
 def fine_cells(blobs: list[bytes]) -> np.ndarray:
     """Fine histograms as rows of token counts modulo 4, all folded to the cells of the shortest one, 2048 at most."""
     sizes = np.fromiter(map(len, blobs), np.int64, len(blobs))
@@ -353,56 +338,122 @@ def unpacked(body: np.ndarray) -> np.ndarray:
     return tokens.view("<u8").ravel()
 
 
-def across(docs: DataFrame, owned: DataFrame, rows: DataFrame, labels: DataFrame, n_rows: int, shingle: int, percent: int) -> DataFrame:
-    """Links (a, b) of similar rows of long lists (n_rows in all) whose ends are in different components, block against block.
-
-    Pairs that sizes, coarse and fine histograms allow are tested there and then by their whole sets, and a link is written
-    only if it joins components that no link of the two blocks has joined. So two blocks write fewer links than they have rows,
-    however many of their pairs are possible, and no connection is lost.
+def runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows in tables, one for each run of rows that agree in ``names``."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        found = columns_of(batch, names)
+        cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in found])) + 1
+        for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+            here = tuple(c[a] for c in found)
+            if held and here != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = here
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def closest(x: int, y: np.ndarray, n: np.ndarray, cells: np.ndarray, label: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """Those of rows y that row x may be similar to by fine histograms: place, least overlap, difference, and which are the likeliest of their component."""
+    apart = (cells[y] - cells[x]) & np.uint8(3)
+    apart = np.minimum(apart, np.uint8(4) - apart).sum(axis=1, dtype=np.int64)
+    least = needed(n[x] + n[y], percent)
+    ok = np.flatnonzero(apart <= n[x] + n[y] - 2 * least)
+    ok = ok[np.lexsort((apart[ok], label[y[ok]]))]
+    y = y[ok]
+    first = np.append(True, label[y[1:]] != label[y[:-1]]) if len(y) else np.zeros(0, bool)
+    return y, least[ok], apart[ok], first
+
+
+def hoped(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Possible pairs (tie, a, b, apart) of long lists, compared block against block by sizes, coarse and fine histograms.
+
+    Of all possible pairs of two blocks only those are written that join rows no other one has joined, fewer than there are
+    rows. Rows that possible pairs join, over others too, have one ``tie``: similar rows always do.
     """
-    rows = rows.join(labels, rows["key"] == labels["node"], "left").select("list", "key", "n", "h1", "h2", "own", F.coalesce("label", "key").alias("label"))
-    mixed = rows.groupBy("list").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    lists = rows.groupBy("list").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
     blocks = F.ceil(F.greatest(F.col("m") / BLOCK_ROWS, F.col("total") * SHINGLE_BYTES / BLOCK_BYTES)).cast("int")
-    rows, seen = counted(rows.join(mixed.select("list", blocks.alias("blocks")), "list"), "jaccard-mixed", n_rows)
-    if not seen["n"]:
-        return docs.sparkSession.createDataFrame([], LINKS)
-    sets = whole_sets(docs, owned.join(rows.select("key").distinct(), "key", "left_semi"), seen["n"], shingle)
-    rows = rows.join(sets, "key").withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    rows = rows.join(lists.select("list", blocks.alias("blocks")), "list").join(classes.select(F.col("id").alias("key"), "fine"), "key")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("list", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "n", "h1", "h2", "own", "set", "label")
+    rows = rows.select("list", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "n", "h1", "h2", "own", "fine")
 
-    def compare(cell: tuple, t: pa.Table) -> Iterator[pa.RecordBatch]:
-        keys, n, block, label, own = columns_of(t, ("key", "n", "block", "label", "own"))
-        if (label == label[0]).all():
-            return
-        n, label = n.astype(np.int64), label.copy()
+    def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        lists, i, j, keys, n, block, own = columns_of(t, ("list", "i", "j", "key", "n", "block", "own"))
+        n, label, cells = n.astype(np.int64), np.arange(len(keys)), None
         hist = np.stack(columns_of(t, ("h1", "h2")), axis=1).view(U)
-        body, at = tx.utf8(t.column("set").combine_chunks())
-        tokens, at, cells = unpacked(body), at // SHINGLE_BYTES, None
         last = np.searchsorted(n, 100 * n // percent, side="right")
-        same = cell[1] == cell[2]
-        links: list[tuple[int, int]] = []
+        same = i[0] == j[0]
+        found: list[tuple[int, int, int]] = []
         for x in range(len(keys)):
             y = np.arange(x + 1, last[x])
             # Two rows out of band meet in another list.
             y = y[(label[y] != label[x]) & ((block[y] != block[x]) | same) & (own[y] | own[x])]
             if not len(y):
                 continue
-            some, _ = possible(np.broadcast_to(n[x], len(y)), np.broadcast_to(hist[x], (len(y), 2)), n[y], hist[y], percent)
-            y = y[some]
+            y = y[possible(np.broadcast_to(n[x], len(y)), np.broadcast_to(hist[x], (len(y), 2)), n[y], hist[y], percent)[0]]
             if not len(y):
                 continue
             if cells is None:
-                cells = fine_cells(fine_histogram(tokens, at))
-            apart = (cells[y] - cells[x]) & np.uint8(3)
-            apart = np.minimum(apart, np.uint8(4) - apart).sum(axis=1, dtype=np.int64)
-            least = needed(n[x] + n[y], percent)
-            ok = apart <= n[x] + n[y] - 2 * least
-            y, least, apart = y[ok], least[ok], apart[ok]
+                cells = fine_cells(t.column("fine").to_pylist())
+            y, _, apart, first = closest(x, y, n, cells, label, percent)
+            for z, d in zip(y[first].tolist(), apart[first].tolist()):
+                label[label == label[z]] = label[x]
+                found.append((x, z, d))
+        if found:
+            x, z, apart = (np.array(c) for c in zip(*found))
+            columns = [lists[x], i[x], j[x], keys[label[x]], np.minimum(keys[x], keys[z]), np.maximum(keys[x], keys[z]), apart.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["list", "i", "j", "root", "a", "b", "apart"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, ("list", "i", "j")):
+            yield from compare(t)
+        tx.give_back()
+
+    dealt = rows.repartition("list", "i", "j").sortWithinPartitions("list", "i", "j", "n", "key")
+    found = dealt.mapInArrow(run, "list long, i int, j int, root long, a long, b long, apart int")
+    return found.select(F.xxhash64("list", "i", "j", "root").alias("tie"), "a", "b", "apart")
+
+
+def across(docs: DataFrame, owned: DataFrame, hopes: DataFrame, labels: DataFrame, n_hopes: int, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) of similar rows that have one tie (``hoped``) and are in different components.
+
+    The rows of such a tie are compared by whole sets, and a link is written only if it joins components that no link of
+    the tie has joined. So a tie writes fewer links than it has rows, however many of its pairs are possible, and no
+    connection is lost. Ties whose rows are in one component already are not read again, nor are those of the same rows as another.
+    """
+    rows = hopes.select("tie", F.explode(F.array("a", "b")).alias("key")).distinct()
+    rows = rows.join(labels, rows["key"] == labels["node"], "left").select("tie", "key", F.coalesce("label", "key").alias("label"))
+    marks = [F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"), F.count("*").alias("m")]
+    mixed = rows.groupBy("tie").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *marks).where("lo <> hi")
+    # Copies share many lists, so one tie stands for all of the same rows.
+    mixed = mixed.groupBy("x", "y", "m").agg(F.min("tie").alias("tie")).select("tie")
+    rows, seen = counted(rows.join(mixed, "tie"), "jaccard-mixed", 2 * n_hopes)
+    if not seen["n"]:
+        return docs.sparkSession.createDataFrame([], LINKS)
+    sets = whole_sets(docs, owned.join(rows.select("key").distinct(), "key", "left_semi"), seen["n"], shingle)
+    rows = rows.join(sets, "key").select("tie", "key", "label", "set", F.length("set").alias("size"))
+
+    def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        keys, label = columns_of(t, ("key", "label"))
+        label = label.copy()
+        body, at = tx.utf8(t.column("set").combine_chunks())
+        tokens, at = unpacked(body), at // SHINGLE_BYTES
+        n, cells = np.diff(at), fine_cells(fine_histogram(tokens, at))
+        last = np.searchsorted(n, 100 * n // percent, side="right")
+        links: list[tuple[int, int]] = []
+        for x in range(len(keys)):
+            y = np.arange(x + 1, last[x])
+            y = y[label[y] != label[x]]
+            if not len(y):
+                continue
             # The likeliest row of each component is tested first, the others only if it does not link.
-            order = np.lexsort((apart, label[y]))
-            y, least = y[order], least[order]
-            first = np.append(True, label[y[1:]] != label[y[:-1]]) if len(y) else np.zeros(0, bool)
+            y, least, _, first = closest(x, y, n, cells, label, percent)
             mine = tokens[at[x] : at[x + 1]]
             for chosen in (first, ~first):
                 chosen = chosen & (label[y] != label[x])
@@ -421,24 +472,11 @@ def across(docs: DataFrame, owned: DataFrame, rows: DataFrame, labels: DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        cell = None
-        for batch in batches:
-            lists, i, j = columns_of(batch, ("list", "i", "j"))
-            cuts = np.flatnonzero((lists[1:] != lists[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
-                if b > a:
-                    here = (lists[a], i[a], j[a])
-                    if cell is not None and here != cell:
-                        yield from compare(cell, pa.Table.from_batches(held))
-                        held = []
-                    cell = here
-                    held.append(batch.slice(a, b - a))
-        if held:
-            yield from compare(cell, pa.Table.from_batches(held))
+        for t in runs(batches, ("tie",)):
+            yield from compare(t)
         tx.give_back()
 
-    return rows.repartition("list", "i", "j").sortWithinPartitions("list", "i", "j", "n", "key").mapInArrow(run, LINKS)
+    return rows.repartition("tie").sortWithinPartitions("tie", "size", "key").mapInArrow(run, LINKS)
 
 
 def whole_sets(docs: DataFrame, ends: DataFrame, most: int, shingle: int) -> DataFrame:
@@ -631,13 +669,15 @@ def linked(docs: DataFrame, classes: DataFrame, n_classes: int, blobs: DataFrame
     short, short_seen = counted(short_pairs(rows.where(~is_long), percent), "jaccard-short", SHORT_LIST * (seen["n"] - seen["long"]))
     some_long = seen["long"] > 0
     found = short.select("a", "b", "apart")
+    n_hopes = 0
     if some_long:
-        found = found.unionByName(neighbours(long, percent)).distinct()
-    most = short_seen["n"] + 2 * seen["long"]
-    first, pairs = counted(likely(classes, sharing(found, short, sets), percent), "jaccard-pairs", most)
+        hopes, hopes_seen = counted(hoped(long, classes, percent), "jaccard-hopes")
+        n_hopes = hopes_seen["n"]
+        found = found.unionByName(hopes.select("a", "b", "apart")).groupBy("a", "b").agg(F.max("apart").alias("apart"))
+    first, pairs = counted(likely(classes, sharing(found, short, sets), percent), "jaccard-pairs", short_seen["n"] + n_hopes)
     labels = verified(docs, owned, first, pairs["n"], shingle, percent)
     if some_long:
-        links, met = counted(across(docs, owned, long, labels, seen["long"], shingle, percent), "jaccard-links")
+        links, met = counted(across(docs, owned, hopes, labels, n_hopes, shingle, percent), "jaccard-links")
         if met["n"]:
             labels = joined(labels, links)
     return labels
