@@ -144,7 +144,7 @@ def pack(
                 yield from out([(held[p][0], held[p][1] + cut, size, held[p][2][cut : cut + size].astype(np.uint32).tobytes(), held[p][3], first + s, offset) for p, cut, size, s, offset in some])
 
         for batch in batches:
-            for part in tx.slices(batch, "text", 1 << 21):
+            for part in tx.slices(batch, "text", 1 << 20):
                 ids, offsets = enc.encode(part.column("text"))
                 if end is not None:
                     ids, offsets = with_end(ids, offsets, end)

@@ -38,6 +38,7 @@ WORDS = re.compile(f"[^{SPACE}]+")
 PIECES = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
 #: Bytes of pieces and ids that an encoder keeps between batches.
 KEPT_BYTES = 1 << 27
+ENCODED_AT_ONCE = 4096
 
 
 def latin_pieces(chars: np.ndarray, offsets: np.ndarray, drops_space: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -102,6 +103,11 @@ class Encoder:
         self.ids = np.zeros(1 << 18, np.uint32)
 
     def add(self, pieces: list[str]) -> None:
+        # The tokenizer's results take far more than their ids, so a bounded number of pieces at a time.
+        for at in range(0, len(pieces), ENCODED_AT_ONCE):
+            self.add_some(pieces[at : at + ENCODED_AT_ONCE])
+
+    def add_some(self, pieces: list[str]) -> None:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         counts = np.fromiter(map(len, found), np.int64, len(found))
         n, used = len(self.slots), int(self.starts[len(self.slots)])
