@@ -62,7 +62,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents packed into sequences of 1024 tokens, with their ids (u32, little-endian)."""
-    pieces = packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
+    # Executors still hold what the stages before took.
+    pieces = packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), kept=1 << 25)
     return pieces.withColumnRenamed("key", "doc_id").withColumn("ids_crc32", F.crc32("ids"))
 
 

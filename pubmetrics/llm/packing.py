@@ -11,11 +11,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from pubmetrics.llm import text as tx
-from pubmetrics.llm.vocab import encoder, with_end
+from pubmetrics.llm.vocab import KEPT_BYTES, encoder, with_end
 
 PIECES = "key long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Rests of documents that a task packs together: at most so many, bounding its memory.
 WINDOW = 40_000
+#: Pieces of documents that leave a task at once.
+ROWS_OUT = 1000
 
 
 class Rooms:
@@ -112,6 +114,7 @@ def pack(
     quadratic: float = 1 / 1024,
     drops_space: bool = False,
     window: int = WINDOW,
+    kept: int = KEPT_BYTES,
 ) -> DataFrame:
     """Encode whole texts, append ``end`` and pack them; a row per piece with its ids (u32, little-endian).
 
@@ -120,18 +123,18 @@ def pack(
     sequence's cost is the sum of linear * length + quadratic * length ** 2 over its pieces, as
     attention stays inside a piece. Nothing is shuffled: numbers of sequences start anew in
     each task's own range. A null text is empty; one without any id gives no piece. Repeated rows are
-    packed again each.
+    packed again each. ``kept``: bytes of known pieces that a worker holds; fewer take more time.
     """
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
     names = [f.split()[0] for f in PIECES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, base = encoder(tokenizer, drops_space), TaskContext.get().partitionId() << 40
+        enc, base = encoder(tokenizer, drops_space, kept), TaskContext.get().partitionId() << 40
         rests: list[tuple] = []
 
         def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            for at in range(0, len(rows), 5000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 5000]), kinds)], names)
+            for at in range(0, len(rows), ROWS_OUT):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + ROWS_OUT]), kinds)], names)
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal base, rests
@@ -139,8 +142,8 @@ def pack(
             held, first = rests, base
             base, rests = base + n, []
             # Bytes of pieces are made as they leave, not for all rests at once.
-            for at in range(0, len(rows), 5000):
-                some = rows[at : at + 5000]
+            for at in range(0, len(rows), ROWS_OUT):
+                some = rows[at : at + ROWS_OUT]
                 yield from out([(held[p][0], held[p][1] + cut, size, held[p][2][cut : cut + size].astype(np.uint32).tobytes(), held[p][3], first + s, offset) for p, cut, size, s, offset in some])
 
         for batch in batches:

@@ -84,15 +84,16 @@ class Encoder:
     """Ids of texts by a tokenizer file; ``drops_space`` for one whose ids leave white space and case out.
 
     Strings of special tokens in a text are ordinary text. Known pieces are kept until they and their ids take
-    about KEPT_BYTES, then forgotten; a batch adds its own, so a worker holds that and one batch's.
+    about ``most`` bytes, then forgotten; a batch adds its own, so a worker holds that and one batch's.
     """
 
-    def __init__(self, path: str, drops_space: bool):
+    def __init__(self, path: str, drops_space: bool, most: int = KEPT_BYTES):
         # A task has one core; the tokenizer's own threads would take others' and wait for each other.
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.drops_space = drops_space
+        self.most = most
         self.forget()
 
     def forget(self) -> None:
@@ -163,7 +164,7 @@ class Encoder:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column in a row, and offsets of its texts; a null text has none."""
-        if self.kept > KEPT_BYTES:
+        if self.kept > self.most:
             self.forget()
         texts = [t or "" for t in column.to_pylist()]
         odd = [i for i, t in enumerate(texts) if not t.isascii() and NOT_LATIN.search(t)]
@@ -179,14 +180,14 @@ class Encoder:
         return self.ids[tx.ranges(self.starts[slots], counts)], at[first]
 
 
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+_ENCODERS: dict[tuple[str, bool, int], Encoder] = {}
 
 
-def encoder(path: str, drops_space: bool) -> Encoder:
+def encoder(path: str, drops_space: bool, most: int = KEPT_BYTES) -> Encoder:
     """One encoder for each Python worker."""
-    if (path, drops_space) not in _ENCODERS:
-        _ENCODERS[path, drops_space] = Encoder(path, drops_space)
-    return _ENCODERS[path, drops_space]
+    if (path, drops_space, most) not in _ENCODERS:
+        _ENCODERS[path, drops_space, most] = Encoder(path, drops_space, most)
+    return _ENCODERS[path, drops_space, most]
 
 
 def with_end(ids: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
