@@ -14,7 +14,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from pubmetrics.llm import text as tx
 
@@ -94,6 +94,12 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.drops_space = drops_space
         self.most = most
+        #: Whether an id ends a word, where each word has such an id, whatever its last byte.
+        self.last: np.ndarray | None = None
+        suffix, known = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab(with_added_tokens=False)
+        if drops_space and suffix and all(c + suffix in known for c in pre_tokenizers.ByteLevel.alphabet()):
+            self.last = np.zeros(max(known.values()) + 1, bool)
+            self.last[[i for token, i in known.items() if token.endswith(suffix)]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -103,33 +109,44 @@ class Encoder:
         self.starts = np.zeros(1 << 16, np.int64)
         self.ids = np.zeros(1 << 18, np.uint32)
 
-    def add(self, pieces: list[str]) -> None:
+    def add(self, pieces: list[str], words: bool) -> None:
         # The tokenizer's results take far more than their ids, so a bounded number of pieces at a time.
         for at in range(0, len(pieces), ENCODED_AT_ONCE):
-            self.add_some(pieces[at : at + ENCODED_AT_ONCE])
-
-    def add_some(self, pieces: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
+            self.add_some(pieces[at : at + ENCODED_AT_ONCE], words)
+
+    def ids_of(self, pieces: list[str], words: bool) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of pieces in a row, and their number for each piece."""
+        if words and self.last is not None:
+            # One text takes half the time of as many as there are pieces; white space always splits, and leaves no id.
+            found = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.last[found]) + 1
+            if len(ends) == len(pieces) and ends[-1] == len(found):
+                return found, np.diff(ends, prepend=0)
+        single = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        counts = np.fromiter(map(len, single), np.int64, len(single))
+        return np.fromiter(chain.from_iterable(single), np.uint32, int(counts.sum())), counts
+
+    def add_some(self, pieces: list[str], words: bool) -> None:
+        found, counts = self.ids_of(pieces, words)
         n, used = len(self.slots), int(self.starts[len(self.slots)])
         ends = used + np.cumsum(counts)
-        if n + len(found) >= len(self.starts):
-            self.starts = np.append(self.starts, np.zeros(len(self.starts) + len(found), np.int64))
+        if n + len(pieces) >= len(self.starts):
+            self.starts = np.append(self.starts, np.zeros(len(self.starts) + len(pieces), np.int64))
         if ends[-1] > len(self.ids):
-            self.ids = np.append(self.ids, np.zeros(len(self.ids) + int(counts.sum()), np.uint32))
-        self.starts[n + 1 : n + 1 + len(found)] = ends
-        self.ids[used : ends[-1]] = np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum()))
-        self.slots.update(zip(pieces, range(n, n + len(found))))
+            self.ids = np.append(self.ids, np.zeros(len(self.ids) + len(found), np.uint32))
+        self.starts[n + 1 : n + 1 + len(pieces)] = ends
+        self.ids[used : ends[-1]] = found
+        self.slots.update(zip(pieces, range(n, n + len(pieces))))
         # A piece is a string object (up to four bytes a character), an entry of the dictionary and its ids.
-        self.kept += 160 * len(pieces) + 4 * sum(map(len, pieces)) + 4 * int(counts.sum())
+        self.kept += 160 * len(pieces) + 4 * sum(map(len, pieces)) + 4 * len(found)
 
-    def slots_of(self, pieces: list[str]) -> np.ndarray:
-        """Slots of pieces, the unknown ones encoded first."""
+    def slots_of(self, pieces: list[str], words: bool = False) -> np.ndarray:
+        """Slots of pieces, the unknown ones encoded first; ``words``: the tokenizer splits none of them further."""
         found = np.fromiter(map(self.slots.get, pieces, repeat(-1)), np.int64, len(pieces))
         new = np.flatnonzero(found < 0)
         if len(new):
             fresh = [pieces[i] for i in new.tolist()]
-            self.add(list(dict.fromkeys(fresh)))
+            self.add(list(dict.fromkeys(fresh)), words)
             found[new] = np.fromiter(map(self.slots.__getitem__, fresh), np.int64, len(fresh))
         return found
 
@@ -151,11 +168,11 @@ class Encoder:
         which = pa.array(spans.hashes()).dictionary_encode().indices.to_numpy()
         where = np.zeros(int(which.max()) + 1 if len(which) else 0, np.int64)
         where[which[::-1]] = np.arange(len(which))[::-1]  # the first piece of each hash
-        slots = self.slots_of([joined[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist())])[which]
+        slots = self.slots_of([joined[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist())], True)[which]
         # Pieces that met others by hash only.
         odd = np.flatnonzero(~spans.same(np.arange(len(starts)), where[which]))
         if len(odd):
-            slots[odd] = self.slots_of([joined[a:b] for a, b in zip(starts[odd].tolist(), ends[odd].tolist())])
+            slots[odd] = self.slots_of([joined[a:b] for a, b in zip(starts[odd].tolist(), ends[odd].tolist())], True)
         return slots, np.searchsorted(starts, offsets)
 
     def other_slots(self, text: str) -> np.ndarray:

@@ -37,16 +37,20 @@ def encode(ids: np.ndarray, doc_ids: list, starts: np.ndarray) -> bytes:
     header = {"n": len(ids), "bits": bits, "page": PAGE, "planes": []}
     x = ids.astype(np.uint16 if bits <= 16 else np.uint32)
     for b in range(bits - 1, -1, -1):
-        bit = (x >> b & 1).astype(bool)
         pages, ones, total = [], [], 0
-        for at in range(0, len(bit), PAGE):
-            page = bit[at : at + PAGE]
+        below: tuple[list, list] = [x[:0]], []
+        for at in range(0, len(x), PAGE):
+            part = x[at : at + PAGE]
+            page = part & x.dtype.type(1 << b) != 0
             pages.append(len(sections))
             ones.append(total)
-            total += int(page.sum())
+            # By places: a mask of random bits takes three times as long.
+            below[0].append(part[np.flatnonzero(~page)])
+            below[1].append(part[np.flatnonzero(page)])
+            total += len(below[1][-1])
             sections.append(pack(np.packbits(page, bitorder="little").tobytes()))
-        header["planes"].append({"pages": pages, "ones": ones, "zeros": len(bit) - total})
-        x = np.concatenate([x[~bit], x[bit]])
+        header["planes"].append({"pages": pages, "ones": ones, "zeros": len(x) - total})
+        x = np.concatenate(below[0] + below[1])
     header["docs"] = len(doc_ids)
     sections += [pack(json.dumps(doc_ids).encode()), pack(np.asarray(starts, np.int64).tobytes())]
     header["places"] = np.concatenate([[0], np.cumsum([len(s) for s in sections])]).tolist()
@@ -145,18 +149,21 @@ class Shard:
 
     def ids(self) -> np.ndarray:
         """All ids in order."""
-        x = np.zeros(self.n, np.uint32)
+        x = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for p in range(self.bits - 1, -1, -1):
             known = self.h["planes"][p]
-            raw = [self.page(p, i) for i in range(len(known["pages"]))]
-            bit = np.unpackbits(np.concatenate(raw) if raw else np.zeros(0, np.uint8), count=self.n, bitorder="little").astype(bool)
+            x[known["zeros"] :] |= x.dtype.type(1 << (self.bits - 1 - p))
             above = np.empty_like(x)
-            above[~bit] = x[: known["zeros"]]
-            above[bit] = x[known["zeros"] :] | np.uint32(1 << (self.bits - 1 - p))
+            for i, before in enumerate(known["ones"]):
+                part = above[i * PAGE : (i + 1) * PAGE]
+                bit = np.unpackbits(self.page(p, i), count=len(part), bitorder="little").view(bool)
+                zero, one = np.flatnonzero(~bit), np.flatnonzero(bit)
+                part[zero] = x[i * PAGE - before :][: len(zero)]
+                part[one] = x[known["zeros"] + before :][: len(one)]
             x = above
             for i in known["pages"]:
                 self.pages.pop(i, None)
-        return x
+        return x.astype(np.uint32)
 
 
 def write_shards(docs: DataFrame, tokenizer: str, folder: str, text: str = "text", key: str = "doc_id", end: int | None = 1, drops_space: bool = True, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
