@@ -96,10 +96,12 @@ class Encoder:
         self.most = most
         #: Whether an id ends a word, where each word has such an id, whatever its last byte.
         self.last: np.ndarray | None = None
-        suffix, known = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab(with_added_tokens=False)
-        if drops_space and suffix and all(c + suffix in known for c in pre_tokenizers.ByteLevel.alphabet()):
-            self.last = np.zeros(max(known.values()) + 1, bool)
-            self.last[[i for token, i in known.items() if token.endswith(suffix)]] = True
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if drops_space and suffix:
+            known = self.tokenizer.get_vocab(with_added_tokens=False)
+            if all(c + suffix in known for c in pre_tokenizers.ByteLevel.alphabet()):
+                self.last = np.zeros(max(known.values()) + 1, bool)
+                self.last[[i for token, i in known.items() if token.endswith(suffix)]] = True
         self.forget()
 
     def forget(self) -> None:
