@@ -84,16 +84,16 @@ class Encoder:
     """Ids of texts by a tokenizer file; ``drops_space`` for one whose ids leave white space and case out.
 
     Strings of special tokens in a text are ordinary text. Known pieces are kept until they and their ids take
-    about ``most`` bytes, then forgotten; a batch adds its own, so a worker holds that and one batch's.
+    about ``most`` bytes (KEPT_BYTES unless given), then forgotten; a batch adds its own, so a worker holds that and one batch's.
     """
 
-    def __init__(self, path: str, drops_space: bool, most: int = KEPT_BYTES):
+    def __init__(self, path: str, drops_space: bool, most: int | None = None):
         # A task has one core; the tokenizer's own threads would take others' and wait for each other.
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.drops_space = drops_space
-        self.most = most
+        self.most = KEPT_BYTES if most is None else most
         #: Whether an id ends a word, where each word has such an id, whatever its last byte.
         self.last: np.ndarray | None = None
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
