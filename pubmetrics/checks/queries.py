@@ -15,7 +15,7 @@ from pubmetrics import operators as op, plans
 from pubmetrics import sources as src
 from pubmetrics.plans.clean import clean_records
 from pubmetrics.plans.full import deduplicated, export_records, in_scope, with_year
-from pubmetrics.views import publications, table
+from pubmetrics.views import ORDER_KEYS, publications, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,10 +70,11 @@ def scoped_records(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame
     return in_scope(unique_records(spark, sf_dir, *columns), MIN_YEAR, MAX_YEAR)
 
 
-def export_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The record table under the headers of a CSV export."""
-    raw = publications(spark, sf_dir, ("src_ord", *EXPORT_HEADERS))
-    return raw.select("src_ord", *(F.col(c).alias(h) for c, h in EXPORT_HEADERS.items()))
+def export_table(spark: SparkSession, sf_dir: str, in_order: bool = False) -> DataFrame:
+    """The record table under the headers of a CSV export; rows in order have their ORDER_KEYS too."""
+    raw = publications(spark, sf_dir, ("src_ord", *EXPORT_HEADERS), in_order=in_order)
+    keys = ORDER_KEYS if in_order else ()
+    return raw.select("src_ord", *(F.col(c).alias(h) for c, h in EXPORT_HEADERS.items()), *keys)
 
 
 def joined(items: Column) -> Column:
@@ -139,7 +140,7 @@ def sliced_store(spark, sf_dir):
 def export_round_trip(spark, sf_dir):
     """SRC2 / SNK1: the whole table written as CSV, read back and deduplicated in file order."""
     path = src.write_records(
-        export_table(spark, sf_dir), src.shared_folder(spark, "export"), "csv"
+        export_table(spark, sf_dir, in_order=True), src.shared_folder(spark, "export"), "csv", order=ORDER_KEYS
     )
     raw = src.load_records(spark, path, ordered=True)
     return deduplicated(export_records(raw)).select(
@@ -147,20 +148,20 @@ def export_round_trip(spark, sf_dir):
     )
 
 
-def breaking_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+def breaking_export(spark: SparkSession, sf_dir: str, in_order: bool = False) -> DataFrame:
     """The export with line ends, quotes and separators inside fields."""
     broken = {
         "Title": F.concat("Title", F.lit('\n"'), "Document Type", F.lit('", said')),
         "Affiliations": F.replace("Affiliations", F.lit("; "), F.lit(";\r\n\n")),
     }
-    return export_table(spark, sf_dir).withColumns(broken)
+    return export_table(spark, sf_dir, in_order).withColumns(broken)
 
 
 @query
 def export_in_splits(spark, sf_dir):
     """SRC2: fields with line ends inside, each file read by as many tasks as it has splits."""
     path = src.write_records(
-        breaking_export(spark, sf_dir), src.shared_folder(spark, "export"), "csv"
+        breaking_export(spark, sf_dir, in_order=True), src.shared_folder(spark, "export"), "csv", order=ORDER_KEYS
     )
     return src.read_export(spark, path, multi_line="split")
 

@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from pubmetrics.operators.schema import ORDER_COLUMN
+from pubmetrics.sources.shared import freed_shuffles
 
 TABLE_FORMATS = ("parquet", "csv")
 
@@ -86,7 +87,8 @@ def staged_write(
                 raise FileExistsError(f"output already exists: {known}")
     staged = beside(path, "staged")
     try:
-        write(staged)
+        with freed_shuffles(spark):
+            write(staged)
     except BaseException:
         remove(spark, staged)
         raise
@@ -108,6 +110,7 @@ def write_records(
     partition_by: str | None = None,
     observe: tuple[Observation, Sequence[Column]] | None = None,
     drop: Sequence[str] = (),
+    order: Sequence[str] = (ORDER_COLUMN,),
 ) -> str:
     """SNK1 / SNK2: write `<base>.<fmt>` and return its path.
 
@@ -117,6 +120,9 @@ def write_records(
 
     `observe` takes an observation and its measures over the rows as they are written, in the tasks
     that write them, so no row is read for it and none counts twice; the columns `drop` are measured, not written.
+
+    CSV keeps the rows in the order of the columns `order` that the frame has, and does not hold these nor `src_ord`.
+    No row moves for it if the frame already lies in ranges of the first of them.
     """
     for known in TABLE_FORMATS:
         if base.endswith(f".{known}"):
@@ -125,9 +131,10 @@ def write_records(
     if fmt not in TABLE_FORMATS:
         raise ValueError(f"unknown format {fmt!r}: expected one of {', '.join(TABLE_FORMATS)}")
     path = f"{base}.{fmt}"
-    if fmt == "csv" and ORDER_COLUMN in df.columns:
+    order = [c for c in order if c in df.columns]
+    if fmt == "csv" and order:
         # Text files keep the order by position: sorted parts, read back in path order.
-        df = df.orderBy(ORDER_COLUMN).drop(ORDER_COLUMN)
+        df = df.orderBy(*order).drop(*order, ORDER_COLUMN)
     if fmt == "parquet" and partition_by is not None:
         df = df.hint("rebalance", F.col(partition_by))
     if observe is not None:

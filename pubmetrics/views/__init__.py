@@ -1,5 +1,5 @@
 """Record tables derived from the given tables."""
 
-from pubmetrics.views.publications import COLUMNS, COUNTRIES, publications, table
+from pubmetrics.views.publications import COLUMNS, COUNTRIES, ORDER_KEYS, publications, table
 
-__all__ = ["COLUMNS", "COUNTRIES", "publications", "table"]
+__all__ = ["COLUMNS", "COUNTRIES", "ORDER_KEYS", "publications", "table"]

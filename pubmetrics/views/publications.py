@@ -6,9 +6,9 @@ keywords and affiliations. `FIXTURES.md` section 3 states the rules.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 # Country of each nation key.
 COUNTRIES = (
@@ -22,6 +22,9 @@ COLUMNS = (
     "doc_type", "author_keywords", "index_keywords", "affiliations",
 )
 
+# Columns that records in order have besides the chosen ones: sorting by them gives the order of src_ord and moves no row.
+ORDER_KEYS = ("o_orderkey", "cp")
+
 _FROM_CUSTOMER = {"title", "journal"}
 _FROM_PART = {"author_keywords", "index_keywords"}
 _FROM_SUPPLIER = {"creator", "authors", "affiliations"}
@@ -32,11 +35,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def publications(
-    spark: SparkSession, sf_dir: str, columns: Sequence[str] = COLUMNS
+    spark: SparkSession, sf_dir: str, columns: Sequence[str] = COLUMNS, *, in_order: bool = False
 ) -> DataFrame:
-    """The chosen columns of the raw record table; only the tables they need are read."""
+    """The chosen columns of the raw record table; only the tables they need are read.
+
+    With `in_order` the rows lie in ranges of their order keys, and the columns ORDER_KEYS are added.
+    """
     wanted = set(columns)
-    orders = table(spark, sf_dir, "orders")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     k = F.col("o_orderkey")
     if wanted & _FROM_CUSTOMER:
         customer = table(spark, sf_dir, "customer").select(
@@ -44,7 +50,12 @@ def publications(
         )
         orders = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
     if wanted & (_FROM_PART | _FROM_SUPPLIER):
-        orders = orders.join(_line_lists(spark, sf_dir, wanted), k == F.col("l_orderkey"), "left")
+        if in_order:
+            orders = _listed_in_order(spark, sf_dir, wanted, orders.drop("o_custkey", "c_custkey"))
+        else:
+            orders = orders.join(_line_lists(spark, sf_dir, wanted), k == F.col("l_orderkey"), "left")
+    elif in_order:
+        orders = orders.repartitionByRange("o_orderkey")
 
     copies = F.when(k % 11 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     cp = F.col("cp")
@@ -72,36 +83,61 @@ def publications(
         "affiliations": lambda: F.col("line_places"),
     }
     return orders.withColumn("cp", F.explode(copies)).select(
-        *(rules[c]().alias(c) for c in columns)
+        *(rules[c]().alias(c) for c in columns), *(ORDER_KEYS if in_order else ())
     )
 
 
-def _line_lists(spark: SparkSession, sf_dir: str, wanted: set[str]) -> DataFrame:
-    """Delimited lists per order, in line order.
+def _broadcast(lookup: DataFrame) -> bool:
+    """Whether Spark takes the table for small enough to broadcast it."""
+    size = lookup._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    most = lookup.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(size)) <= most
 
-    A list is one field of one record, so an order's lines end in one row by definition of the
-    record table; orders have about four lines, thirteen at most.
+
+def _named_lines(
+    spark: SparkSession,
+    sf_dir: str,
+    wanted: set[str],
+    place: Callable[[DataFrame], DataFrame],
+    kept: Column | None = None,
+) -> DataFrame:
+    """Lines where `place` puts them, with the names of their suppliers and parts; rows that `kept` holds for need none.
+
+    Lines move as numbers: a lookup table that can be broadcast joins them where they are then. One too large
+    for that moves the lines by its own key, so it joins before they are placed; its names move once.
     """
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey"
     )
-    # Lines move as numbers; names join them where they are while the lookup tables can be broadcast.
-    lines = lines.repartition("l_orderkey")
+    lookups = []
+    if wanted & _FROM_SUPPLIER:
+        suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+        lookups.append(("l_suppkey", "s_suppkey", suppliers))
+    if wanted & _FROM_PART:
+        parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
+        lookups.append(("l_partkey", "p_partkey", parts))
+    small = [_broadcast(lookup) for _, _, lookup in lookups]
+    for (key, of, lookup), later in zip(lookups, small):
+        if not later:
+            lines = lines.join(lookup, F.col(key) == F.col(of)).drop(of)
+    lines = place(lines)
+    for (key, of, lookup), later in zip(lookups, small):
+        if later and kept is None:
+            lines = lines.join(lookup, F.col(key) == F.col(of)).drop(of)
+        elif later:
+            lines = lines.join(lookup, F.col(key) == F.col(of), "left").filter(kept | F.col(of).isNotNull()).drop(of)
+    return lines
+
+
+def _entries(wanted: set[str]) -> tuple[Column, dict[str, str]]:
+    """A line as an entry of its order's lists, and the delimiter of each list."""
     values = {}
     if wanted & _FROM_SUPPLIER:
-        lines = lines.join(
-            table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey"),
-            F.col("l_suppkey") == F.col("s_suppkey"),
-        )
         countries = F.array(*(F.lit(c) for c in COUNTRIES))
         country = F.element_at(countries, F.col("s_nationkey") + 1)
         values["line_authors"] = (F.col("s_name"), "; ")
         values["line_places"] = (F.concat("s_name", F.lit(", City, "), country), "; ")
     if wanted & _FROM_PART:
-        lines = lines.join(
-            table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand"),
-            F.col("l_partkey") == F.col("p_partkey"),
-        )
         types = F.concat("p_type", F.lit(" ; "), F.upper("p_brand"))
         values["line_names"] = (F.col("p_name"), "; ")
         values["line_types"] = (types, ";")
@@ -111,13 +147,49 @@ def _line_lists(spark: SparkSession, sf_dir: str, wanted: set[str]) -> DataFrame
         "l_partkey",
         *(value.alias(name) for name, (value, _) in values.items()),
     )
-    # Lists gain nothing from being begun in the map tasks: an order's lines are shuffled as they are, and
-    # only if a lookup table was too large to be broadcast.
-    ordered = lines.repartition("l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(entry)).alias("lines"))
+    return entry, {name: sep for name, (_, sep) in values.items()}
+
+
+def _line_lists(spark: SparkSession, sf_dir: str, wanted: set[str]) -> DataFrame:
+    """Delimited lists per order, in line order.
+
+    A list is one field of one record, so an order's lines end in one row by definition of the
+    record table; orders have about four lines, thirteen at most.
+    """
+    # Lists gain nothing from being begun in the map tasks: an order's lines are shuffled as they are.
+    lines = _named_lines(spark, sf_dir, wanted, lambda lines: lines.repartition("l_orderkey"))
+    entry, lists = _entries(wanted)
+    ordered = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(entry)).alias("lines"))
     return ordered.select(
         "l_orderkey",
+        *(F.array_join(F.col(f"lines.{name}"), sep).alias(name) for name, sep in lists.items()),
+    )
+
+
+def _listed_in_order(
+    spark: SparkSession, sf_dir: str, wanted: set[str], orders: DataFrame
+) -> DataFrame:
+    """Orders with their delimited lists, as a join with `_line_lists` gives them, in ranges of their keys.
+
+    Orders and lines move together, once; a sort of the records by order key then finds them in place.
+    """
+    is_order = F.col("is_order")
+
+    def place(lines: DataFrame) -> DataFrame:
+        lines = lines.filter(F.col("l_orderkey").isNotNull()).withColumnRenamed("l_orderkey", "o_orderkey")
+        rows = orders.withColumn("is_order", F.lit(True)).unionByName(
+            lines.withColumn("is_order", F.lit(False)), allowMissingColumns=True
+        )
+        return rows.repartitionByRange("o_orderkey")
+
+    rows = _named_lines(spark, sf_dir, wanted, place, is_order)
+    entry, lists = _entries(wanted)
+    lines = F.collect_list(F.when(~is_order, entry)).over(Window.partitionBy("o_orderkey"))
+    rows = rows.withColumn("lines", lines).filter(is_order).withColumn("lines", F.sort_array("lines"))
+    return rows.select(
+        *orders.columns,
         *(
-            F.array_join(F.col(f"lines.{name}"), sep).alias(name)
-            for name, (_, sep) in values.items()
+            F.when(F.size("lines") > 0, F.array_join(F.col(f"lines.{name}"), sep)).alias(name)
+            for name, sep in lists.items()
         ),
     )
