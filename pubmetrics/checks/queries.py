@@ -183,7 +183,7 @@ def export_headers(spark, sf_dir):
 def converted_in_place(spark, sf_dir):
     """SNK1 / SNK2: a table turned into CSV and back under its own name, each time read while it is replaced."""
     base = src.shared_folder(spark, "converted")
-    src.write_records(export_table(spark, sf_dir), base)
+    src.write_records(export_table(spark, sf_dir, in_order=True).drop(*ORDER_KEYS), base)
     for fmt in ("csv", "parquet"):
         src.write_records(src.load_records(spark, base, ordered=True), base, fmt, overwrite=True)
     return src.load_records(spark, base).drop("src_ord")
