@@ -134,7 +134,8 @@ def _entries(wanted: set[str]) -> tuple[Column, dict[str, str]]:
     values = {}
     if wanted & _FROM_SUPPLIER:
         countries = F.array(*(F.lit(c) for c in COUNTRIES))
-        country = F.element_at(countries, F.col("s_nationkey") + 1)
+        # Spark takes the item for never null, as none in the array is.
+        country = F.when(F.col("s_nationkey").isNotNull(), F.element_at(countries, F.col("s_nationkey") + 1))
         values["line_authors"] = (F.col("s_name"), "; ")
         values["line_places"] = (F.concat("s_name", F.lit(", City, "), country), "; ")
     if wanted & _FROM_PART:

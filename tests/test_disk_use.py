@@ -34,7 +34,7 @@ def odd(spark, tmp_path_factory):
         "orders": (orders, "o_orderkey long, o_custkey long, o_orderdate timestamp, o_orderpriority string"),
         "lineitem": (lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int"),
         "part": (parts, "p_partkey long, p_name string, p_brand string, p_type string"),
-        "supplier": ([(i, f"S{i}", i) for i in (0, 1, 2, 2, 3)], "s_suppkey long, s_name string, s_nationkey int"),
+        "supplier": ([*((i, f"S{i}", i) for i in (0, 1, 2, 2, 3)), (4, "S4", None), (3, None, 3)], "s_suppkey long, s_name string, s_nationkey int"),
         "customer": ([(i, f"SEG{i}", i) for i in range(4)], "c_custkey long, c_mktsegment string, c_nationkey int"),
     }
     for name, (data, schema) in tables.items():
